@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, sharding
+from . import exact_dedup, near_dedup, packing, quality, sharding
 
 QUERIES = {
+    "op1_order_minhash": near_dedup.op1_order_minhash,
     "op4_sharding": sharding.op4_sharding,
+    "op5_quality_classifier": quality.op5_quality_classifier,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
 ORACLE_SQL = {
