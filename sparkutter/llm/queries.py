@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, near_dedup, packing, quality, sharding
+from . import exact_dedup, near_dedup, packing, quality, sharding, substring_dedup
 
 QUERIES = {
     "op1_order_minhash": near_dedup.op1_order_minhash,
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op4_sharding": sharding.op4_sharding,
     "op5_quality_classifier": quality.op5_quality_classifier,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
@@ -13,5 +14,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_substring_dedup": substring_dedup.OP2_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
 }
