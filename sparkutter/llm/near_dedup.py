@@ -8,13 +8,16 @@ in a sketch are candidates; they are linked if their edit similarity in words, 1
 is at least 0.8. The distance comes from a bit-parallel alignment inside the band of diagonals that this bound
 allows, so within the candidates the decision is exact.
 
-No bucket is expanded into its pairs. In a round, a bucket's leaders (first its smallest id, later its
-``LEADERS`` smallest) are compared with the members of other classes, links are merged into classes by joins,
-the leaders leave, and buckets whose members are all of one class are dropped; a large group of copies is over
-after one round. Buckets that are still large then are dealt again, without loss: texts of similarity s share
-s of their words, so in any fixed order of labelled words the first (1 - s) n + 1 of either text hold a common
-one. The order is by rarity, so these new buckets are small. Rounds go on until no bucket is left: every pair
-of candidates is either compared or of one class already. Nothing is capped or sampled.
+No bucket is expanded into its pairs. First, every bucket's smallest id is compared with its other members and
+the links are merged into classes by joins; a large group of copies is one class then. What remains are pairs
+of different classes within a bucket. Changing a word moves at most two in a histogram of hashed words, so the
+histograms of similar texts differ by at most twice the allowed distance: a vectorised comparison inside the
+bucket drops, without loss, nearly all pairs that are not similar, and only the others are emitted and aligned.
+The members of a bucket's largest class are split over blocks of ``BLOCK`` and meet the bucket's other members
+in each. A bucket with more than ``BLOCK`` of those is dealt again, without loss: texts of similarity s share s
+of their words, so in any fixed order of labelled words the first (1 - s) n + 1 of either text hold a common
+one; the order is by rarity, so the new buckets are small, and any that is not is compared block by block.
+Nothing is capped or sampled.
 
 Texts of fewer than five words have one run, all their words. Cases: texts without words (null, empty, blank)
 are classes of their own; a null id takes no part and gets a null class; rows that
@@ -27,14 +30,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import SPACE, materialize, table
 
 RUN = 5
 TAKE = 2
 REPEATS = 16
-LEADERS = 24
+BLOCK = 4096
+BINS = 64
 SIMILARITY = 0.8
 _M1, _M2, _BASE = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -168,14 +171,19 @@ def sketch_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def sequence_table(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id and words, 32-bit word hashes in a binary, of the documents in ``ids``."""
+    """id, words (32-bit word hashes in a binary), n and histogram (of hashed words) of the documents in ``ids``."""
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([(w >> np.uint64(32)).astype(np.uint32).tobytes() for w in arrays(batch.column(1))], pa.binary())], ["id", "words"])
+            words, sizes, histograms = [], [], []
+            for w in arrays(batch.column(1)):
+                words.append((w >> np.uint64(32)).astype(np.uint32).tobytes())
+                sizes.append(len(w))
+                histograms.append(np.minimum(np.bincount((w % np.uint64(BINS)).astype(np.int64), minlength=BINS), 30_000).astype(np.int16).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary()), pa.array(sizes, pa.int32()), pa.array(histograms, pa.binary())], ["id", "words", "n", "histogram"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
-    return rows.select("id", hashed_words("text").alias("w")).mapInArrow(run, "id long, words binary")
+    return rows.select("id", hashed_words("text").alias("w")).mapInArrow(run, "id long, words binary, n int, histogram binary")
 
 
 def verify(pairs: DataFrame, sequences: DataFrame, similarity: float) -> DataFrame:
@@ -209,7 +217,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def classed(buckets: DataFrame, classes: DataFrame | None) -> DataFrame:
-    """key, id and class_id of the buckets that hold more than one class, without the rest."""
+    """key, id, class_id, leader, members of the buckets that hold more than one class."""
     if classes is None:
         rows = buckets.withColumn("class_id", F.col("id"))
     else:
@@ -218,6 +226,68 @@ def classed(buckets: DataFrame, classes: DataFrame | None) -> DataFrame:
     return rows.join(mixed.select("key", "leader", "members"), "key")
 
 
+def blocks(rows: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with the block in which they are compared; and those of buckets with too many outside the largest class."""
+    sizes = rows.groupBy("key", "class_id").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "class_id")).alias("top"), F.sum("n").alias("members"))
+    largest = largest.select("key", F.col("top.class_id").alias("top"), F.col("top.n").alias("inside"), (F.col("members") - F.col("top.n")).alias("outside"))
+    rows = rows.select("key", "id", "class_id").join(largest, "key")
+    fits = rows.filter(F.col("outside") <= block).withColumn("of", F.ceil(F.col("inside") / block).cast("int"))
+    own = F.array(F.pmod(F.xxhash64("id"), F.col("of")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("of") - 1)
+    fits = fits.select("key", "id", "class_id", F.explode(F.when(F.col("class_id") == F.col("top"), own).otherwise(every)).alias("block"))
+    return fits, rows.filter(F.col("outside") > block).select("key", "id", "class_id")
+
+
+def crossed(rows: DataFrame, block: int) -> DataFrame:
+    """Block against block, for buckets that are large even after they were dealt again."""
+    sizes = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("of"))
+    rows = rows.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("of")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("other")
+    rows = rows.select("key", "id", "class_id", "of", "own", other)
+    return rows.select("key", "id", "class_id", (F.least("own", "other") * F.col("of") + F.greatest("own", "other")).alias("block"))
+
+
+def close_pairs(rows: DataFrame, sequences: DataFrame, similarity: float) -> DataFrame:
+    """Pairs a < b of different classes within a block whose lengths and histograms allow the similarity."""
+
+    def compare(ids, classes, n, h, found):
+        # Sorted by n, so that the longer text, whose allowance counts, is j.
+        most = ((1 - similarity) * n + 1e-9).astype(np.int64)
+        for i in range(len(n) - 1):
+            j = np.arange(i + 1, len(n))
+            j = j[(n[j] - n[i] <= most[j]) & (classes[j] != classes[i])]
+            if len(j):
+                j = j[np.abs(h[j] - h[i]).sum(axis=1, dtype=np.int64) <= 2 * most[j]]
+                if len(j):
+                    found.append(np.stack([np.minimum(ids[j], ids[i]), np.maximum(ids[j], ids[i])], axis=1))
+
+    def run(batches):
+        def done(found):
+            pairs = np.unique(np.concatenate([np.empty((0, 2), np.int64), *found]), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+        left = None  # the last block, which may go on in the next batch
+        for batch in batches:
+            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "block", "id", "class_id", "n")]
+            now.append(np.frombuffer(b"".join(batch.column("histogram").to_pylist()), np.int16).reshape(-1, BINS))
+            now = now if left is None else [np.concatenate(x) for x in zip(left, now, strict=True)]
+            if not len(now[0]):
+                continue
+            cut = np.flatnonzero(np.concatenate([[True], (now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1])]))
+            found: list[np.ndarray] = []
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                compare(*(x[a:b] for x in now[2:]), found)
+            left = [x[cut[-1] :].copy() for x in now]
+            yield done(found)
+        if left is not None:
+            compare(*left[2:], found := [])
+            yield done(found)
+
+    rows = rows.join(sequences.select("id", "n", "histogram"), "id").select("key", "block", "id", "class_id", F.col("n").cast("long").alias("n"), "histogram")
+    return rows.repartition("key", "block").sortWithinPartitions("key", "block", "n", "id").mapInArrow(run, "a long, b long").filter("a < b").distinct()
+
+
 def redealt(ids: DataFrame, sequences: DataFrame, similarity: float, counters: int = 1 << 16) -> DataFrame:
     """Buckets by the words of which similar texts must share one, for ``ids``."""
     rows = materialize(sequences.join(ids, "id", "left_semi"))
@@ -255,36 +325,22 @@ def redealt(ids: DataFrame, sequences: DataFrame, similarity: float, counters: i
     return rows.mapInArrow(deal, "key long, id long")
 
 
-def links_of(buckets: DataFrame, sequences: DataFrame, similarity: float) -> DataFrame | None:
+def links_of(buckets: DataFrame, sequences: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
     """All links (a, b) between members of one bucket, up to links inside a class that others make already."""
-    links = tried = classes = None
-    number = 0
     rows = materialize(classed(buckets, None))
-    while not rows.isEmpty():
-        if number == 0:
-            leaders = rows.filter("id = leader").select("key", F.col("id").alias("a"), F.col("class_id").alias("ca"))
-        else:
-            # A limit on a rank: Spark takes each task's first few before it exchanges them.
-            leaders = rows.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("id"))).filter(F.col("rank") <= LEADERS)
-            leaders = leaders.select("key", F.col("id").alias("a"), F.col("class_id").alias("ca"))
-        pairs = rows.join(leaders, "key").filter("class_id <> ca AND id <> a").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        seen = materialize(verify(pairs, sequences, similarity))
-        fresh = seen.filter("ok").select("a", "b")
-        links = fresh if links is None else links.unionByName(fresh)
-        failed = seen.filter("NOT ok").select("a", "b")
-        tried = failed if tried is None else tried.unionByName(failed)
-        classes = components(links)
-        rest = rows.select("key", "id").join(leaders.select("key", F.col("a").alias("id")), ["key", "id"], "left_anti")
-        rows = materialize(classed(rest, classes))
-        if number == 0:
-            large = materialize(rows.filter(F.col("members") > LEADERS).select("id").distinct())
-            if not large.isEmpty():
-                dealt = classed(redealt(large, sequences, similarity).distinct(), classes)
-                rows = materialize(rows.filter(F.col("members") <= LEADERS).unionByName(dealt))
-        number += 1
-    return links
+    pairs = rows.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    seen = materialize(verify(pairs, sequences, similarity))
+    links = seen.filter("ok").select("a", "b")
+    classes = components(links)
+    fits, large = blocks(materialize(classed(rows.select("key", "id"), classes)), block)
+    pairs = close_pairs(fits, sequences, similarity)
+    large = materialize(large.select("id").distinct())
+    if not large.isEmpty():
+        fits, large = blocks(materialize(classed(redealt(large, sequences, similarity).distinct(), classes)), block)
+        pairs = pairs.unionByName(close_pairs(fits.unionByName(crossed(large, block)), sequences, similarity)).distinct()
+    pairs = pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti")
+    rest = materialize(verify(pairs, sequences, similarity))
+    return links.unionByName(rest.filter("ok").select("a", "b"))
 
 
 def near_duplicate_classes(docs: DataFrame, *, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -297,11 +353,8 @@ def near_duplicate_classes(docs: DataFrame, *, similarity: float = SIMILARITY, i
     sequences = materialize(sequence_table(docs, buckets.select("id").distinct(), id_col, text_col))
     links = links_of(buckets, sequences, similarity)
     rows = sketched.select("id", "digest").join(representatives.select("digest", "rep"), "digest", "left")
-    if links is None:
-        rows = rows.select("id", F.coalesce("rep", "id").alias("class_id"))
-    else:
-        named = components(links).select(F.col("id").alias("rep"), "class_id")
-        rows = rows.join(named, "rep", "left").select("id", F.coalesce("class_id", "rep", "id").alias("class_id"))
+    named = components(links).select(F.col("id").alias("rep"), "class_id")
+    rows = rows.join(named, "rep", "left").select("id", F.coalesce("class_id", "rep", "id").alias("class_id"))
     rows = materialize(rows)
     sizes = rows.groupBy(F.col("class_id").alias("c")).agg(F.count(F.lit(1)).alias("class_size"))
     return rows.join(sizes, F.col("class_id").eqNullSafe(F.col("c")), "left").select(
