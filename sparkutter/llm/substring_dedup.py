@@ -139,12 +139,13 @@ def by_tag(tags: np.ndarray, *columns: np.ndarray) -> list[tuple[int, bytes]]:
     order = np.argsort(tags, kind="stable")
     tags, columns = tags[order], [c[order] for c in columns]
     cut = np.flatnonzero(starts(tags))
-    return [(int(tags[i]), pack([c[i:j] for c in columns])) for i, j in zip(cut, np.append(cut[1:], len(tags)), strict=True)]
+    return [(int(tags[i]), pack([c[i:j] for c in columns])) for i, j in zip(cut, np.append(cut, len(tags))[1:], strict=True)]
 
 
 def packed_batch(rows: list[tuple[int, int | None, bytes]]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [[], [], []]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["part", "tag", "data"])
+    """Rows of a known tag, or entries of many (tag None: ``many``; a null would make pandas round the others)."""
+    columns = list(zip(*((p, t is None, t or 0, d) for p, t, d in rows), strict=True)) or [[], [], [], []]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.bool_(), pa.int64(), pa.binary()), strict=True)], ["part", "many", "tag", "data"])
 
 
 def shared_seeds(docs: DataFrame, text_col: str, groups: int, window: int, seed: int) -> DataFrame:
@@ -174,16 +175,16 @@ def shared_seeds(docs: DataFrame, text_col: str, groups: int, window: int, seed:
                 order = np.lexsort((t, part))
                 m, t, part = m[order], t[order], part[order]
                 cut = np.flatnonzero(starts(part))
-                for i, j in zip(cut, np.append(cut[1:], len(m)), strict=True):
+                for i, j in zip(cut, np.append(cut, len(m))[1:], strict=True):
                     six = np.ascontiguousarray(m[i:j].view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
                     rows.append((int(part[i]), None, (j - i).item().to_bytes(8, "little") + six + pack_runs(t[i:j])))
                 yield packed_batch(rows)
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        known = pdf[pdf["tag"].notna()]
-        out = list(zip(known["tag"].astype("int64"), known["data"], strict=True))
+        known = pdf[~pdf["many"]]
+        out = list(zip(known["tag"], known["data"], strict=True))
         seeds, tags = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-        for data in pdf["data"][pdf["tag"].isna()]:
+        for data in pdf["data"][pdf["many"]]:
             n = int.from_bytes(data[:8], "little")
             wide = np.zeros((n, 8), np.uint8)
             wide[:, :6] = np.frombuffer(data, np.uint8, 6 * n, 8).reshape(-1, 6)
@@ -194,11 +195,11 @@ def shared_seeds(docs: DataFrame, text_col: str, groups: int, window: int, seed:
         m, t = m[order], t[order]
         first = np.flatnonzero(starts(m))
         times = np.diff(np.append(first, len(m)))
-        several = np.repeat(t[first] != t[np.append(first[1:], len(m)) - 1], times) if len(m) else np.empty(0, bool)
+        several = np.repeat(t[first] != t[np.append(first, len(m))[1:] - 1], times) if len(m) else np.empty(0, bool)
         out += by_tag(t[several], m[several])
         return pd.DataFrame(out, columns=["tag", "data"])
 
-    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(emit, "part int, tag long, data binary")
+    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(emit, "part int, many boolean, tag long, data binary")
     return rows.groupBy("part").applyInPandas(merge, "tag long, data binary")
 
 
@@ -252,7 +253,7 @@ def paths(texts: DataFrame, groups: int, window: int, seed: int) -> DataFrame:
             order = np.lexsort((pos, tag, part))
             edge, rep, tag, pos, part = (c[order] for c in (edge, rep, tag, pos, part))
             cut = np.flatnonzero(starts(part))
-            for i, j in zip(cut, np.append(cut[1:], len(part)), strict=True):
+            for i, j in zip(cut, np.append(cut, len(part))[1:], strict=True):
                 out.append((int(part[i]), None, pack([edge[i:j], pos[i:j].astype(np.int32)]) + pack_runs(rep[i:j]) + pack_runs(tag[i:j])))
             yield packed_batch(out)
 
@@ -267,10 +268,10 @@ def paths(texts: DataFrame, groups: int, window: int, seed: int) -> DataFrame:
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         names = ["tag", "first", "windows", "source", "source_first"]
-        known = pdf[pdf["tag"].notna()]
+        known = pdf[~pdf["many"]]
         done = [[int(t), *(int(x[0]) for x in unpack(d, [np.int64] * 4))] for t, d in zip(known["tag"], known["data"], strict=True)]
         columns = [[np.empty(0, k)] for k in (np.uint64, np.int64, np.int64, np.int64)]
-        for data in pdf["data"][pdf["tag"].isna()]:
+        for data in pdf["data"][pdf["many"]]:
             edge, pos = unpack(data, entry)
             rest = data[8 + 12 * len(edge) :]
             n = int.from_bytes(rest[:8], "little")
@@ -280,7 +281,7 @@ def paths(texts: DataFrame, groups: int, window: int, seed: int) -> DataFrame:
         frame = pd.DataFrame(dict(zip(names, found, strict=True)))
         return pd.concat([frame, pd.DataFrame(done, columns=names)]).astype("int64")
 
-    rows = texts.select("tag", "rep", "z", "seeds").mapInArrow(emit, "part int, tag long, data binary")
+    rows = texts.select("tag", "rep", "z", "seeds").mapInArrow(emit, "part int, many boolean, tag long, data binary")
     return rows.groupBy("part").applyInPandas(merge, PATH)
 
 
