@@ -18,20 +18,20 @@ table gives an empty result, further columns are ignored whatever their names.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from array import array
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, table
 
 TOKENIZER = "word_bpe_49k.json"
-KNOWN_WORDS = 400_000  # entries of a worker's word cache
+KNOWN_WORDS = 500_000  # entries of a worker's word cache, which is kept twice over
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
@@ -45,6 +45,18 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def of_worker(make, *key):
+    """``make(*key)``, once for each Python worker: workers serve many tasks."""
+    import sys
+    import types
+
+    kept = sys.modules.setdefault("_sparkutter_worker", types.ModuleType("_sparkutter_worker")).__dict__
+    name = (make.__name__, *key)
+    if name not in kept:
+        kept[name] = make(*key)
+    return kept[name]
+
+
 class WordEncoder:
     """Token ids of whole texts, word by word.
 
@@ -52,41 +64,67 @@ class WordEncoder:
     words met before are looked up.
     """
 
-    #: ASCII white space; any other stays inside a word, and the tokenizer treats it there.
-    SPLIT = re.compile(r"[ \t\n\r]+")
+    #: White space that separates words here; any other stays inside a word, and the tokenizer treats it there.
+    SPACES = "\n\t\r"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [self.SPLIT.split(t) for t in texts]
-        known = self.known
-        if len(known) > KNOWN_WORDS:
-            known.clear()
-            known[""] = b""
-        new = list({w for words in split for w in words if w not in known})
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def lookup(self, words: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each of these distinct words."""
+        if len(self.known) > KNOWN_WORDS:
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
+        new = []
+        for w in words:
+            if w not in known:
+                if w in before:
+                    known[w] = before[w]
+                else:
+                    new.append(w)
         for k in range(0, len(new), 20_000):
             part = new[k : k + 20_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 known[w] = array("I", e.ids).tobytes()
-        return [b"".join([known[w] for w in words]) for words in split]
+        return [known[w] for w in words]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (null: none) in one array, and where each text's begin and the last one's end."""
+        texts = pc.fill_null(texts, "")
+        for c in self.SPACES:
+            texts = pc.replace_substring(texts, c, " ")
+        split = pc.split_pattern(texts, " ")
+        words = split.flatten().dictionary_encode()
+        at = words.indices.to_numpy()
+        ids = self.lookup(words.dictionary.to_pylist())
+        sizes = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
+        begins = np.cumsum(sizes) - sizes
+        each = sizes[at]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        flat = np.frombuffer(b"".join(ids), np.uint32)[np.repeat(begins[at] - ends[:-1], each) + np.arange(ends[-1])]
+        offsets = split.offsets.to_numpy()
+        return flat, ends[offsets - offsets[0]]
 
 
 def slices(texts: list[str | None], budget: int = 4_000_000):
     """Runs of texts with about ``budget`` characters each, as (first, end)."""
-    first, size = 0, 0
-    for k, t in enumerate(texts):
-        size += len(t or "")
+    return runs((len(t or "") for t in texts), budget)
+
+
+def runs(sizes, budget: int):
+    first, size, k = 0, 0, -1
+    for k, n in enumerate(sizes):
+        size += n
         if size >= budget:
             yield first, k + 1
             first, size = k + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
+    if first <= k:
+        yield first, k + 1
 
 
 def piece_table(docs: DataFrame, *, capacity: int = 2048, end_id: int = 0, tokenizer: str = TOKENIZER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -96,12 +134,13 @@ def piece_table(docs: DataFrame, *, capacity: int = 2048, end_id: int = 0, token
     def cut(batches):
         encoder = None
         for batch in batches:
-            encoder = encoder or WordEncoder(tokenizer_path(tokenizer))
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(texts):
+            encoder = encoder or of_worker(WordEncoder, tokenizer_path(tokenizer))
+            docs_, texts = batch.column(0).to_pylist(), batch.column(1)
+            for a, b in runs(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), 8_000_000):
                 out: list[list] = [[], [], [], [], []]
-                for doc, data in zip(ids[a:b], encoder.encode([t or "" for t in texts[a:b]]), strict=True):
-                    data += end
+                flat, ends = encoder.encode(texts.slice(a, b - a))
+                for doc, begin, stop in zip(docs_[a:b], ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                    data = flat[begin:stop].tobytes() + end
                     for k, at in enumerate(range(0, len(data), 4 * capacity)):
                         part = data[at : at + 4 * capacity]
                         for column, value in zip(out, (doc, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
