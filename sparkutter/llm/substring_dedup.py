@@ -30,7 +30,6 @@ their names.
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 import pandas as pd
@@ -39,14 +38,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, shuffle_partitions, table
-from .near_dedup import run_hashes
-from .packing import slices
+from .common import SPACE, materialize, shuffle_partitions, table
+from .near_dedup import arrays, run_hashes
+from .packing import runs
 
 WINDOW = 13
 SEED = 5
 GROUP_WORDS = 3_000_000
-WORD = re.compile("[^\x20\x09-\x0d]+")
 _LOW = np.uint64(0xFFFFFFFFFFFF)
 
 
@@ -62,15 +60,11 @@ class WordHasher:
         known = self.known
         if len(known) > self.most:
             known.clear()
-        for w in set(words) - known.keys():
+        for w in [w for w in set(words) if w not in known]:
             known[w] = self.digest(w.encode("utf-8", "surrogatepass"), seed=42)
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
-def tag_of(hashes: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
-
-
 def sha(words: list[str]) -> str:
     return hashlib.sha256(" ".join(words).encode("utf-8", "surrogatepass")).hexdigest()
 
@@ -120,18 +114,17 @@ def starts(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
-def survey(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, tag of the word sequence, n_words, sha256 of all words."""
+def plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, t (the words, joined by single spaces) and tag, a hash of t."""
+    text = F.regexp_replace(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE, " "), "^ | $", "")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t"))
+    return rows.withColumn("tag", F.xxhash64("t"))
 
-    def run(batches):
-        hasher = WordHasher()
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            rows = [(tag_of(hasher(w)), len(w), sha(w)) for w in (WORD.findall(t or "") for t in texts)]
-            columns = list(zip(*rows, strict=True)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())], ["doc_id", "tag", "n_words", "sha"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, tag long, n_words long, sha string")
+def survey(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, tag of the word sequence, n_words, sha256 of all words."""
+    n = F.when(F.col("t") == "", 0).otherwise(F.length("t") - F.length(F.translate("t", " ", "")) + 1)
+    return plain(docs, id_col, text_col).select("doc_id", "tag", n.cast("long").alias("n_words"), F.sha2("t", 256).alias("sha"))
 
 
 def by_tag(tags: np.ndarray, *columns: np.ndarray) -> list[tuple[int, bytes]]:
@@ -148,19 +141,17 @@ def packed_batch(rows: list[tuple[int, int | None, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.bool_(), pa.int64(), pa.binary()), strict=True)], ["part", "many", "tag", "data"])
 
 
-def shared_seeds(docs: DataFrame, text_col: str, groups: int, window: int, seed: int) -> DataFrame:
+def shared_seeds(docs: DataFrame, id_col: str, text_col: str, groups: int, window: int, seed: int) -> DataFrame:
     """tag and data: minimisers of a word sequence that another one has as well."""
 
     def emit(batches):
-        hasher = WordHasher()
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in slices(texts, 8_000_000):
+            own, hashed = batch.column(0).to_pylist(), list(arrays(batch.column(1)))
+            for a, b in runs(map(len, hashed), 1_000_000):
                 seeds, tags = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-                for t in texts[a:b]:
-                    h = hasher(WORD.findall(t or ""))
+                for tag, h in zip(own[a:b], hashed[a:b], strict=True):
                     seeds.append(np.unique(minimisers(h, window, seed)))
-                    tags.append(np.full(len(seeds[-1]), tag_of(h), np.int64))
+                    tags.append(np.full(len(seeds[-1]), tag, np.int64))
                 m, t = np.concatenate(seeds), np.concatenate(tags)
                 order = np.lexsort((t, m))
                 m, t = m[order], t[order]
@@ -199,7 +190,8 @@ def shared_seeds(docs: DataFrame, text_col: str, groups: int, window: int, seed:
         out += by_tag(t[several], m[several])
         return pd.DataFrame(out, columns=["tag", "data"])
 
-    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(emit, "part int, many boolean, tag long, data binary")
+    words = F.transform(F.split("t", " "), lambda w: F.xxhash64(w))
+    rows = plain(docs, id_col, text_col).select("tag", words.alias("w")).mapInArrow(emit, "part int, many boolean, tag long, data binary")
     return rows.groupBy("part").applyInPandas(merge, "tag long, data binary")
 
 
@@ -231,7 +223,7 @@ def paths(texts: DataFrame, groups: int, window: int, seed: int) -> DataFrame:
         for batch in batches:
             columns = [[] for _ in range(5)]  # edge, rep, tag, pos, seed
             for tag, rep, z, seeds in zip(*(batch.column(c).to_pylist() for c in ("tag", "rep", "z", "seeds")), strict=True):
-                h = hasher(WORD.findall(opened.decompress(z).decode("utf-8", "surrogatepass")))
+                h = hasher(opened.decompress(z).decode().split(" "))
                 m = minimisers(h, window, seed)
                 pos = np.flatnonzero(np.isin(m, np.concatenate([unpack(s, [np.uint64])[0] for s in seeds])))
                 if len(pos):
@@ -309,7 +301,7 @@ def source_digests(found: DataFrame, texts: DataFrame, window: int) -> DataFrame
         for batch in batches:
             out: list[list] = [[], [], [], []]
             for tag, z, stretches in zip(*(batch.column(c).to_pylist() for c in ("tag", "z", "stretches")), strict=True):
-                words = WORD.findall(opened.decompress(z).decode("utf-8", "surrogatepass"))
+                words = opened.decompress(z).decode().split(" ")
                 for s in stretches:
                     n = s["windows"]
                     for c, x in zip(out, (tag, s["source_first"], n, digest(words[s["source_first"] : s["source_first"] + n + window - 1])), strict=True):
@@ -321,16 +313,16 @@ def source_digests(found: DataFrame, texts: DataFrame, window: int) -> DataFrame
 
 
 def cut(texts: DataFrame, checked: DataFrame, window: int) -> DataFrame:
-    """tag, n_removed, sha and spans (word positions removed, end exclusive) after verification of every path."""
+    """tag, rep, n_removed, sha_kept and spans (word positions removed, end exclusive) after verification of every path."""
 
     def run(batches):
         import zstandard
 
         opened = zstandard.ZstdDecompressor()
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for tag, z, found in zip(*(batch.column(c).to_pylist() for c in ("tag", "z", "paths")), strict=True):
-                words = WORD.findall(opened.decompress(z).decode("utf-8", "surrogatepass"))
+            out: list[list] = [[], [], [], [], []]
+            for tag, rep, z, found in zip(*(batch.column(c).to_pylist() for c in ("tag", "rep", "z", "paths")), strict=True):
+                words = opened.decompress(z).decode().split(" ")
                 gone = np.zeros(len(words) + 1, np.int64)
                 for p in found:
                     end = p["first"] + p["windows"] + window - 1
@@ -339,36 +331,28 @@ def cut(texts: DataFrame, checked: DataFrame, window: int) -> DataFrame:
                         gone[end] -= 1
                 covered = np.cumsum(gone)[:-1] > 0
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], covered, [0]]))).reshape(-1, 2)
-                for c, x in zip(out, (tag, int(covered.sum()), sha([w for w, g in zip(words, covered.tolist(), strict=True) if not g]), edges.tolist()), strict=True):
+                for c, x in zip(out, (tag, rep, int(covered.sum()), sha([w for w, g in zip(words, covered.tolist(), strict=True) if not g]), edges.tolist()), strict=True):
                     c.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64()))), strict=True)], ["tag", "n_removed", "sha_kept", "spans"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64()))), strict=True)], ["tag", "rep", "n_removed", "sha_kept", "spans"])
 
     grouped = checked.groupBy("tag").agg(F.collect_list(F.struct("first", "windows", "whole")).alias("paths"))
-    return texts.select("tag", "z").join(grouped, "tag").mapInArrow(run, "tag long, n_removed long, sha_kept string, spans array<array<long>>")
+    return texts.select("tag", "rep", "z").join(grouped, "tag").mapInArrow(run, "tag long, rep long, n_removed long, sha_kept string, spans array<array<long>>")
 
 
 def compressed(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """tag, rep, z, seeds: the text of the first document of each wanted tag."""
+    """tag, rep, z, seeds: the words of the first document of each wanted tag."""
 
     def shrink(batches):
         import zstandard
 
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([press.compress((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()], pa.binary())], ["rep", "z"])
-
-    def own(batches):
-        """Rows of one id may have several texts: keep the one that the tag names."""
-        import zstandard
-
-        hasher, opened = WordHasher(), zstandard.ZstdDecompressor()
-        for batch in batches:
-            keep = [t == tag_of(hasher(WORD.findall(opened.decompress(z).decode("utf-8", "surrogatepass")))) for t, z in zip(batch.column("tag").to_pylist(), batch.column("z").to_pylist(), strict=True)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([press.compress(t.encode()) for t in batch.column(2).to_pylist()], pa.binary())], ["rep", "tag", "z"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).mapInArrow(shrink, "rep long, z binary")
-    rows = texts.join(wanted, "rep").select("tag", "rep", "z", "seeds")
-    return rows.mapInArrow(own, rows.schema).dropDuplicates(["tag"]) if not wanted.groupBy("rep").count().filter("count > 1").isEmpty() else rows
+    texts = plain(docs, id_col, text_col).select(F.col("doc_id").alias("rep"), "tag", "t").mapInArrow(shrink, "rep long, tag long, z binary")
+    rows = texts.join(wanted, ["rep", "tag"]).select("tag", "rep", "z", "seeds")
+    # Rows that repeat both id and text are one document.
+    return rows if wanted.filter("times > 1").isEmpty() else rows.dropDuplicates(["rep", "tag"])
 
 
 def repeated_words(docs: DataFrame, *, window: int = WINDOW, seed: int = SEED, group_words: int = GROUP_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -377,16 +361,17 @@ def repeated_words(docs: DataFrame, *, window: int = WINDOW, seed: int = SEED, g
     rows = materialize(survey(docs, id_col, text_col))
     total = rows.agg(F.sum("n_words")).first()[0] or 0
     groups = max(shuffle_partitions(spark), -(-total // group_words))
-    reps = rows.filter("doc_id IS NOT NULL AND n_words >= %d" % window).groupBy("tag").agg(F.min("doc_id").alias("rep"))
-    seeds = shared_seeds(docs.filter(F.col(id_col).isNotNull()), text_col, groups, window, seed)
-    wanted = materialize(seeds.groupBy("tag").agg(F.collect_list("data").alias("seeds")).join(reps, "tag"))
+    reps = rows.filter(F.col("doc_id").isNotNull() & (F.col("n_words") >= window)).groupBy("sha").agg(F.min(F.struct("doc_id", "tag")).alias("first"), F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("ids"))
+    reps = materialize(reps.select("sha", "rep", "first.tag", (F.col("n") - F.col("ids") + 1).alias("times")))
+    seeds = shared_seeds(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, groups, window, seed)
+    wanted = materialize(seeds.groupBy("tag").agg(F.collect_list("data").alias("seeds")).join(reps.select("tag", "rep", "times"), "tag"))
     texts = materialize(compressed(docs, wanted, id_col, text_col))
     found = materialize(compact(paths(texts, groups, window, seed)))
     wholes = source_digests(found, texts, window)
     checked = found.join(wholes, ["source", "source_first", "windows"]).select("tag", "first", "windows", "whole")
     done = cut(texts, checked, window)
     # Copies: every window of theirs starts in the first of them.
-    rows = rows.join(reps, "tag", "left").join(done, "tag", "left")
+    rows = rows.drop("tag").join(reps.drop("times"), "sha", "left").join(done, ["tag", "rep"], "left")
     copy = F.coalesce(F.col("doc_id") > F.col("rep"), F.lit(False))
     first = F.coalesce(F.col("doc_id") == F.col("rep"), F.lit(False)) & F.col("n_removed").isNotNull()
     return rows.select(
