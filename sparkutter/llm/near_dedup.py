@@ -36,6 +36,7 @@ from .common import SPACE, materialize, table
 RUN = 5
 TAKE = 2
 REPEATS = 16
+FIRST = 4
 BLOCK = 4096
 BINS = 64
 SIMILARITY = 0.8
@@ -327,12 +328,22 @@ def redealt(ids: DataFrame, sequences: DataFrame, similarity: float, counters: i
 
 def links_of(buckets: DataFrame, sequences: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
     """All links (a, b) between members of one bucket, up to links inside a class that others make already."""
-    rows = materialize(classed(buckets, None))
-    pairs = rows.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    seen = materialize(verify(pairs, sequences, similarity))
+    def star(rows, classes, tried):
+        rows = classed(rows, classes)
+        leaders = rows.filter("id = leader").select("key", F.col("id").alias("a"), F.col("class_id").alias("ca")).distinct()
+        pairs = rows.filter("id <> leader").join(leaders, "key").filter("class_id <> ca").select("a", F.col("id").alias("b")).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        return materialize(verify(pairs, sequences, similarity))
+
+    # Most links show in the first sketches; for the others, only members of other classes are left to compare.
+    first = star(buckets.filter(F.col("repeat") < FIRST), None, None)
+    classes = components(first.filter("ok"))
+    second = star(buckets, classes, first)
+    seen = first.unionByName(second)
     links = seen.filter("ok").select("a", "b")
     classes = components(links)
-    fits, large = blocks(materialize(classed(rows.select("key", "id"), classes)), block)
+    fits, large = blocks(materialize(classed(buckets, classes)), block)
     pairs = close_pairs(fits, sequences, similarity)
     large = materialize(large.select("id").distinct())
     if not large.isEmpty():
@@ -348,8 +359,9 @@ def near_duplicate_classes(docs: DataFrame, *, similarity: float = SIMILARITY, i
     sketched = materialize(sketch_table(docs, id_col, text_col))
     worded = sketched.filter("id IS NOT NULL AND digest IS NOT NULL")
     representatives = materialize(worded.groupBy("digest").agg(F.min("id").alias("rep"), F.min_by("keys", "id").alias("keys")))
-    buckets = representatives.select(F.explode("keys").alias("key"), F.col("rep").alias("id"))
-    buckets = materialize(classed(buckets, None).select("key", "id"))
+    buckets = representatives.select(F.posexplode("keys").alias("repeat", "key"), F.col("rep").alias("id"))
+    several = buckets.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select("key")
+    buckets = materialize(buckets.join(several, "key", "left_semi"))
     sequences = materialize(sequence_table(docs, buckets.select("id").distinct(), id_col, text_col))
     links = links_of(buckets, sequences, similarity)
     rows = sketched.select("id", "digest").join(representatives.select("digest", "rep"), "digest", "left")
