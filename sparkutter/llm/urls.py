@@ -66,9 +66,9 @@ def purity(blocked: Column, examples: Column, parent: Column) -> Column:
 def templates(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     """host, path, template and purity for each distinct (host, path) of ``counts`` (with examples and blocked)."""
     root = counts.groupBy("host").agg(F.sum("examples").alias("e"), F.sum("blocked").alias("b"))
-    overall = counts.agg(F.sum("examples").alias("all_e"), F.sum("blocked").alias("all_b"))
-    base = F.when(F.col("all_e") > 0, F.col("all_b") / F.col("all_e")).otherwise(F.lit(0.0))
-    hosts = root.crossJoin(F.broadcast(overall)).select("host", purity(F.col("b"), F.col("e"), base).alias("purity"))
+    overall = counts.agg(F.sum("examples").alias("e"), F.sum("blocked").alias("b")).first()
+    base = F.lit(overall["b"] / overall["e"] if overall["e"] else 0.0)
+    hosts = root.select("host", purity(F.col("b"), F.col("e"), base).alias("purity"))
     rows = counts.join(hosts, "host").withColumn("template", F.lit("")).withColumn("parts", F.slice(F.split("path", "/"), 2, 1000))
     for level in range(depth):
         rows = materialize(rows)
