@@ -47,9 +47,14 @@ class Lexicon:
     affixes: tuple[str, ...] = ()
     gap_redup: float = W.GAP_REDUPLICATION_MOST
     gap_disfl: float = W.GAP_DISFLUENCY_LEAST
+    # Markers that are fillers only in some places.
+    openers: tuple[str, ...] = W.OPENERS
+    answers: tuple[str, ...] = W.ANSWERS
+    demonstratives: tuple[str, ...] = W.DEMONSTRATIVES
+    tails: tuple[str, ...] = W.DEMONSTRATIVE_TAILS
 
     @classmethod
-    def build(cls, *, pauses=(), ambiguous=(), markers=(), marker_phrases=(), editing=(), strong=None, doubled=(), function=(), function_doubled=(), affixes=(), gap_redup=W.GAP_REDUPLICATION_MOST, gap_disfl=W.GAP_DISFLUENCY_LEAST):
+    def build(cls, *, pauses=(), ambiguous=(), markers=(), marker_phrases=(), editing=(), strong=None, doubled=(), function=(), function_doubled=(), affixes=(), gap_redup=W.GAP_REDUPLICATION_MOST, gap_disfl=W.GAP_DISFLUENCY_LEAST, **context):
         """From plain lists; entries with a space are phrases, and later lists win: marker phrases, editing, markers."""
         single = lambda items: frozenset(c for x in items if " " not in x and (c := plain_canonical(x)))
         phrases: dict[str, str] = {}
@@ -58,7 +63,7 @@ class Lexicon:
                 if len(x.split()) > 1:
                     phrases[" ".join(plain_canonical(p) for p in x.split())] = category
         strong = W.STRONG_EDITING_TERMS if strong is None else strong
-        return cls(single(pauses), single(ambiguous), single(markers), single(editing), single(strong), phrases, single(doubled), single(function), single(function_doubled), tuple(affixes), gap_redup, gap_disfl)
+        return cls(single(pauses), single(ambiguous), single(markers), single(editing), single(strong), phrases, single(doubled), single(function), single(function_doubled), tuple(affixes), gap_redup, gap_disfl, **context)
 
     @classmethod
     def indonesian(cls) -> Lexicon:

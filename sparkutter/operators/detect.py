@@ -11,13 +11,7 @@ from ..functions.lexicon import Lexicon, one_of
 from .repeats import event_columns
 from .tokens import KEY, by_position, gap_after, running
 
-# Discourse markers that count as fillers only in some places.
-OPENERS = ("jadi", "jadinya", "terus", "trus", "sebenarnya", "sebenernya", "sebetulnya")
-ANSWERS = ("ya", "yah", "iya")
-QUESTIONS = ("apa", "gimana")
-DEMONSTRATIVES = ("gitu", "gini")
-DEMONSTRATIVE_TAIL = ("saja", "aja", "juga", "doang")
-
+# Fixed values.
 MOST_REPARANDUM = 4
 CUT_OFF_GAP = 0.35
 
@@ -88,10 +82,9 @@ def single_fillers(rows: DataFrame, lex: Lexicon, key: list[str] = KEY) -> DataF
     category = lex.category(w)
     following = F.coalesce(lex.is_filler(ahead(1, key)), F.lit(False))
     marker = ~F.col("in_marker") & (category == L.DM)
-    asks = F.col("w").isin(*ANSWERS, *QUESTIONS)
-    passes = marker & (w.isin(*OPENERS) & (F.col("i") > 0) | asks & ~following)
-    tail = F.coalesce(ahead(1, key).isin(*DEMONSTRATIVE_TAIL), F.lit(False))
-    sets = F.col("in_marker") | category.isin(L.FP, L.FP_AMB) | marker & ~(w.isin(*DEMONSTRATIVES) & tail)
+    passes = marker & (one_of(w, lex.openers) & (F.col("i") > 0) | one_of(w, lex.answers) & ~following)
+    tail = one_of(ahead(1, key), lex.tails)
+    sets = F.col("in_marker") | category.isin(L.FP, L.FP_AMB) | marker & ~(one_of(w, lex.demonstratives) & tail)
     rows = rows.withColumns({"_cat": category, "_set": F.when(~F.coalesce(passes, F.lit(False)), F.coalesce(sets, F.lit(False)))})
     rows = rows.withColumn("_filler", F.coalesce(F.last("_set", ignorenulls=True).over(running(key)), F.lit(False)))
     label = F.when(F.col("in_marker"), "DM").when(~F.col("_filler"), "O").when(F.col("_cat").isin(L.FP, L.FP_AMB), "FP").otherwise("DM")

@@ -71,3 +71,7 @@ AFFIX_PATTERNS = (
 )
 GAP_REDUPLICATION_MOST = 0.08  # seconds
 GAP_DISFLUENCY_LEAST = 0.18
+OPENERS = ("jadi", "jadinya", "terus", "trus", "sebenarnya", "sebenernya", "sebetulnya")
+ANSWERS = ("ya", "yah", "iya", "apa", "gimana")
+DEMONSTRATIVES = ("gitu", "gini")
+DEMONSTRATIVE_TAILS = ("saja", "aja", "juga", "doang")
