@@ -38,7 +38,7 @@ MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 INDEX_CHARS = 600_000
 LONG_UNIT = 200
-KNOWN_UNITS = 500_000
+KNOWN_UNITS = 200_000
 _NONE = np.int32(2**31 - 1)
 
 
