@@ -25,8 +25,9 @@ LOW_COVERAGE = 0.70
 
 def gaps(tokens: DataFrame, key: list[str] = KEY, extra: list[str] | None = None) -> DataFrame:
     """One row for each neighbouring pair: gap, never below 0."""
-    between = F.greatest(F.col("start") - F.lag("end").over(by_position(key)), F.lit(0).cast("long"))
-    return tokens.select(*(extra or []), *key, "i", between.alias("gap")).filter("gap IS NOT NULL")
+    between = F.col("start") - F.lag("end").over(by_position(key))
+    rows = tokens.select(*(extra or []), *key, "i", between.alias("gap")).filter("gap IS NOT NULL")
+    return rows.withColumn("gap", F.greatest("gap", F.lit(0).cast("long")))
 
 
 def zone(gap: Column, lex: Lexicon, unit: int = 1) -> Column:

@@ -148,7 +148,7 @@ def gap_zones(spark, sf):
 def gap_median(spark, sf):
     """The gap audit, for each user and for all."""
     out = audit.gap_audit(event_spans(spark, sf), EVENT_LEXICON, ["user_id"], "user_id")
-    return out.select("user_id", "gaps", "zero", "reduplication", "grey", "disfluency", "median", F.round("zero_share", 6).alias("zero_share"), "prosody_trusted")
+    return out.select(F.coalesce(F.col("user_id").cast("string"), F.lit("all")).alias("user_id"), "gaps", "zero", "reduplication", "grey", "disfluency", "median", F.round("zero_share", 6).alias("zero_share"), "prosody_trusted")
 
 
 def repeat_runs(spark, sf):
