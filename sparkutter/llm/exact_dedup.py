@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 
 
+KEEP = "__sparkutter_keep"  # beside any columns of the documents
+
+
 def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", normalise=None, digest=None, salts: int = 16) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -65,14 +68,14 @@ def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     Rows with a null id stay only if their whole group has null ids; then all of it stays.
     """
     groups = exact_groups(docs, id_col=id_col, text_col=text_col, **options)
-    kept = materialize(groups.filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")).withColumnRenamed("doc_id", "_keep"))
-    out = docs.join(kept.select("_keep"), docs[id_col].eqNullSafe(F.col("_keep")), "left_semi")
-    if kept.filter("times > 1 AND _keep IS NOT NULL").isEmpty():
+    kept = materialize(groups.filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")).withColumnRenamed("doc_id", KEEP))
+    out = docs.join(kept.select(KEEP), docs[id_col].eqNullSafe(F.col(KEEP)), "left_semi")
+    if kept.filter(f"times > 1 AND {KEEP} IS NOT NULL").isEmpty():
         return out
     # The same id more than once: only these few rows are compared again.
-    twice = kept.filter("times > 1 AND _keep IS NOT NULL").select("_keep")
-    once = docs.join(kept.filter("times = 1 OR _keep IS NULL").select("_keep"), docs[id_col].eqNullSafe(F.col("_keep")), "left_semi")
-    return once.unionByName(docs.join(twice, docs[id_col] == F.col("_keep"), "left_semi").dropDuplicates([id_col, text_col]))
+    twice = kept.filter(f"times > 1 AND {KEEP} IS NOT NULL").select(KEEP)
+    once = docs.join(kept.filter(f"times = 1 OR {KEEP} IS NULL").select(KEEP), docs[id_col].eqNullSafe(F.col(KEEP)), "left_semi")
+    return once.unionByName(docs.join(twice, docs[id_col] == F.col(KEEP), "left_semi").dropDuplicates([id_col, text_col]))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@ No bucket is expanded into its pairs. First, every bucket's smallest id is compa
 the links are merged into classes by joins; a large group of copies is one class then. What remains are pairs
 of different classes within a bucket. Changing a word moves at most two in a histogram of hashed words, so the
 histograms of similar texts differ by at most twice the allowed distance: a vectorised comparison inside the
-bucket drops, without loss, nearly all pairs that are not similar, and only the others are emitted and aligned.
+bucket drops, without loss, most pairs that are not similar. The others are aligned there and then, unless a link
+has joined their classes before, and only links leave the task. A pair is compared in the first bucket it shares.
 The members of a bucket's largest class are split over blocks of ``BLOCK`` and meet the bucket's other members
 in each. A bucket with more than ``BLOCK`` of those is dealt again, without loss: texts of similarity s share s
 of their words, so in any fixed order of labelled words the first (1 - s) n + 1 of either text hold a common
@@ -37,7 +38,7 @@ RUN = 5
 TAKE = 2
 REPEATS = 16
 FIRST = 4
-BLOCK = 4096
+BLOCK = 1024
 BINS = 64
 SIMILARITY = 0.8
 _M1, _M2, _BASE = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -171,20 +172,24 @@ def sketch_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), hashed_words(text_col).alias("w")).mapInArrow(run, "id long, digest binary, keys array<long>")
 
 
-def sequence_table(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, words (32-bit word hashes in a binary), n and histogram (of hashed words) of the documents in ``ids``."""
+def sequence_table(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, words (32-bit word hashes), n, histogram (of hashed words) and keys of the documents in ``wanted`` (id, keys).
+
+    Arrays of numbers are binaries.
+    """
 
     def run(batches):
         for batch in batches:
             words, sizes, histograms = [], [], []
-            for w in arrays(batch.column(1)):
+            for w in arrays(batch.column(2)):
                 words.append((w >> np.uint64(32)).astype(np.uint32).tobytes())
                 sizes.append(len(w))
                 histograms.append(np.minimum(np.bincount((w % np.uint64(BINS)).astype(np.int64), minlength=BINS), 30_000).astype(np.int16).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary()), pa.array(sizes, pa.int32()), pa.array(histograms, pa.binary())], ["id", "words", "n", "histogram"])
+            keys = [k.astype(np.uint64).tobytes() for k in arrays(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary()), pa.array(sizes, pa.int32()), pa.array(histograms, pa.binary()), pa.array(keys, pa.binary())], ["id", "words", "n", "histogram", "keys"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
-    return rows.select("id", hashed_words("text").alias("w")).mapInArrow(run, "id long, words binary, n int, histogram binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id")
+    return rows.select("id", "keys", hashed_words("text").alias("w")).mapInArrow(run, "id long, words binary, n int, histogram binary, keys binary")
 
 
 def verify(pairs: DataFrame, sequences: DataFrame, similarity: float) -> DataFrame:
@@ -218,13 +223,13 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def classed(buckets: DataFrame, classes: DataFrame | None) -> DataFrame:
-    """key, id, class_id, leader, members of the buckets that hold more than one class."""
+    """key, repeat, id, class_id, leader of the buckets that hold more than one class."""
     if classes is None:
         rows = buckets.withColumn("class_id", F.col("id"))
     else:
-        rows = buckets.join(classes, "id", "left").select("key", "id", F.coalesce("class_id", "id").alias("class_id"))
-    mixed = rows.groupBy("key").agg(F.min("class_id").alias("least"), F.max("class_id").alias("most"), F.min("id").alias("leader"), F.count(F.lit(1)).alias("members")).filter("least < most")
-    return rows.join(mixed.select("key", "leader", "members"), "key")
+        rows = buckets.join(classes, "id", "left").select("key", "repeat", "id", F.coalesce("class_id", "id").alias("class_id"))
+    mixed = rows.groupBy("key").agg(F.min("class_id").alias("least"), F.max("class_id").alias("most"), F.min("id").alias("leader")).filter("least < most")
+    return rows.join(mixed.select("key", "leader"), "key")
 
 
 def blocks(rows: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
@@ -232,11 +237,13 @@ def blocks(rows: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     sizes = rows.groupBy("key", "class_id").agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("n", "class_id")).alias("top"), F.sum("n").alias("members"))
     largest = largest.select("key", F.col("top.class_id").alias("top"), F.col("top.n").alias("inside"), (F.col("members") - F.col("top.n")).alias("outside"))
-    rows = rows.select("key", "id", "class_id").join(largest, "key")
+    rows = rows.select("key", "repeat", "id", "class_id").join(largest, "key")
     fits = rows.filter(F.col("outside") <= block).withColumn("of", F.ceil(F.col("inside") / block).cast("int"))
+    largest_class = F.col("class_id") == F.col("top")
     own = F.array(F.pmod(F.xxhash64("id"), F.col("of")).cast("int"))
     every = F.sequence(F.lit(0), F.col("of") - 1)
-    fits = fits.select("key", "id", "class_id", F.explode(F.when(F.col("class_id") == F.col("top"), own).otherwise(every)).alias("block"))
+    # In which block the others meet each other: the first.
+    fits = fits.select("key", "repeat", "id", "class_id", F.explode(F.when(largest_class, own).otherwise(every)).alias("block"), (~largest_class).alias("guest"))
     return fits, rows.filter(F.col("outside") > block).select("key", "id", "class_id")
 
 
@@ -246,52 +253,66 @@ def crossed(rows: DataFrame, block: int) -> DataFrame:
     rows = rows.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("of")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("other")
     rows = rows.select("key", "id", "class_id", "of", "own", other)
-    return rows.select("key", "id", "class_id", (F.least("own", "other") * F.col("of") + F.greatest("own", "other")).alias("block"))
+    pair = F.least("own", "other") * F.col("of") + F.greatest("own", "other")
+    return rows.select("key", F.lit(-1).alias("repeat"), "id", "class_id", pair.alias("block"), F.lit(False).alias("guest"))
 
 
-def close_pairs(rows: DataFrame, sequences: DataFrame, similarity: float) -> DataFrame:
-    """Pairs a < b of different classes within a block whose lengths and histograms allow the similarity."""
+def block_links(rows: DataFrame, sequences: DataFrame, similarity: float) -> DataFrame:
+    """Links a, b between different classes within a block, up to those that join no classes any more."""
 
-    def compare(ids, classes, n, h, found):
+    def compare(repeat, block, ids, classes, guest, n, h, keys, words, found):
         # Sorted by n, so that the longer text, whose allowance counts, is j.
         most = ((1 - similarity) * n + 1e-9).astype(np.int64)
+        shared = max(0, int(repeat[0]))
+        classes = classes.copy()
         for i in range(len(n) - 1):
             j = np.arange(i + 1, len(n))
             j = j[(n[j] - n[i] <= most[j]) & (classes[j] != classes[i])]
+            if len(j) and guest[i] and block[0]:
+                j = j[~guest[j]]
+            if len(j) and shared:
+                j = j[~(keys[j, :shared] == keys[i, :shared]).any(axis=1)]
             if len(j):
                 j = j[np.abs(h[j] - h[i]).sum(axis=1, dtype=np.int64) <= 2 * most[j]]
-                if len(j):
-                    found.append(np.stack([np.minimum(ids[j], ids[i]), np.maximum(ids[j], ids[i])], axis=1))
+            a = words[i].tolist() if len(j) else []
+            for k in j.tolist():
+                if classes[k] != classes[i] and within(a, words[k].tolist(), int(most[k])) is not None:
+                    found.append((min(ids[i], ids[k]), max(ids[i], ids[k])))
+                    classes[classes == classes[k]] = classes[i]
 
     def run(batches):
         def done(found):
-            pairs = np.unique(np.concatenate([np.empty((0, 2), np.int64), *found]), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            found = sorted(set(found))
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
         left = None  # the last block, which may go on in the next batch
         for batch in batches:
-            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "block", "id", "class_id", "n")]
+            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "repeat", "block", "id", "class_id", "guest", "n")]
             now.append(np.frombuffer(b"".join(batch.column("histogram").to_pylist()), np.int16).reshape(-1, BINS))
+            now.append(np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.int64).reshape(-1, REPEATS))
+            words = np.empty(batch.num_rows, object)
+            words[:] = [np.frombuffer(x, np.uint32) for x in batch.column("words").to_pylist()]
+            now.append(words)
             now = now if left is None else [np.concatenate(x) for x in zip(left, now, strict=True)]
             if not len(now[0]):
                 continue
-            cut = np.flatnonzero(np.concatenate([[True], (now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1])]))
-            found: list[np.ndarray] = []
+            cut = np.flatnonzero(np.concatenate([[True], (now[0][1:] != now[0][:-1]) | (now[2][1:] != now[2][:-1])]))
+            found: list[tuple[int, int]] = []
             for a, b in zip(cut[:-1], cut[1:], strict=True):
-                compare(*(x[a:b] for x in now[2:]), found)
+                compare(*(x[a:b] for x in now[1:]), found)
             left = [x[cut[-1] :].copy() for x in now]
             yield done(found)
         if left is not None:
-            compare(*left[2:], found := [])
+            compare(*left[1:], found := [])
             yield done(found)
 
-    rows = rows.join(sequences.select("id", "n", "histogram"), "id").select("key", "block", "id", "class_id", F.col("n").cast("long").alias("n"), "histogram")
+    rows = rows.join(sequences, "id").select("key", F.col("repeat").cast("int").alias("repeat"), "block", "id", "class_id", "guest", F.col("n").cast("long").alias("n"), "histogram", "keys", "words")
     return rows.repartition("key", "block").sortWithinPartitions("key", "block", "n", "id").mapInArrow(run, "a long, b long").filter("a < b").distinct()
 
 
 def redealt(ids: DataFrame, sequences: DataFrame, similarity: float, counters: int = 1 << 16) -> DataFrame:
     """Buckets by the words of which similar texts must share one, for ``ids``."""
-    rows = materialize(sequences.join(ids, "id", "left_semi"))
+    rows = materialize(sequences.select("id", "words").join(ids, "id", "left_semi"))
 
     def labelled(data: bytes) -> np.ndarray:
         w = np.frombuffer(data, np.uint32).astype(np.uint64)
@@ -344,17 +365,15 @@ def links_of(buckets: DataFrame, sequences: DataFrame, similarity: float, block:
     links = seen.filter("ok").select("a", "b")
     classes = components(links)
     fits, large = blocks(materialize(classed(buckets, classes)), block)
-    pairs = close_pairs(fits, sequences, similarity)
     large = materialize(large.select("id").distinct())
     if not large.isEmpty():
-        fits, large = blocks(materialize(classed(redealt(large, sequences, similarity).distinct(), classes)), block)
-        pairs = pairs.unionByName(close_pairs(fits.unionByName(crossed(large, block)), sequences, similarity)).distinct()
-    pairs = pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti")
-    rest = materialize(verify(pairs, sequences, similarity))
-    return links.unionByName(rest.filter("ok").select("a", "b"))
+        dealt = redealt(large, sequences, similarity).distinct().withColumn("repeat", F.lit(-1))
+        more, large = blocks(materialize(classed(dealt, classes)), block)
+        fits = fits.unionByName(more).unionByName(crossed(large, block))
+    return links.unionByName(materialize(block_links(fits, sequences, similarity)))
 
 
-def near_duplicate_classes(docs: DataFrame, *, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, *, similarity: float = SIMILARITY, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id (smallest id of its class), class_size, kept of each row."""
     sketched = materialize(sketch_table(docs, id_col, text_col))
     worded = sketched.filter("id IS NOT NULL AND digest IS NOT NULL")
@@ -362,8 +381,9 @@ def near_duplicate_classes(docs: DataFrame, *, similarity: float = SIMILARITY, i
     buckets = representatives.select(F.posexplode("keys").alias("repeat", "key"), F.col("rep").alias("id"))
     several = buckets.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select("key")
     buckets = materialize(buckets.join(several, "key", "left_semi"))
-    sequences = materialize(sequence_table(docs, buckets.select("id").distinct(), id_col, text_col))
-    links = links_of(buckets, sequences, similarity)
+    wanted = representatives.select(F.col("rep").alias("id"), "keys").join(buckets.select("id").distinct(), "id", "left_semi")
+    sequences = materialize(sequence_table(docs, wanted, id_col, text_col))
+    links = links_of(buckets, sequences, similarity, block)
     rows = sketched.select("id", "digest").join(representatives.select("digest", "rep"), "digest", "left")
     named = components(links).select(F.col("id").alias("rep"), "class_id")
     rows = rows.join(named, "rep", "left").select("id", F.coalesce("class_id", "rep", "id").alias("class_id"))
@@ -376,8 +396,8 @@ def near_duplicate_classes(docs: DataFrame, *, similarity: float = SIMILARITY, i
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` without the documents whose class has a smaller id; null ids stay."""
-    gone = materialize(near_duplicate_classes(docs, id_col=id_col, **options).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    gone = materialize(near_duplicate_classes(docs, id_col=id_col, **options).filter("NOT kept").select(F.col("doc_id").alias("__sparkutter_gone")).distinct())
+    return docs.join(gone, docs[id_col].cast("long") == F.col("__sparkutter_gone"), "left_anti")
 
 
 def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,6 +36,8 @@ KINDS = ("assign", "access", "hex", "random")
 CHANGE = 0.08
 UNIFORM = 0.001
 RATE = 0.01
+#: Beside any columns of the documents.
+ROW, SPANS, CLEAN = "__sparkutter_row", "__sparkutter_spans", "__sparkutter_clean"
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: (pattern, alphabet in order), the first that fits.
 ENCODINGS = (
@@ -169,9 +171,10 @@ def redact(docs: DataFrame, *, mask: str = "[SECRET]", id_col: str = "doc_id", t
 
     Rows without spans stay as they are; rows that share an id are matched by id and text.
     """
-    found = find_spans(docs.withColumn("_id", F.struct(F.col(id_col), F.xxhash64(text_col))), id_col="_id", text_col=text_col, **options)
-    found = found.filter(F.size("spans") > 0).select(F.col("doc_id").alias("_key"), "spans").dropDuplicates(["_key"])
-    joined = docs.join(found, F.struct(F.col(id_col), F.xxhash64(text_col)).eqNullSafe(F.col("_key")), "left")
+    named = docs.select(F.struct(F.col(id_col), F.xxhash64(text_col)).alias("row"), F.col(text_col).alias("text"))
+    found = find_spans(named, id_col="row", text_col="text", **options)
+    found = found.filter(F.size("spans") > 0).select(F.col("doc_id").alias(ROW), F.col("spans").alias(SPANS)).dropDuplicates([ROW])
+    joined = docs.join(found, F.struct(F.col(id_col), F.xxhash64(text_col)).eqNullSafe(F.col(ROW)), "left")
     text = F.coalesce(F.col(text_col), F.lit(""))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
@@ -184,14 +187,14 @@ def redact(docs: DataFrame, *, mask: str = "[SECRET]", id_col: str = "doc_id", t
     def end(acc):
         return F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
 
-    clean = F.when(F.col("spans").isNull(), F.col(text_col)).otherwise(F.aggregate("spans", start, step, end))
-    joined = joined.withColumn("_clean", clean)
+    clean = F.when(F.col(SPANS).isNull(), F.col(text_col)).otherwise(F.aggregate(SPANS, start, step, end))
+    joined = joined.withColumn(CLEAN, clean)
     out = []
     for c in docs.columns:
         if c == text_col:
-            out.append(F.col("_clean").alias(c))
+            out.append(F.col(CLEAN).alias(c))
         elif c == "n_chars":
-            out.append(F.when(F.col("spans").isNull(), F.col(c)).otherwise(F.length("_clean")).cast(docs.schema[c].dataType).alias(c))
+            out.append(F.when(F.col(SPANS).isNull(), F.col(c)).otherwise(F.length(CLEAN)).cast(docs.schema[c].dataType).alias(c))
         else:
             out.append(docs[c])
     return joined.select(*out)

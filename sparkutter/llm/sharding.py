@@ -106,10 +106,14 @@ def shard_rows(docs: DataFrame, *, shards: int = 8, tolerance: float = 0.001, id
 
 
 def write_shards(docs: DataFrame, path: str, **options) -> None:
-    """Write all columns of ``docs`` below ``path``, a folder ``shard=N`` for each shard (ids must be unique)."""
+    """Write all columns of ``docs`` below ``path``, a folder ``shard=N`` for each shard (ids must be unique).
+
+    Columns of theirs named shard or slot give way.
+    """
     key = options.get("id_col", "doc_id")
-    at = shard_rows(docs, **options).select(F.col("doc_id").alias("_id"), F.col("shard"), F.col("slot"))
-    docs.join(at, docs[key].eqNullSafe(at["_id"])).drop("_id").write.partitionBy("shard").parquet(path)
+    at = shard_rows(docs, **options).select(F.col("doc_id").alias("__sparkutter_id"), "shard", "slot")
+    names = [c for c in docs.columns if c not in ("shard", "slot")]
+    docs.select(*names).join(at, F.col(key).eqNullSafe(F.col("__sparkutter_id"))).drop("__sparkutter_id").write.partitionBy("shard").parquet(path)
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
