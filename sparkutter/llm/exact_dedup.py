@@ -65,17 +65,23 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; one of several rows that share id and text.
 
-    Rows with a null id stay only if their whole group has null ids; then all of it stays.
+    Of the rows with null ids one stays for each text that no row with an id has.
     """
-    groups = exact_groups(docs, id_col=id_col, text_col=text_col, **options)
-    kept = materialize(groups.filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")).withColumnRenamed("doc_id", KEEP))
-    out = docs.join(kept.select(KEEP), docs[id_col].eqNullSafe(F.col(KEEP)), "left_semi")
-    if kept.filter(f"times > 1 AND {KEEP} IS NOT NULL").isEmpty():
+    named = docs.filter(F.col(id_col).isNotNull())
+    groups = exact_groups(named, id_col=id_col, text_col=text_col, **options)
+    kept = materialize(groups.filter("kept").groupBy(F.col("doc_id").alias(KEEP)).agg(F.count(F.lit(1)).alias("times")))
+    out = named.join(kept.select(KEEP), F.col(id_col) == F.col(KEEP), "left_semi")
+    if not kept.filter("times > 1").isEmpty():
+        # The same id more than once: only these few rows are compared again.
+        out = named.join(kept.filter("times = 1").select(KEEP), F.col(id_col) == F.col(KEEP), "left_semi")
+        out = out.unionByName(named.join(kept.filter("times > 1").select(KEEP), F.col(id_col) == F.col(KEEP), "left_semi").dropDuplicates([id_col, text_col]))
+    nameless = docs.filter(F.col(id_col).isNull())
+    if nameless.isEmpty():
         return out
-    # The same id more than once: only these few rows are compared again.
-    twice = kept.filter(f"times > 1 AND {KEEP} IS NOT NULL").select(KEEP)
-    once = docs.join(kept.filter(f"times = 1 OR {KEEP} IS NULL").select(KEEP), docs[id_col].eqNullSafe(F.col(KEEP)), "left_semi")
-    return once.unionByName(docs.join(twice, docs[id_col] == F.col(KEEP), "left_semi").dropDuplicates([id_col, text_col]))
+    norm = options.get("normalise") or (lambda c: c)
+    content = lambda df: df.withColumn(KEEP, norm(F.coalesce(F.col(text_col), F.lit(""))))
+    nameless = content(nameless).dropDuplicates([KEEP]).join(content(named).select(KEEP), KEEP, "left_anti")
+    return out.unionByName(nameless.drop(KEEP))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

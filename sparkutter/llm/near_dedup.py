@@ -386,7 +386,7 @@ def near_duplicate_classes(docs: DataFrame, *, similarity: float = SIMILARITY, b
     links = links_of(buckets, sequences, similarity, block)
     rows = sketched.select("id", "digest").join(representatives.select("digest", "rep"), "digest", "left")
     named = components(links).select(F.col("id").alias("rep"), "class_id")
-    rows = rows.join(named, "rep", "left").select("id", F.coalesce("class_id", "rep", "id").alias("class_id"))
+    rows = rows.join(named, "rep", "left").select("id", F.when(F.col("id").isNotNull(), F.coalesce("class_id", "rep", "id")).alias("class_id"))
     rows = materialize(rows)
     sizes = rows.groupBy(F.col("class_id").alias("c")).agg(F.count(F.lit(1)).alias("class_size"))
     return rows.join(sizes, F.col("class_id").eqNullSafe(F.col("c")), "left").select(

@@ -2,7 +2,9 @@
 
 Identical vectors are one candidate with its smallest ids, as many as a result can hold. Vectors are divided
 into lists by the nearest of ``K`` directions, fitted by spherical k-means on a bounded sample (``SAMPLE``
-rows, chosen by hash of the id); a query probes the lists of its nearest directions. Within a list, unit
+rows, chosen by hash of the id). A query probes the lists of its nearest directions, as many as it takes for
+``TARGET`` of the true neighbours in the sample: few where vectors cluster, more than half where they do not. At
+full size neighbours are nearer than in the sample, so that is on the safe side. Within a list, unit
 vectors are multiplied by one random rotation, so that any block of columns is a fair sample of a distance.
 The scan adds up squared differences block by block. After d of D columns a candidate whose scaled partial
 distance exceeds the threshold (the k-th best exact distance so far in this list) by more than a factor
@@ -30,13 +32,13 @@ from pyspark.sql.window import Window
 from .common import materialize, table
 
 SAMPLE = 20_000
-PER_LIST = 250
+PER_LIST = 1000
 MOST_LISTS = 4096
 PART = 4096
 BLOCK = 16
 EPSILON = 2.1
-PROBE_SHARE = 0.12
-LEAST_PROBES = 12
+TARGET = 0.97
+TRIALS = 400
 
 
 def fit_directions(sample: np.ndarray, k: int, seed: int = 7, rounds: int = 8) -> np.ndarray:
@@ -52,6 +54,22 @@ def fit_directions(sample: np.ndarray, k: int, seed: int = 7, rounds: int = 8) -
     return centres
 
 
+def probes_needed(sample: np.ndarray, centres: np.ndarray, k: int, target: float, trials: int = TRIALS) -> int:
+    """How many of its nearest lists a query needs for a share of ``target`` of its k neighbours in the sample."""
+    queries = sample[:trials]
+    scores = queries @ sample.T
+    scores[np.arange(len(queries)), np.arange(len(queries))] = -np.inf
+    k = min(k, len(sample) - 1)
+    if k < 1:
+        return 1
+    true = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+    home = np.argmax(sample[np.unique(true)] @ centres.T, axis=1)
+    home = home[np.searchsorted(np.unique(true), true)]
+    rank = np.argsort(np.argsort(-(queries @ centres.T), axis=1), axis=1)
+    need = np.sort(np.take_along_axis(rank, home, axis=1).ravel())
+    return int(need[int(np.ceil(target * len(need))) - 1]) + 1
+
+
 def rotation(dim: int, seed: int = 11) -> np.ndarray:
     q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(dim, dim)))
     return q * np.sign(np.diag(r))
@@ -86,7 +104,7 @@ def scan(queries: np.ndarray, rows: np.ndarray, turn: np.ndarray, k: int, epsilo
         yield alive
 
 
-def nearest(vectors: DataFrame, *, every: int = 50, k: int = 5, share: float = PROBE_SHARE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, *, every: int = 50, k: int = 5, target: float = TARGET, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest other rows of each row whose id is divisible by ``every``."""
     spark = vectors.sparkSession
     raw = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -105,7 +123,7 @@ def nearest(vectors: DataFrame, *, every: int = 50, k: int = 5, share: float = P
     sample = distinct.orderBy(F.xxhash64("cand")).limit(SAMPLE).select("v").toArrow()["v"]
     learn = unit(np.array(sample.to_pylist(), float).reshape(-1, dim))
     centres, turn = fit_directions(learn, lists), rotation(dim)
-    probes = min(len(centres), max(LEAST_PROBES, round(share * len(centres))))
+    probes = probes_needed(learn, centres, k, target)
 
     def assign(many: int):
         def run(batches):

@@ -22,7 +22,6 @@ import zlib
 from array import array
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -192,7 +191,7 @@ def pack(pieces: DataFrame, *, capacity: int = 2048, documents: int = 2048, atte
     cost = float(attention or capacity * capacity)
     groups = max(1, -(-pieces.count() // group_rows))
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key, pdf):
         pdf = pdf.sort_values(["doc_id", "piece"], kind="stable").reset_index(drop=True)
         sequence, offset = pack_lengths(pdf["length"].to_numpy(np.int64), capacity=capacity, documents=documents, attention=cost, weights=weights, rule=rule)
         return pdf.drop(columns="part").assign(sequence_id=(int(key[0]) << 40) + sequence, offset=offset)
