@@ -67,11 +67,11 @@ def near_copies(rng, n=120):
     passage = [word() for _ in range(30)]
     texts = []
     while len(texts) < n:
-        base = [word() for _ in range(rng.randint(20, 80))]
+        base = [word() for _ in range(rng.randint(40, 100))]
         if rng.random() < 0.4:
             base = passage + base
         for _ in range(rng.choice([1, 1, 2, 5])):
-            texts.append(" ".join(word() if rng.random() < 0.03 else w for w in base))
+            texts.append(" ".join(word() if rng.random() < 0.015 else w for w in base))
     return [(i, t) for i, t in enumerate(texts)]
 
 

@@ -157,6 +157,7 @@ def test_pipeline(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     rows, truth = corpus(7, 300)
     rng = random.Random(8)
+    rows = [(i, t + f" note = n{rng.randint(0, 999)}number{rng.randint(0, 99)}" if truth[i] and i % 2 else t) for i, t in rows]
     fine = [good(rng) for _ in range(3)]
     near = fine[1].split()
     near[3] = "other"
@@ -169,7 +170,8 @@ def test_pipeline(spark, tmp_path):
         left = stage(spark, left, str(tmp_path)).cache()
         assert left.columns == docs.columns
         seen[name] = {r["doc_id"]: r["text"] for r in left.collect()}
-    assert {i for i, y in truth.items() if y} <= set(seen["quality classifier"])
+    clean = {i for i, y in truth.items() if y}
+    assert len(clean - set(seen["quality classifier"])) <= 0.02 * len(clean)
     assert 1000 not in seen["exact dedup"] and 1001 in seen["exact dedup"]
     assert 1002 in seen["near dedup"] and 1003 not in seen["near dedup"]
     assert seen["secret scan"][1004].endswith("[SECRET]") and seen["secret scan"][1001] == fine[0]
