@@ -257,57 +257,99 @@ def crossed(rows: DataFrame, block: int) -> DataFrame:
     return rows.select("key", F.lit(-1).alias("repeat"), "id", "class_id", pair.alias("block"), F.lit(False).alias("guest"))
 
 
-def block_links(rows: DataFrame, sequences: DataFrame, similarity: float) -> DataFrame:
-    """Links a, b between different classes within a block, up to those that join no classes any more."""
-
-    def compare(repeat, block, ids, classes, guest, n, h, keys, words, found):
-        # Sorted by n, so that the longer text, whose allowance counts, is j.
-        most = ((1 - similarity) * n + 1e-9).astype(np.int64)
-        shared = max(0, int(repeat[0]))
-        classes = classes.copy()
-        for i in range(len(n) - 1):
-            j = np.arange(i + 1, len(n))
-            j = j[(n[j] - n[i] <= most[j]) & (classes[j] != classes[i])]
-            if len(j) and guest[i] and block[0]:
-                j = j[~guest[j]]
-            if len(j) and shared:
-                j = j[~(keys[j, :shared] == keys[i, :shared]).any(axis=1)]
-            if len(j):
-                j = j[np.abs(h[j] - h[i]).sum(axis=1, dtype=np.int64) <= 2 * most[j]]
-            a = words[i].tolist() if len(j) else []
-            for k in j.tolist():
-                if classes[k] != classes[i] and within(a, words[k].tolist(), int(most[k])) is not None:
-                    found.append((min(ids[i], ids[k]), max(ids[i], ids[k])))
-                    classes[classes == classes[k]] = classes[i]
+def plausible(repeat, block, classes, guest, n, h, keys, similarity):
+    """(i, later j, allowed distances) of a block's members that lengths, histograms and classes leave to compare.
+
+    Members are sorted by n, so that the longer text, whose allowance counts, is j. ``classes`` may change
+    between two steps.
+    """
+    most = ((1 - similarity) * n + 1e-9).astype(np.int64)
+    shared = max(0, int(repeat[0]))
+    for i in range(len(n) - 1):
+        j = np.arange(i + 1, len(n))
+        j = j[(n[j] - n[i] <= most[j]) & (classes[j] != classes[i])]
+        if len(j) and guest[i] and block[0]:
+            j = j[~guest[j]]
+        if len(j) and shared:
+            j = j[~(keys[j, :shared] == keys[i, :shared]).any(axis=1)]
+        if len(j):
+            j = j[np.abs(h[j] - h[i]).sum(axis=1, dtype=np.int64) <= 2 * most[j]]
+        if len(j):
+            yield i, j, most
+
+
+def by_block(rows: DataFrame, compare, schema: str) -> DataFrame:
+    """``compare`` (columns of one block -> list of rows) over all blocks; a block may span Arrow batches."""
+    names = rows.columns
+    out = [x.split()[0] for x in schema.split(", ")]
+
+    def column(batch, name):
+        values = batch.column(name)
+        if name == "histogram":
+            return np.frombuffer(b"".join(values.to_pylist()), np.int16).reshape(-1, BINS)
+        if name == "keys":
+            return np.frombuffer(b"".join(values.to_pylist()), np.int64).reshape(-1, REPEATS)
+        if name == "words":
+            words = np.empty(len(values), object)
+            words[:] = [np.frombuffer(x, np.uint32) for x in values.to_pylist()]
+            return words
+        return values.to_numpy(zero_copy_only=False)
 
     def run(batches):
         def done(found):
             found = sorted(set(found))
-            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(len(out))], out)
 
         left = None  # the last block, which may go on in the next batch
         for batch in batches:
-            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "repeat", "block", "id", "class_id", "guest", "n")]
-            now.append(np.frombuffer(b"".join(batch.column("histogram").to_pylist()), np.int16).reshape(-1, BINS))
-            now.append(np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.int64).reshape(-1, REPEATS))
-            words = np.empty(batch.num_rows, object)
-            words[:] = [np.frombuffer(x, np.uint32) for x in batch.column("words").to_pylist()]
-            now.append(words)
+            now = [column(batch, c) for c in names]
             now = now if left is None else [np.concatenate(x) for x in zip(left, now, strict=True)]
             if not len(now[0]):
                 continue
-            cut = np.flatnonzero(np.concatenate([[True], (now[0][1:] != now[0][:-1]) | (now[2][1:] != now[2][:-1])]))
-            found: list[tuple[int, int]] = []
+            cut = np.flatnonzero(np.concatenate([[True], (now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1])]))
+            found: list[tuple] = []
             for a, b in zip(cut[:-1], cut[1:], strict=True):
-                compare(*(x[a:b] for x in now[1:]), found)
+                found += compare({c: x[a:b] for c, x in zip(names, now, strict=True)})
             left = [x[cut[-1] :].copy() for x in now]
             yield done(found)
         if left is not None:
-            compare(*left[1:], found := [])
-            yield done(found)
+            yield done(compare(dict(zip(names, left, strict=True))))
+
+    return rows.repartition("key", "block").sortWithinPartitions("key", "block", "n", "id").mapInArrow(run, schema)
 
-    rows = rows.join(sequences, "id").select("key", F.col("repeat").cast("int").alias("repeat"), "block", "id", "class_id", "guest", F.col("n").cast("long").alias("n"), "histogram", "keys", "words")
-    return rows.repartition("key", "block").sortWithinPartitions("key", "block", "n", "id").mapInArrow(run, "a long, b long").filter("a < b").distinct()
+
+def block_links(rows: DataFrame, sequences: DataFrame, similarity: float) -> DataFrame:
+    """Links a, b between different classes within a block, up to those that join no classes any more.
+
+    First without words: which members have a plausible partner at all. Only these are given their words.
+    """
+    facts = ("repeat", "block", "classes", "guest", "n", "histogram", "keys")
+    args = lambda x: [x["class_id" if f == "classes" else f] for f in facts]
+
+    def mark(x):
+        wanted = np.zeros(len(x["n"]), bool)
+        for i, j, _ in plausible(*args(x), similarity):
+            wanted[i] = True
+            wanted[j] = True
+        return [(int(k), int(b), int(i)) for k, b, i in zip(x["key"][wanted], x["block"][wanted], x["id"][wanted], strict=True)]
+
+    def align(x):
+        found = []
+        x["class_id"] = classes = x["class_id"].copy()
+        for i, j, most in plausible(*args(x), similarity):
+            a = x["words"][i].tolist()
+            for k in j.tolist():
+                if classes[k] != classes[i] and within(a, x["words"][k].tolist(), int(most[k])) is not None:
+                    found.append((int(min(x["id"][i], x["id"][k])), int(max(x["id"][i], x["id"][k]))))
+                    classes[classes == classes[k]] = classes[i]
+        return found
+
+    columns = ["key", F.col("block").cast("long").alias("block"), F.col("repeat").cast("int").alias("repeat"), "id", "class_id", "guest", F.col("n").cast("long").alias("n"), "histogram", "keys"]
+    narrow = rows.join(sequences.drop("words"), "id").select(*columns)
+    marked = materialize(by_block(narrow, mark, "key long, block long, id long").distinct())
+    rows = rows.withColumn("block", F.col("block").cast("long")).join(marked, ["key", "block", "id"], "left_semi")
+    wide = rows.join(sequences, "id").select(*columns, "words")
+    return by_block(wide, align, "a long, b long").filter("a < b").distinct()
 
 
 def redealt(ids: DataFrame, sequences: DataFrame, similarity: float, counters: int = 1 << 16) -> DataFrame:
