@@ -36,8 +36,14 @@ def running(key: list[str] = KEY) -> WindowSpec:
     return by_position(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def explode_words(texts: DataFrame, text_col: str = "text", keep: list[str] = KEY) -> DataFrame:
-    """``keep``, i, raw and w of each word."""
+def explode_words(texts: DataFrame, text_col: str = "text", keep: list[str] = KEY, together: list[str] | None = None) -> DataFrame:
+    """``keep``, i, raw and w of each word.
+
+    ``together`` names the key of the windows that follow: whole texts are exchanged by it here, which moves a
+    fraction of what their words would, and the words need no exchange any more.
+    """
+    if together:
+        texts = texts.select(*keep, text_col).repartition(*together)
     words = texts.select(*keep, F.posexplode(T.tokens(F.col(text_col))).alias("i", "raw"))
     return words.withColumn("w", T.canonical(F.col("raw"), trimmed=True))
 

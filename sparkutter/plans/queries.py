@@ -47,8 +47,13 @@ def words(spark: SparkSession, sf: str, *keep: str) -> DataFrame:
     return K.explode_words(documents(spark, sf), "text", [*KEY, *keep])
 
 
+def together(spark: SparkSession, sf: str, *keep: str) -> DataFrame:
+    """words(), partitioned by document for windows."""
+    return K.explode_words(documents(spark, sf), "text", [*KEY, *keep], KEY)
+
+
 def timed(spark: SparkSession, sf: str, *keep: str) -> DataFrame:
-    return K.neutral_times(words(spark, sf, *keep), KEY)
+    return K.neutral_times(together(spark, sf, *keep), KEY)
 
 
 def ruled(spark: SparkSession, sf: str, *keep: str) -> DataFrame:
@@ -116,7 +121,7 @@ def known_redup_hyphen(spark, sf):
 
 def hyphen_redup(spark, sf):
     """Neighbouring words joined by a hyphen, so that there are reduplications of all kinds."""
-    rows = words(spark, sf).withColumn("next", F.lead("w").over(K.by_position(KEY))).filter("w <> '' AND next <> '' AND i % 3 = 0")
+    rows = together(spark, sf).withColumn("next", F.lead("w").over(K.by_position(KEY))).filter("w <> '' AND next <> '' AND i % 3 = 0")
     rows = rows.withColumn("w", X.collapse(F.concat_ws("-", "w", "next")))
     return rows.groupBy(SHIPPED.is_hyphen_doubled(F.col("w")).alias("hyphen_doubled"), SHIPPED.is_known_doubled(F.col("w")).alias("known")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -168,24 +173,24 @@ def repeat_reasons(spark, sf):
 
 
 def multiword_fillers(spark, sf):
-    rows = detect.mark_phrases(words(spark, sf), DEMO, KEY)
+    rows = detect.mark_phrases(together(spark, sf), DEMO, KEY)
     return rows.groupBy("doc_id").agg(F.count_if("in_marker").alias("in_marker"), F.count("phrase_n").alias("phrases"))
 
 
 def single_fillers(spark, sf):
-    rows = detect.single_fillers(detect.mark_phrases(words(spark, sf), DEMO, KEY), DEMO, KEY)
+    rows = detect.single_fillers(detect.mark_phrases(together(spark, sf), DEMO, KEY), DEMO, KEY)
     return rows.groupBy("w", "label_now").agg(F.count(F.lit(1)).alias("n")).filter("label_now <> 'O'")
 
 
 def repair_windows(spark, sf):
     """With the blocked words of the feature extractor."""
-    rows = detect.mark_phrases(words(spark, sf), DEMO, KEY)
+    rows = detect.mark_phrases(together(spark, sf), DEMO, KEY)
     rows = detect.repair_windows(rows, DEMO, detect.filler_flags(rows, DEMO), KEY).filter("term_n IS NOT NULL")
     return rows.select("doc_id", (F.col("i") - F.col("reparandum_n")).alias("start"), (F.col("i") + F.col("term_n") - 1).alias("last"))
 
 
 def naive_labels(spark, sf):
-    rows = detect.naive_labels(words(spark, sf), DEMO, KEY)
+    rows = detect.naive_labels(together(spark, sf), DEMO, KEY)
     return rows.groupBy("doc_id", "pred").agg(F.count(F.lit(1)).alias("n"), F.sum("i").alias("places"))
 
 
@@ -339,7 +344,7 @@ def asr_utterances(spark, sf):
 
 
 def _doc_words(spark, sf):
-    return words(spark, sf).select(F.col("doc_id").alias("file"), F.col("i").alias("n"), F.col("raw").alias("text"))
+    return together(spark, sf).select(F.col("doc_id").alias("file"), F.col("i").alias("n"), F.col("raw").alias("text"))
 
 
 def loop_candidates(spark, sf):
