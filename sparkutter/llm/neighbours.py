@@ -79,29 +79,40 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
-def scan(queries: np.ndarray, rows: np.ndarray, turn: np.ndarray, k: int, epsilon: float = EPSILON, block: int = BLOCK):
-    """For each query the row numbers that may be among its k nearest rows."""
-    a, x = unit(queries) @ turn, unit(rows) @ turn
-    dim = x.shape[1]
-    blocks = [np.ascontiguousarray(x[:, i : i + block]) for i in range(0, dim, block)]
-    for q in a:
-        # The threshold: exact distances of the k rows that look nearest in the first block.
-        part = ((blocks[0] - q[:block]) ** 2).sum(axis=1)
-        alive = np.arange(len(x))
-        if len(x) > k:
-            first = np.argpartition(part, k - 1)[:k]
-            limit = ((x[first] - q) ** 2).sum(axis=1).max()
-            for number, columns in enumerate(blocks):
-                if number:
-                    at = slice(number * block, number * block + columns.shape[1])
-                    part = part + ((columns[alive] - q[at]) ** 2).sum(axis=1)
-                seen = min(dim, (number + 1) * block)
-                factor = (1 + epsilon / np.sqrt(seen)) ** 2 if seen < dim else 1 + 1e-9
-                keep = part * (dim / seen) <= limit * factor
-                alive, part = alive[keep], part[keep]
-                if len(alive) <= k:
-                    break
-        yield alive
+def scan(queries: np.ndarray, rows: np.ndarray, turn: np.ndarray, k: int, epsilon: float = EPSILON, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """(query number, row number) of the pairs that may be among the query's k nearest rows.
+
+    While many pairs are alive a block is one matrix product for all; later it is added for the living alone.
+    """
+    a, x = (unit(queries) @ turn).astype(np.float32), (unit(rows) @ turn).astype(np.float32)
+    dim, (m, n) = x.shape[1], (len(a), len(x))
+    every = np.repeat(np.arange(m), n), np.tile(np.arange(n), m)
+    if n <= k:
+        return every
+    part = np.zeros((m, n), np.float32)
+    limit, alive = None, None
+    for begin in range(0, dim, block):
+        end = min(dim, begin + block)
+        qa, xa = a[:, begin:end], x[:, begin:end]
+        if alive is None:
+            part += (qa * qa).sum(axis=1)[:, None] + (xa * xa).sum(axis=1) - 2 * (qa @ xa.T)
+        else:
+            part += ((qa[alive[0]] - xa[alive[1]]) ** 2).sum(axis=1)
+        if limit is None:
+            # The threshold: exact distances of the k rows that look nearest in the first block.
+            first = np.argpartition(part, k - 1, axis=1)[:, :k]
+            limit = ((x[first] - a[:, None, :]) ** 2).sum(axis=2).max(axis=1)
+        # Single precision leaves a slack.
+        factor = (1 + epsilon / np.sqrt(end)) ** 2 if end < dim else 1.0
+        if alive is None:
+            keep = part * (dim / end) <= (limit * factor + 1e-4)[:, None]
+            if end == dim or keep.mean() < 0.3:
+                alive = np.nonzero(keep)
+                part = part[alive]
+        else:
+            keep = part * (dim / end) <= limit[alive[0]] * factor + 1e-4
+            alive, part = (alive[0][keep], alive[1][keep]), part[keep]
+    return alive
 
 
 def nearest(vectors: DataFrame, *, every: int = 50, k: int = 5, target: float = TARGET, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -150,22 +161,26 @@ def nearest(vectors: DataFrame, *, every: int = 50, k: int = 5, target: float =
     probing = probing.select("list", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("part"), "ask", "v")
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out: list[list] = [[], [], []]
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
         if len(left) and len(right):
-            q, x = np.array(left["v"].to_list(), float), np.array(right["v"].to_list(), float)
-            norms = np.sqrt((x * x).sum(axis=1))
+            asks, q, x = left["ask"].to_numpy(), np.array(left["v"].to_list(), float), np.array(right["v"].to_list(), float)
+            lengths = [np.sqrt((v * v).sum(axis=1)) for v in (q, x)]
             ids = right["ids"].to_list()
-            for number, alive in enumerate(scan(q, x, turn, k + 1)):
-                scores = (x[alive] * q[number]).sum(axis=1) / (norms[alive] * np.sqrt((q[number] * q[number]).sum()))
-                best = alive[np.argsort(-scores, kind="stable")[: k + 1]]
-                worst = np.sort(scores)[-(k + 1) :][0] if len(scores) else 0
-                for a, s in zip(alive, scores, strict=True):
-                    if s >= worst or a in best:
-                        for i in ids[a]:
-                            out[0].append(left["ask"].iloc[number])
-                            out[1].append(i)
-                            out[2].append(s)
-        return pd.DataFrame(dict(zip(("ask", "vec_id", "score"), out, strict=True))).astype({"ask": "int64", "vec_id": "int64", "score": "float64"})
+            step = max(1, 2_000_000 // len(x))
+            for at in range(0, len(q), step):
+                number, row = scan(q[at : at + step], x, turn, k + 1)
+                number = number + at
+                scores = (x[row] * q[number]).sum(axis=1) / (lengths[1][row] * lengths[0][number])
+                order = np.lexsort((-scores, number))
+                number, row, scores = number[order], row[order], scores[order]
+                first = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
+                counts = np.diff(np.append(first, len(number)))
+                worst = scores[first + np.minimum(counts, k + 1) - 1]
+                keep = scores >= np.repeat(worst, counts)  # with ties
+                number, row, scores = number[keep], row[keep], scores[keep]
+                times = np.array([len(ids[r]) for r in row.tolist()], np.int64)
+                out.append((np.repeat(asks[number], times), np.array([i for r in row.tolist() for i in ids[r]], np.int64), np.repeat(scores, times)))
+        return pd.DataFrame(dict(zip(("ask", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
     found = probing.groupBy("list", "part").cogroup(members.groupBy("list", "part")).applyInPandas(search, "ask long, vec_id long, score double")
     best = Window.partitionBy("ask").orderBy(F.desc("score"), "vec_id")
