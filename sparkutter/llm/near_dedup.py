@@ -52,13 +52,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def run_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """A hash of each run of k words (uint64); of all words if there are fewer."""
+    """A hash of each run of k words (uint64); of all words if there are fewer: a sum with random odd factors, mixed."""
     k = min(k, len(words))
     n = len(words) - k + 1
-    h = np.zeros(n, np.uint64)
+    factors = mix(np.arange(1, k + 1, dtype=np.uint64) * _BASE) | np.uint64(1)
+    h = np.full(n, k, np.uint64)
     for j in range(k):
-        h = mix(h * _BASE + words[j : j + n] + np.uint64(j + 1))
-    return h
+        h += words[j : j + n] * factors[j]
+    return mix(h)
 
 
 def occurrence(values: np.ndarray) -> np.ndarray:

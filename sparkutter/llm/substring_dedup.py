@@ -34,6 +34,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -56,13 +57,22 @@ class WordHasher:
 
         self.digest, self.known, self.most = xxh64_intdigest, {}, most
 
-    def __call__(self, words: list[str]) -> np.ndarray:
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        """Of each text, whose words are joined by single spaces."""
+        split = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        words = split.flatten().dictionary_encode()
         known = self.known
         if len(known) > self.most:
             known.clear()
-        for w in [w for w in set(words) if w not in known]:
-            known[w] = self.digest(w.encode("utf-8", "surrogatepass"), seed=42)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        hashes = np.empty(len(words.dictionary), np.uint64)
+        for i, w in enumerate(words.dictionary.to_pylist()):
+            h = known.get(w)
+            if h is None:
+                h = known[w] = self.digest(w.encode(), seed=42)
+            hashes[i] = h
+        flat = hashes[words.indices.to_numpy()]
+        cut = split.offsets.to_numpy() - split.offsets[0].as_py()
+        return [flat[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
 def sha(words: list[str]) -> str:
@@ -116,7 +126,7 @@ def starts(*columns: np.ndarray) -> np.ndarray:
 
 def plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, t (the words, joined by single spaces) and tag, a hash of t."""
-    text = F.regexp_replace(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE, " "), "^ | $", "")
+    text = F.trim(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE, " "))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t"))
     return rows.withColumn("tag", F.xxhash64("t"))
 
@@ -221,33 +231,36 @@ def paths(texts: DataFrame, groups: int, window: int, seed: int) -> DataFrame:
 
         hasher, opened = WordHasher(), zstandard.ZstdDecompressor()
         for batch in batches:
-            columns = [[] for _ in range(5)]  # edge, rep, tag, pos, seed
-            for tag, rep, z, seeds in zip(*(batch.column(c).to_pylist() for c in ("tag", "rep", "z", "seeds")), strict=True):
-                h = hasher(opened.decompress(z).decode().split(" "))
-                m = minimisers(h, window, seed)
-                pos = np.flatnonzero(np.isin(m, np.concatenate([unpack(s, [np.uint64])[0] for s in seeds])))
-                if len(pos):
-                    edges = run_hashes(h, window)[pos]
-                    for c, x in zip(columns, (edges, np.full(len(pos), rep), np.full(len(pos), tag), pos, m[pos]), strict=True):
-                        c.append(x)
-            if not columns[0]:
-                continue
-            edge, rep, tag, pos, m = (np.concatenate(c) for c in columns)
-            rows = resolve(edge, rep, tag, pos)
-            out = [(abs(int(t)) % groups, int(t), pack([np.array([x]) for x in r])) for t, *r in zip(*rows, strict=True)]
-            # The rest learn their source in the group of their seed: here they have the smallest id.
-            order = np.lexsort((pos, tag, rep, edge))
-            edge, rep, tag, pos, m = (c[order] for c in (edge, rep, tag, pos, m))
-            first = np.flatnonzero(starts(edge))
-            own = rep == np.repeat(rep[first], np.diff(np.append(first, len(edge))))
-            edge, rep, tag, pos, m = (c[own] for c in (edge, rep, tag, pos, m))
-            part = (m % np.uint64(groups)).astype(np.int64)
-            order = np.lexsort((pos, tag, part))
-            edge, rep, tag, pos, part = (c[order] for c in (edge, rep, tag, pos, part))
-            cut = np.flatnonzero(starts(part))
-            for i, j in zip(cut, np.append(cut, len(part))[1:], strict=True):
-                out.append((int(part[i]), None, pack([edge[i:j], pos[i:j].astype(np.int32)]) + pack_runs(rep[i:j]) + pack_runs(tag[i:j])))
-            yield packed_batch(out)
+            table = [batch.column(c).to_pylist() for c in ("tag", "rep", "z", "seeds")]
+            for a, b in runs(map(len, table[2]), 2_000_000):
+                texts = [opened.decompress(z).decode() for z in table[2][a:b]]
+                columns = [[] for _ in range(5)]  # edge, rep, tag, pos, seed
+                for tag, rep, seeds, h in zip(table[0][a:b], table[1][a:b], table[3][a:b], hasher(texts), strict=True):
+                    m = minimisers(h, window, seed)
+                    pos = np.flatnonzero(np.isin(m, np.concatenate([unpack(s, [np.uint64])[0] for s in seeds])))
+                    if len(pos):
+                        edges = run_hashes(h, window)[pos]
+                        for c, x in zip(columns, (edges, np.full(len(pos), rep), np.full(len(pos), tag), pos, m[pos]), strict=True):
+                            c.append(x)
+                if columns[0]:
+                    yield packed_batch(entries(*(np.concatenate(c) for c in columns)))
+
+    def entries(edge, rep, tag, pos, m) -> list[tuple]:
+        rows = resolve(edge, rep, tag, pos)
+        out = [(abs(int(t)) % groups, int(t), pack([np.array([x]) for x in r])) for t, *r in zip(*rows, strict=True)]
+        # The rest learn their source in the group of their seed: here they have the smallest id.
+        order = np.lexsort((pos, tag, rep, edge))
+        edge, rep, tag, pos, m = (c[order] for c in (edge, rep, tag, pos, m))
+        first = np.flatnonzero(starts(edge))
+        own = rep == np.repeat(rep[first], np.diff(np.append(first, len(edge))))
+        edge, rep, tag, pos, m = (c[own] for c in (edge, rep, tag, pos, m))
+        part = (m % np.uint64(groups)).astype(np.int64)
+        order = np.lexsort((pos, tag, part))
+        edge, rep, tag, pos, part = (c[order] for c in (edge, rep, tag, pos, part))
+        cut = np.flatnonzero(starts(part))
+        for i, j in zip(cut, np.append(cut, len(part))[1:], strict=True):
+            out.append((int(part[i]), None, pack([edge[i:j], pos[i:j].astype(np.int32)]) + pack_runs(rep[i:j]) + pack_runs(tag[i:j])))
+        return out
 
     def resolve(edge, rep, tag, pos) -> list[np.ndarray]:
         """Paths of the occurrences for which a smaller id has the edge."""
