@@ -20,6 +20,7 @@ FAMILIES = {
     "open_class": ("morphosyntactic", "an ordinary word may double"),
     "gap_short": ("prosodic", "silence of at most {short} s"),
     "gap_long": ("prosodic", "silence of at least {long} s"),
+    "gap_between": ("prosodic", "silence between {short} and {long} s, in proportion"),
     "length_clipped": ("prosodic", "the first copy is cut short (ratio below {clipped})"),
     "length_equal": ("prosodic", "both copies are as long (ratio {least} to {most})"),
     "run_three_or_more": ("structural", "{run} copies or more"),
@@ -34,7 +35,9 @@ def markdown(rows: list[list], head: list[str]) -> str:
 def weight_table(lex: Lexicon) -> str:
     """The evidence for and against reduplication, as Markdown with decimal commas."""
     facts = {"short": lex.gap_redup, "long": lex.gap_disfl, "clipped": repeats.CLIPPED_MOST, "least": repeats.EQUAL_LEAST, "most": repeats.EQUAL_MOST, "run": repeats.LONG_RUN}
-    rows = [[family, rule.format(**facts), f"{repeats.WEIGHTS[key]:+.1f}".replace(".", ",")] for key, (family, rule) in FAMILIES.items()]
+    say = lambda key: f"{repeats.WEIGHTS[key]:+.1f}".replace(".", ",")
+    worth = lambda key: f"{say('gap_short')} to {say('gap_long')}" if key == "gap_between" else say(key)
+    rows = [[family, rule.format(**facts), worth(key)] for key, (family, rule) in FAMILIES.items()]
     return markdown(rows, ["family", "rule", "weight"])
 
 

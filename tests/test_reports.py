@@ -16,7 +16,7 @@ LEX = Lexicon.indonesian()
 
 def test_texts(spark, tmp_path):
     table = detect.rule_labels(sentence(spark, [("eee", "FP"), ("saya", "REP"), ("saya", "O"), ("mau", "O")]), LEX)
-    assert reports.weight_table(LEX).count("\n") == 11 and "+3,0" in reports.weight_table(LEX)
+    assert reports.weight_table(LEX).count("\n") == 12 and "+3,0" in reports.weight_table(LEX)
     assert "-> saya mau" in reports.detected(table, CONSERVATIVE)
     assert "saya saya: disfluency" in reports.explained(table, LEX)
     paths = reports.write_experiment(table.withColumns({"system": F.lit("rules"), "utt_seq": F.lit(0)}), LEX, str(tmp_path / "x"))
