@@ -22,6 +22,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get()
 
 
+#: Rows that Python gets at a time: with texts of 100 KB each, a batch is still about 100 MB.
+BATCH_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches are bounded by rows, not by bytes, so long texts need fewer rows than Spark's default."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 
@@ -29,6 +41,7 @@ def materialize(df: DataFrame) -> DataFrame:
     columns, and nothing is lost with an executor.
     """
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/sparkutter-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -40,6 +53,7 @@ def words_of(text: Column) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

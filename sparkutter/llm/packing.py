@@ -135,7 +135,7 @@ def piece_table(docs: DataFrame, *, capacity: int = 2048, end_id: int = 0, token
         for batch in batches:
             encoder = encoder or of_worker(WordEncoder, tokenizer_path(tokenizer))
             docs_, texts = batch.column(0).to_pylist(), batch.column(1)
-            for a, b in runs(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), 8_000_000):
+            for a, b in runs(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), 4_000_000):
                 out: list[list] = [[], [], [], [], []]
                 flat, ends = encoder.encode(texts.slice(a, b - a))
                 for doc, begin, stop in zip(docs_[a:b], ends[:-1].tolist(), ends[1:].tolist(), strict=True):

@@ -287,7 +287,7 @@ def encode(docs: DataFrame, *, model: str = MODEL, id_col: str = "doc_id", text_
     def run(batches):
         for batch in batches:
             encoder = of_worker(PieceEncoder, tokenizer_path(model))
-            for a, b in runs(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist(), 6_000_000):
+            for a, b in runs(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist(), 4_000_000):
                 ids = encoder.encode(batch.column(1).slice(a, b - a))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
@@ -312,7 +312,7 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             encoder = of_worker(PieceEncoder, tokenizer_path(MODEL))
-            for a, b in runs(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist(), 6_000_000):
+            for a, b in runs(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist(), 4_000_000):
                 ids = encoder.encode(batch.column(1).slice(a, b - a))
                 columns = [batch.column(0).slice(a, b - a), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64())]
                 columns.append(pa.array([hashlib.sha256(encoder.decode(x).encode("utf-8", "surrogatepass")).hexdigest() for x in ids], pa.string()))
