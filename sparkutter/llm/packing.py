@@ -20,6 +20,7 @@ from __future__ import annotations
 import os
 import zlib
 from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -126,16 +127,29 @@ def runs(sizes, budget: int):
         yield first, k + 1
 
 
+def as_array(column: pa.ChunkedArray) -> pa.Array:
+    return column.chunk(0) if column.num_chunks else pa.array([], column.type)
+
+
 def piece_table(docs: DataFrame, *, capacity: int = 2048, end_id: int = 0, tokenizer: str = TOKENIZER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each piece."""
     end = array("I", [end_id]).tobytes()
 
     def cut(batches):
-        encoder = None
-        for batch in batches:
-            encoder = encoder or of_worker(WordEncoder, tokenizer_path(tokenizer))
-            docs_, texts = batch.column(0).to_pylist(), batch.column(1)
-            for a, b in runs(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), 4_000_000):
+        held: list[pa.RecordBatch] = []
+        for batch in chain(batches, [None]):
+            # Larger slices repeat more words: about 8 MB of text at a time.
+            if batch is not None:
+                held.append(batch)
+                if sum(b.nbytes for b in held) < 8_000_000:
+                    continue
+            if not held:
+                continue
+            together = pa.Table.from_batches(held).combine_chunks()
+            held = []
+            encoder = of_worker(WordEncoder, tokenizer_path(tokenizer))
+            docs_, texts = together.column(0).to_pylist(), as_array(together.column(1))
+            for a, b in runs(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), 8_000_000):
                 out: list[list] = [[], [], [], [], []]
                 flat, ends = encoder.encode(texts.slice(a, b - a))
                 for doc, begin, stop in zip(docs_[a:b], ends[:-1].tolist(), ends[1:].tolist(), strict=True):
