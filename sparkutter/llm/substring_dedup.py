@@ -34,7 +34,6 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -52,27 +51,18 @@ _LOW = np.uint64(0xFFFFFFFFFFFF)
 class WordHasher:
     """64-bit hashes of words (the same as Spark's xxhash64), with those met before looked up."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 200_000):
         from xxhash import xxh64_intdigest
 
         self.digest, self.known, self.most = xxh64_intdigest, {}, most
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        """Of each text, whose words are joined by single spaces."""
-        split = pc.split_pattern(pa.array(texts, pa.string()), " ")
-        words = split.flatten().dictionary_encode()
+    def __call__(self, words: list[str]) -> np.ndarray:
         known = self.known
         if len(known) > self.most:
             known.clear()
-        hashes = np.empty(len(words.dictionary), np.uint64)
-        for i, w in enumerate(words.dictionary.to_pylist()):
-            h = known.get(w)
-            if h is None:
-                h = known[w] = self.digest(w.encode(), seed=42)
-            hashes[i] = h
-        flat = hashes[words.indices.to_numpy()]
-        cut = split.offsets.to_numpy() - split.offsets[0].as_py()
-        return [flat[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        for w in [w for w in set(words) if w not in known]:
+            known[w] = self.digest(w.encode(), seed=42)
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def sha(words: list[str]) -> str:
@@ -232,18 +222,18 @@ def paths(texts: DataFrame, groups: int, window: int, seed: int) -> DataFrame:
         hasher, opened = WordHasher(), zstandard.ZstdDecompressor()
         for batch in batches:
             table = [batch.column(c).to_pylist() for c in ("tag", "rep", "z", "seeds")]
-            for a, b in runs(map(len, table[2]), 2_000_000):
-                texts = [opened.decompress(z).decode() for z in table[2][a:b]]
-                columns = [[] for _ in range(5)]  # edge, rep, tag, pos, seed
-                for tag, rep, seeds, h in zip(table[0][a:b], table[1][a:b], table[3][a:b], hasher(texts), strict=True):
-                    m = minimisers(h, window, seed)
-                    pos = np.flatnonzero(np.isin(m, np.concatenate([unpack(s, [np.uint64])[0] for s in seeds])))
-                    if len(pos):
-                        edges = run_hashes(h, window)[pos]
-                        for c, x in zip(columns, (edges, np.full(len(pos), rep), np.full(len(pos), tag), pos, m[pos]), strict=True):
-                            c.append(x)
-                if columns[0]:
-                    yield packed_batch(entries(*(np.concatenate(c) for c in columns)))
+            columns = [[] for _ in range(5)]  # edge, rep, tag, pos, seed
+            for tag, rep, z, seeds in zip(*table, strict=True):
+                # A text at a time: compressed sizes say little about the memory that words take.
+                h = hasher(opened.decompress(z).decode().split(" "))
+                m = minimisers(h, window, seed)
+                pos = np.flatnonzero(np.isin(m, np.concatenate([unpack(s, [np.uint64])[0] for s in seeds])))
+                if len(pos):
+                    edges = run_hashes(h, window)[pos]
+                    for c, x in zip(columns, (edges, np.full(len(pos), rep), np.full(len(pos), tag), pos, m[pos]), strict=True):
+                        c.append(x)
+            if columns[0]:
+                yield packed_batch(entries(*(np.concatenate(c) for c in columns)))
 
     def entries(edge, rep, tag, pos, m) -> list[tuple]:
         rows = resolve(edge, rep, tag, pos)
