@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 
 TOKENIZER = "word_bpe_49k.json"
-KNOWN_WORDS = 200_000  # entries of a worker's word cache, which is kept twice over
+KNOWN_WORDS = 350_000  # entries of a worker's word cache, which is kept twice over
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
