@@ -121,7 +121,7 @@ def known_redup_hyphen(spark, sf):
 
 def hyphen_redup(spark, sf):
     """Neighbouring words joined by a hyphen, so that there are reduplications of all kinds."""
-    rows = together(spark, sf).withColumn("next", F.lead("w").over(K.by_position(KEY))).filter("w <> '' AND next <> '' AND i % 3 = 0")
+    rows = together(spark, sf).withColumn("next", F.lead("w").over(K.by_position(KEY))).filter("w <> '' AND next <> ''")
     rows = rows.withColumn("w", X.collapse(F.concat_ws("-", "w", "next")))
     return rows.groupBy(SHIPPED.is_hyphen_doubled(F.col("w")).alias("hyphen_doubled"), SHIPPED.is_known_doubled(F.col("w")).alias("known")).agg(F.count(F.lit(1)).alias("n"))
 
