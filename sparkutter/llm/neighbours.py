@@ -15,9 +15,9 @@ Lists are divided into parts of ``PART`` rows, dealt by hash, which a query scan
 small tasks. K grows with the table (``PER_LIST`` rows a list) up to ``MOST_LISTS``.
 
 Cases: vectors that are null, zero, or hold a null or non-finite component take no part, neither as query nor
-as candidate; vectors of another length than the most common one likewise; a null id takes no part; rows that
-repeat an id are distinct rows with that id; a query with fewer candidates gets them all, one with none has no
-row; an empty table gives an empty result; further columns are ignored whatever their names.
+as candidate; vectors of different lengths are not compared, each length is a search of its own; a null id takes
+no part; rows that repeat an id are distinct rows with that id; a query with fewer candidates gets them all, one
+with none has no row; an empty table gives an empty result; further columns are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -121,12 +121,16 @@ def nearest(vectors: DataFrame, *, every: int = 50, k: int = 5, target: float =
     raw = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     sound = F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = materialize(raw.filter(F.col("vec_id").isNotNull()).filter(F.coalesce(sound, F.lit(False))))
-    sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if sizes is None:
-        return spark.createDataFrame([], schema)
-    dim, total = sizes["d"], sizes["count"]
-    rows = rows.filter(F.size("v") == dim)
+    sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy("d").collect()
+    found = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for n, (dim, total) in enumerate(sizes):
+        part = _nearest_of(rows.filter(F.size("v") == dim), dim, total, every, k, target)
+        found = found.union(part) if n else part
+    return found
+
+
+def _nearest_of(rows: DataFrame, dim: int, total: int, every: int, k: int, target: float) -> DataFrame:
+    """nearest() over the ``total`` sound rows (vec_id, v) of one dimension."""
     # One candidate for all rows of one vector: a result holds k + 1 of them at most, the query itself among them.
     few = rows.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).filter(F.col("r") <= k + 1)
     distinct = materialize(few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("cand", F.col("ids")[0]))
