@@ -2,7 +2,8 @@
 
 A rule names a host and the start of a path; it fits that host and its subdomains, and the longest rule that
 fits decides. URLs with a rule are the labelled examples. All URLs, counted by host and path, form a tree for
-each host, built level by level down to ``DEPTH`` segments: a segment becomes a wildcard if it looks variable
+each host, built level by level: every path down to ``DEPTH`` segments, and on from there to its end wherever its
+node has examples of both verdicts. A segment becomes a wildcard if it looks variable
 (numbers, long hexadecimal strings), or if its branch is statistically like its siblings, that is, a two-sided
 test does not tell its share of blocked examples from that of the other branches, or it has no examples while
 the siblings that have some agree. Branches under one wildcard are merged and go on as one.
@@ -66,13 +67,18 @@ def purity(blocked: Column, examples: Column, parent: Column) -> Column:
 def templates(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     """host, path, template and purity for each distinct (host, path) of ``counts`` (with examples and blocked)."""
     root = counts.groupBy("host").agg(F.sum("examples").alias("e"), F.sum("blocked").alias("b"))
-    overall = counts.agg(F.sum("examples").alias("e"), F.sum("blocked").alias("b")).first()
+    parts = F.slice(F.split("path", "/"), 2, 2**31 - 1)
+    overall = counts.agg(F.sum("examples").alias("e"), F.sum("blocked").alias("b"), F.max(F.size(parts)).alias("deepest")).first()
     base = F.lit(overall["b"] / overall["e"] if overall["e"] else 0.0)
     hosts = root.select("host", purity(F.col("b"), F.col("e"), base).alias("purity"))
-    rows = counts.join(hosts, "host").withColumn("template", F.lit("")).withColumn("parts", F.slice(F.split("path", "/"), 2, 1000))
-    for level in range(depth):
+    rows = counts.join(hosts, "host").withColumns({"template": F.lit(""), "parts": parts, "mixed": F.lit(True)})
+    for level in range(overall["deepest"] or 0):
         rows = materialize(rows)
         segment = F.get("parts", level)
+        if level >= depth:
+            segment = F.when(F.col("mixed"), segment)
+            if rows.filter(segment.isNotNull()).isEmpty():
+                break
         rows = rows.withColumn("segment", F.when(segment.isNull(), None).when(segment.rlike(VARIABLE), F.lit("*")).otherwise(segment))
         # A branch against its siblings.
         branch = rows.filter("segment IS NOT NULL").groupBy("host", "template", "segment").agg(F.sum("examples").alias("e"), F.sum("blocked").alias("b"))
@@ -96,6 +102,7 @@ def templates(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
             F.when(inside, F.concat_ws("/", "template", "kept")).otherwise(F.col("template")).alias("template"),
             F.when(inside, purity(F.col("b"), F.col("e"), F.col("purity"))).otherwise(F.col("purity")).alias("purity"),
             "parts",
+            (inside & (F.col("b") > 0) & (F.col("b") < F.col("e"))).alias("mixed"),
         )
     return rows.select("host", "path", "template", "purity")
 
