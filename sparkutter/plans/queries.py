@@ -440,14 +440,14 @@ def perceptron_train(spark, sf):
     """A model for each fold of ``benchmark``, trained on the other folds with the rule detector's labels as gold."""
     rows = _benchmark_featured(spark, sf)
     others = F.filter(F.array(*[F.lit(x) for x in range(5)]), lambda x: x != F.col("fold"))
-    models = perceptron.fit_models(rows.select("*", F.explode(others).alias("held")), ["held"], epochs=5)
+    models = perceptron.fit_models(rows.select("*", F.explode(others).alias("held")), ["held"])
     return models.select("held", F.size("history").alias("epochs"), F.element_at("history", -1).alias("last_error"))
 
 
 def perceptron_decode(spark, sf):
     rows = _benchmark_featured(spark, sf)
     others = F.filter(F.array(*[F.lit(x) for x in range(5)]), lambda x: x != F.col("fold"))
-    models = perceptron.fit_models(rows.select("*", F.explode(others).alias("held")), ["held"], epochs=5)
+    models = perceptron.fit_models(rows.select("*", F.explode(others).alias("held")), ["held"])
     out = perceptron.predict_groups(rows.withColumn("held", F.col("fold")), models, ["held"])
     return evaluate.confusion(out)
 
