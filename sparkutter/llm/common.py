@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import sys
 import tempfile
 import uuid
 
@@ -12,16 +14,40 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+_folders: set[str] = set()
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where none is named (tests)."""
+    """The shared folder that the cluster names. Where none is named: in tests, a folder of our own; else an error."""
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return jsc.getCheckpointDir().get()
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not jsc.isLocal():
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="sparkutter-"))
     return jsc.getCheckpointDir().get()
 
 
+def own_folder(spark: SparkSession) -> str:
+    """A folder for this application's intermediate tables, which goes when the application ends."""
+    jsc = spark.sparkContext._jsc.sc()
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/sparkutter-{jsc.applicationId()}"
+    if path not in _folders:
+        _folders.add(path)
+        jvm, conf = spark.sparkContext._jvm, jsc.hadoopConfiguration()
+
+        def remove() -> None:
+            try:
+                where = jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(conf).delete(where, True)
+            except Exception as e:  # the JVM may be gone before us
+                print(f"sparkutter: {path} is left: {type(e).__name__}", file=sys.stderr)
+
+        atexit.register(remove)
+    return path
+
+
 #: Rows that Python gets at a time: with texts of 100 KB each, a batch is still about 100 MB.
 BATCH_ROWS = 1000
 
@@ -42,11 +68,31 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     bound_batches(spark)
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/sparkutter-{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Beside any columns of the documents.
+ROW, SALT = "__sparkutter_row", "__sparkutter_salt"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs``, written, with a number of its own for each row: ids may repeat or be null."""
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, keys: list[str], salt: Column) -> DataFrame:
+    """``rows`` with the columns of ``facts``, which has one row for each combination of ``keys`` that occurs.
+
+    An inner join that a hot key does not put into one task: ``salt`` divides a key's rows, and the facts go to each
+    part that occurs. Give it written rows, as they are read twice.
+    """
+    salted = rows.withColumn(SALT, salt)
+    parts = salted.groupBy(*keys, SALT).agg(F.count(F.lit(1)).alias(f"{SALT}_n")).drop(f"{SALT}_n")
+    return salted.join(parts.join(facts, keys), [*keys, SALT]).drop(SALT)
+
+
 def words_of(text: Column) -> Column:
     """The words of a text (null: none), without empty strings."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")

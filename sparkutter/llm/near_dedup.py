@@ -1,28 +1,30 @@
 """Near-duplicate detection by Order MinHash and banded alignment.
 
-Texts are sequences of words. Documents with one word sequence form a class first, and only the class's
-representative (its smallest id) goes on. Order MinHash: every run of five words is labelled with how often it
-has occurred before; under each of ``REPEATS`` hash functions the ``TAKE`` smallest labelled runs are taken and
-kept in text order, so that a sketch agrees for texts that share them in the same order. Documents that agree
-in a sketch are candidates; they are linked if their edit similarity in words, 1 - distance / longer length,
-is at least 0.8. The distance comes from a bit-parallel alignment inside the band of diagonals that this bound
-allows, so within the candidates the decision is exact.
-
-No bucket is expanded into its pairs. First, every bucket's smallest id is compared with its other members and
-the links are merged into classes by joins; a large group of copies is one class then. What remains are pairs
-of different classes within a bucket. Changing a word moves at most two in a histogram of hashed words, so the
+Texts are sequences of words. Rows with one word sequence are one node, and the node's words come from one of
+them. Order MinHash: every run of five words is labelled with how often it has occurred before; under each of
+``REPEATS`` hash functions the ``TAKE`` smallest labelled runs are taken and kept in text order, so that a sketch
+agrees for texts that share them in the same order. Nodes that agree in a sketch are candidates; they are linked
+if their edit similarity in words, 1 - distance / longer length, is at least 0.8. The distance comes from a
+bit-parallel alignment inside the band of diagonals that this bound allows. It compares words by 32-bit hashes:
+two different words count as equal with a chance of 2 ** -32, and nothing else in the decision is approximate.
+
+No bucket is expanded into its pairs. First, every bucket's leader is compared with its other members and the
+links are merged into classes by joins; a large group of copies is one class then. What remains are pairs of
+different classes within a bucket. Changing a word moves at most two in a histogram of hashed words, so the
 histograms of similar texts differ by at most twice the allowed distance: a vectorised comparison inside the
 bucket drops, without loss, most pairs that are not similar. The others are aligned there and then, unless a link
 has joined their classes before, and only links leave the task. A pair is compared in the first bucket it shares.
-The members of a bucket's largest class are split over blocks of ``BLOCK`` and meet the bucket's other members
-in each. A bucket with more than ``BLOCK`` of those is dealt again, without loss: texts of similarity s share s
-of their words, so in any fixed order of labelled words the first (1 - s) n + 1 of either text hold a common
-one; the order is by rarity, so the new buckets are small, and any that is not is compared block by block.
-Nothing is capped or sampled.
+The members of a bucket's largest class are split over blocks, which rows and words bound, and meet the bucket's
+other members in each. A bucket with too many of those for one block is dealt again, without loss, by pairs of
+neighbouring words: an edit changes at most two of them, so in any fixed order of the labelled pairs the first
+2 (1 - s) n + 2 of two similar texts hold a common one; the order is by rarity, so that the passage which filled
+the bucket comes last and the new buckets are small. Any that is not is compared block by block. Nothing is capped
+or sampled.
 
 Texts of fewer than five words have one run, all their words. Cases: texts without words (null, empty, blank)
-are classes of their own; a null id takes no part and gets a null class; rows that
-repeat an id are one node with several texts; empty tables give empty results; further columns are ignored whatever their names.
+are classes of their own; a null id takes no part and gets a null class; rows that repeat an id are rows of their
+own, each in the class of its text; empty tables give empty results; further columns are ignored whatever their
+names.
 """
 
 from __future__ import annotations
@@ -32,14 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize, table
+from .common import ROW, SPACE, materialize, numbered, spread_join, table
 
 RUN = 5
 TAKE = 2
 REPEATS = 16
-FIRST = 4
 BLOCK = 1024
-BINS = 64
+BLOCK_WORDS = 4_000_000
+BINS = 256
 SIMILARITY = 0.8
 _M1, _M2, _BASE = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -159,38 +161,37 @@ def arrays(column: pa.Array):
 
 
 def sketch_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, digest of the word sequence (null: no words), sketch keys."""
+    """row, id, digest of the word sequence (null: no words), sketch keys, n and words (32-bit hashes, as one binary)."""
     import hashlib
 
     def run(batches):
         for batch in batches:
-            digests, keys = [], []
-            for w in arrays(batch.column(1)):
-                digests.append(hashlib.blake2b(w.tobytes(), digest_size=16).digest() if len(w) else None)
-                keys.append(sketches(w).view(np.int64) if len(w) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "digest", "keys"])
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), hashed_words(text_col).alias("w")).mapInArrow(run, "id long, digest binary, keys array<long>")
+            columns: list[list] = [[], [], [], []]
+            for w in arrays(batch.column(2)):
+                facts = (hashlib.blake2b(w.tobytes(), digest_size=16).digest(), sketches(w).view(np.int64)) if len(w) else (None, None)
+                for c, x in zip(columns, (*facts, len(w), (w >> np.uint64(32)).astype(np.uint32).tobytes()), strict=True):
+                    c.append(x)
+            kinds = (pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["row", "id", "digest", "keys", "n", "words"])
 
+    row = F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()
+    rows = docs.select(row.alias("row"), F.col(id_col).cast("long").alias("id"), hashed_words(text_col).alias("w"))
+    return rows.mapInArrow(run, "row long, id long, digest binary, keys array<long>, n long, words binary")
 
-def sequence_table(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, words (32-bit word hashes), n, histogram (of hashed words) and keys of the documents in ``wanted`` (id, keys).
 
-    Arrays of numbers are binaries.
-    """
+def sequence_table(rows: DataFrame) -> DataFrame:
+    """id, words, n, histogram (of hashed words) and keys of ``rows`` (id, words, n, keys); arrays of numbers are binaries."""
 
     def run(batches):
         for batch in batches:
-            words, sizes, histograms = [], [], []
-            for w in arrays(batch.column(2)):
-                words.append((w >> np.uint64(32)).astype(np.uint32).tobytes())
-                sizes.append(len(w))
-                histograms.append(np.minimum(np.bincount((w % np.uint64(BINS)).astype(np.int64), minlength=BINS), 30_000).astype(np.int16).tobytes())
-            keys = [k.astype(np.uint64).tobytes() for k in arrays(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary()), pa.array(sizes, pa.int32()), pa.array(histograms, pa.binary()), pa.array(keys, pa.binary())], ["id", "words", "n", "histogram", "keys"])
+            histograms = []
+            for x in batch.column(1):
+                w = np.frombuffer(x.as_buffer(), np.uint32)
+                histograms.append(np.minimum(np.bincount((w % np.uint32(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
+            keys = [k.astype(np.uint64).tobytes() for k in arrays(batch.column(3))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(histograms, pa.binary()), pa.array(keys, pa.binary())], ["id", "words", "n", "histogram", "keys"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id")
-    return rows.select("id", "keys", hashed_words("text").alias("w")).mapInArrow(run, "id long, words binary, n int, histogram binary, keys binary")
+    return rows.select("id", "words", "n", "keys").mapInArrow(run, "id long, words binary, n long, histogram binary, keys binary")
 
 
 def verify(pairs: DataFrame, sequences: DataFrame, similarity: float) -> DataFrame:
@@ -199,7 +200,7 @@ def verify(pairs: DataFrame, sequences: DataFrame, similarity: float) -> DataFra
     def run(batches):
         for batch in batches:
             a, b = batch.column("wa"), batch.column("wb")
-            ok = [similar(np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32), similarity) for x, y in zip(a, b, strict=True)]
+            ok = [similar(np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32), similarity) for x, y in zip(a, b, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
     left = sequences.select(F.col("id").alias("a"), F.col("words").alias("wa"))
@@ -223,34 +224,34 @@ def components(links: DataFrame) -> DataFrame:
             return now.select("id", "class_id")
 
 
-def classed(buckets: DataFrame, classes: DataFrame | None) -> DataFrame:
-    """key, repeat, id, class_id, leader of the buckets that hold more than one class."""
-    if classes is None:
-        rows = buckets.withColumn("class_id", F.col("id"))
-    else:
-        rows = buckets.join(classes, "id", "left").select("key", "repeat", "id", F.coalesce("class_id", "id").alias("class_id"))
-    mixed = rows.groupBy("key").agg(F.min("class_id").alias("least"), F.max("class_id").alias("most"), F.min("id").alias("leader")).filter("least < most")
-    return rows.join(mixed.select("key", "leader"), "key")
-
-
-def blocks(rows: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
-    """``rows`` with the block in which they are compared; and those of buckets with too many outside the largest class."""
-    sizes = rows.groupBy("key", "class_id").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "class_id")).alias("top"), F.sum("n").alias("members"))
-    largest = largest.select("key", F.col("top.class_id").alias("top"), F.col("top.n").alias("inside"), (F.col("members") - F.col("top.n")).alias("outside"))
-    rows = rows.select("key", "repeat", "id", "class_id").join(largest, "key")
-    fits = rows.filter(F.col("outside") <= block).withColumn("of", F.ceil(F.col("inside") / block).cast("int"))
+def blocks(buckets: DataFrame, classes: DataFrame, block: int, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
+    """Rows of buckets (key, repeat, id, n) that hold more than one class, in the blocks where they are compared.
+
+    And those of buckets with too many rows, or words, outside the largest class.
+    """
+    rows = buckets.join(classes, "id", "left").select("key", "repeat", "id", "n", F.coalesce("class_id", "id").alias("class_id"))
+    sizes = rows.groupBy("key", "class_id").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("words"))
+    sizes = sizes.groupBy("key").agg(F.max(F.struct("rows", "words", "class_id")).alias("top"), F.count(F.lit(1)).alias("classes"), F.sum("rows").alias("rows"), F.sum("words").alias("words"))
+    parts = lambda n, words: F.greatest(F.ceil(n / block), F.ceil(words / block_words)).cast("int")
+    sizes = sizes.filter("classes > 1").select(
+        "key",
+        F.col("top.class_id").alias("top"),
+        parts(F.col("top.rows"), F.col("top.words")).alias("of"),
+        (parts(F.col("rows") - F.col("top.rows"), F.col("words") - F.col("top.words")) > 1).alias("large"),
+    )
+    rows = materialize(rows.join(sizes, "key"))
+    fits = rows.filter("NOT large")
     largest_class = F.col("class_id") == F.col("top")
     own = F.array(F.pmod(F.xxhash64("id"), F.col("of")).cast("int"))
     every = F.sequence(F.lit(0), F.col("of") - 1)
     # In which block the others meet each other: the first.
     fits = fits.select("key", "repeat", "id", "class_id", F.explode(F.when(largest_class, own).otherwise(every)).alias("block"), (~largest_class).alias("guest"))
-    return fits, rows.filter(F.col("outside") > block).select("key", "id", "class_id")
+    return fits, rows.filter("large").select("key", "id", "n", "class_id")
 
 
-def crossed(rows: DataFrame, block: int) -> DataFrame:
+def crossed(rows: DataFrame, block: int, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Block against block, for buckets that are large even after they were dealt again."""
-    sizes = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("of"))
+    sizes = rows.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / block_words)).cast("int").alias("of"))
     rows = rows.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("of")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("other")
     rows = rows.select("key", "id", "class_id", "of", "own", other)
@@ -274,7 +275,8 @@ def plausible(repeat, block, classes, guest, n, h, keys, similarity):
         if len(j) and shared:
             j = j[~(keys[j, :shared] == keys[i, :shared]).any(axis=1)]
         if len(j):
-            j = j[np.abs(h[j] - h[i]).sum(axis=1, dtype=np.int64) <= 2 * most[j]]
+            # Of two bytes the larger less the smaller.
+            j = j[(np.maximum(h[j], h[i]) - np.minimum(h[j], h[i])).sum(axis=1, dtype=np.int64) <= 2 * most[j]]
         if len(j):
             yield i, j, most
 
@@ -287,7 +289,7 @@ def by_block(rows: DataFrame, compare, schema: str) -> DataFrame:
     def column(batch, name):
         values = batch.column(name)
         if name == "histogram":
-            return np.frombuffer(b"".join(values.to_pylist()), np.int16).reshape(-1, BINS)
+            return np.frombuffer(b"".join(values.to_pylist()), np.uint8).reshape(-1, BINS)
         if name == "keys":
             return np.frombuffer(b"".join(values.to_pylist()), np.int64).reshape(-1, REPEATS)
         if name == "words":
@@ -319,6 +321,22 @@ def by_block(rows: DataFrame, compare, schema: str) -> DataFrame:
     return rows.repartition("key", "block").sortWithinPartitions("key", "block", "n", "id").mapInArrow(run, schema)
 
 
+def from_pivots(words, classes, pivots: int = 8, members: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of each member's distance from a member of each of the largest classes.
+
+    Edit distance is a metric: the distance of two texts is no less than the difference of theirs from a third.
+    """
+    low, high = [np.zeros(len(words))], [np.full(len(words), np.inf)]
+    which, times = np.unique(classes, return_counts=True)
+    for c in which[np.argsort(-times, kind="stable")][: min(pivots, int((times >= members).sum()))]:
+        pivot = words[int(np.flatnonzero(classes == c)[0])].tolist()
+        caps = [max(len(pivot), len(w)) // 2 for w in words]
+        known = [within(pivot, w.tolist(), cap) for w, cap in zip(words, caps, strict=True)]
+        low.append(np.array([cap + 1 if d is None else d for d, cap in zip(known, caps, strict=True)], float))
+        high.append(np.array([np.inf if d is None else d for d in known]))
+    return np.stack(low), np.stack(high)
+
+
 def block_links(rows: DataFrame, sequences: DataFrame, similarity: float) -> DataFrame:
     """Links a, b between different classes within a block, up to those that join no classes any more.
 
@@ -337,9 +355,11 @@ def block_links(rows: DataFrame, sequences: DataFrame, similarity: float) -> Dat
     def align(x):
         found = []
         x["class_id"] = classes = x["class_id"].copy()
+        low, high = from_pivots(x["words"], classes)
         for i, j, most in plausible(*args(x), similarity):
             a = x["words"][i].tolist()
-            for k in j.tolist():
+            apart = np.maximum(low[:, j] - high[:, i : i + 1], low[:, i : i + 1] - high[:, j]).max(axis=0, initial=0)
+            for k in j[apart <= most[j]].tolist():
                 if classes[k] != classes[i] and within(a, x["words"][k].tolist(), int(most[k])) is not None:
                     found.append((int(min(x["id"][i], x["id"][k])), int(max(x["id"][i], x["id"][k]))))
                     classes[classes == classes[k]] = classes[i]
@@ -354,93 +374,107 @@ def block_links(rows: DataFrame, sequences: DataFrame, similarity: float) -> Dat
 
 
 def redealt(ids: DataFrame, sequences: DataFrame, similarity: float, counters: int = 1 << 16) -> DataFrame:
-    """Buckets by the words of which similar texts must share one, for ``ids``."""
-    rows = materialize(sequences.select("id", "words").join(ids, "id", "left_semi"))
+    """Buckets by the neighbouring words of which similar texts must share a pair, for ``ids``."""
+    rows = materialize(sequences.select("id", "n", "words").join(ids, "id", "left_semi"))
 
-    def labelled(data: bytes) -> np.ndarray:
-        w = np.frombuffer(data, np.uint32).astype(np.uint64)
-        return mix(w + occurrence(w).astype(np.uint64) * _BASE)
+    def labelled(x) -> np.ndarray:
+        pairs = run_hashes(np.frombuffer(x.as_buffer(), np.uint32).astype(np.uint64), 2)
+        return mix(pairs + occurrence(pairs).astype(np.uint64) * _BASE)
 
     def count(batches):
         total = np.zeros(counters, np.int64)
         for batch in batches:
             for x in batch.column(0):
-                np.add.at(total, (labelled(x.as_py()) % np.uint64(counters)).astype(np.int64), 1)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["n"])
+                total += np.bincount((labelled(x) % np.uint64(counters)).astype(np.int64), minlength=counters)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
 
     # Of a fixed size, however many texts: rarity only sets the order, which may be any.
-    parts = rows.select("words").coalesce(16).mapInArrow(count, "n binary").collect()
-    rarity = sum((np.frombuffer(r["n"], np.int64) for r in parts), np.zeros(counters, np.int64))
+    rarity = np.zeros(counters, np.int64)
+    for r in rows.select("words").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        rarity[r["at"]] = r["n"]
 
     def deal(batches):
         for batch in batches:
-            keys, owners = [], []
-            for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                w = labelled(x.as_py())
-                n = len(w)
-                if not n:
-                    continue
+            keys, owners, lengths = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for i, n, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                w = labelled(x)
                 order = np.lexsort((w, rarity[(w % np.uint64(counters)).astype(np.int64)]))
-                first = w[order[: n - int(np.ceil(similarity * n - 1e-9)) + 1]]
-                keys.append(first.view(np.int64))
-                owners.append(np.full(len(first), i))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owners))], ["key", "id"])
-
-    return rows.mapInArrow(deal, "key long, id long")
-
-
-def links_of(buckets: DataFrame, sequences: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
-    """All links (a, b) between members of one bucket, up to links inside a class that others make already."""
-    def star(rows, classes, tried):
-        rows = classed(rows, classes)
-        leaders = rows.filter("id = leader").select("key", F.col("id").alias("a"), F.col("class_id").alias("ca")).distinct()
-        pairs = rows.filter("id <> leader").join(leaders, "key").filter("class_id <> ca").select("a", F.col("id").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        return materialize(verify(pairs, sequences, similarity))
-
-    # Most links show in the first sketches; for the others, only members of other classes are left to compare.
-    first = star(buckets.filter(F.col("repeat") < FIRST), None, None)
-    classes = components(first.filter("ok"))
-    second = star(buckets, classes, first)
-    seen = first.unionByName(second)
-    links = seen.filter("ok").select("a", "b")
-    classes = components(links)
-    fits, large = blocks(materialize(classed(buckets, classes)), block)
+                keys.append(w[order[: 2 * int((1 - similarity) * n + 1e-9) + 2]].view(np.int64))
+                owners.append(np.full(len(keys[-1]), i))
+                lengths.append(np.full(len(keys[-1]), n))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (keys, owners, lengths)], ["key", "id", "n"])
+
+    return rows.mapInArrow(deal, "key long, id long, n long")
+
+
+def several(buckets: DataFrame) -> DataFrame:
+    """``buckets`` (with key and id) that have more than one member, with their leader, the smallest id."""
+    leaders = buckets.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("most")).filter("leader < most").drop("most")
+    return buckets.join(leaders, "key")
+
+
+def linked_classes(buckets: DataFrame, sequences: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """id and class_id, the smallest id that links between members of one bucket lead to, where that is another."""
+    pairs = buckets.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    classes = components(materialize(verify(pairs, sequences, similarity).filter("ok").select("a", "b")))
+    # Most links show there; for the others, only members of other classes are left to compare.
+    fits, large = blocks(buckets.drop("leader"), classes, block)
     large = materialize(large.select("id").distinct())
     if not large.isEmpty():
-        dealt = redealt(large, sequences, similarity).distinct().withColumn("repeat", F.lit(-1))
-        more, large = blocks(materialize(classed(dealt, classes)), block)
+        dealt = several(redealt(large, sequences, similarity)).drop("leader").withColumn("repeat", F.lit(-1))
+        more, large = blocks(dealt, classes, block)
         fits = fits.unionByName(more).unionByName(crossed(large, block))
-    return links.unionByName(materialize(block_links(fits, sequences, similarity)))
+    # They join classes, which are few.
+    named = lambda c: classes.select(F.col("id").alias(c), F.col("class_id").alias(f"of_{c}"))
+    links = block_links(fits, sequences, similarity).join(named("a"), "a", "left").join(named("b"), "b", "left")
+    links = materialize(links.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).filter("a <> b").distinct())
+    if links.isEmpty():
+        return classes
+    merged = components(links)
+    alone = merged.join(classes, "id", "left_anti")
+    further = classes.join(merged.select(F.col("id").alias("class_id"), F.col("class_id").alias("to")), "class_id", "left")
+    return further.select("id", F.coalesce("to", "class_id").alias("class_id")).unionByName(alone)
 
 
 def near_duplicate_classes(docs: DataFrame, *, similarity: float = SIMILARITY, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id (smallest id of its class), class_size, kept of each row."""
+    """doc_id, class_id (smallest id of its class), class_size, kept of each row; and ROW, if ``docs`` has it.
+
+    One row of each class is kept, one with its smallest id.
+    """
+    if not 0.5 < similarity <= 1:
+        raise ValueError("the similarity must be above 0.5")
     sketched = materialize(sketch_table(docs, id_col, text_col))
     worded = sketched.filter("id IS NOT NULL AND digest IS NOT NULL")
-    representatives = materialize(worded.groupBy("digest").agg(F.min("id").alias("rep"), F.min_by("keys", "id").alias("keys")))
-    buckets = representatives.select(F.posexplode("keys").alias("repeat", "key"), F.col("rep").alias("id"))
-    several = buckets.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select("key")
-    buckets = materialize(buckets.join(several, "key", "left_semi"))
-    wanted = representatives.select(F.col("rep").alias("id"), "keys").join(buckets.select("id").distinct(), "id", "left_semi")
-    sequences = materialize(sequence_table(docs, wanted, id_col, text_col))
-    links = links_of(buckets, sequences, similarity, block)
-    rows = sketched.select("id", "digest").join(representatives.select("digest", "rep"), "digest", "left")
-    named = components(links).select(F.col("id").alias("rep"), "class_id")
-    rows = rows.join(named, "rep", "left").select("id", F.when(F.col("id").isNotNull(), F.coalesce("class_id", "rep", "id")).alias("class_id"))
-    rows = materialize(rows)
-    sizes = rows.groupBy(F.col("class_id").alias("c")).agg(F.count(F.lit(1)).alias("class_size"))
-    return rows.join(sizes, F.col("class_id").eqNullSafe(F.col("c")), "left").select(
-        F.col("id").alias("doc_id"), "class_id", "class_size", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept")
+    nodes = worded.groupBy("digest").agg(F.min(F.struct("id", "row")).alias("first"), F.count(F.lit(1)).alias("rows"))
+    # A node's number: of 64 bits, and one for each digest, whatever ids the rows have.
+    nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("node"), "digest", F.col("first.id").alias("least"), F.col("first.row").alias("row"), "rows"))
+    facts = worded.join(nodes.select("row", F.col("node").alias("id_")), "row").select(F.col("id_").alias("id"), "keys", "n")
+    buckets = materialize(several(facts.select(F.posexplode("keys").alias("repeat", "key"), "id", "n")))
+    wanted = nodes.join(buckets.select(F.col("id").alias("node")).distinct(), "node", "left_semi").select("row", "node")
+    # A merge join at any size that matters; the same at small ones.
+    sequences = materialize(sequence_table(worded.drop("id").join(wanted.hint("merge"), "row").withColumnRenamed("node", "id")))
+    classes = linked_classes(buckets, sequences, similarity, block)
+    named = nodes.join(classes.select(F.col("id").alias("node"), "class_id"), "node", "left").withColumn("class", F.coalesce("class_id", "node"))
+    named = materialize(named.select("digest", "node", "class", "least", "row", "rows"))
+    heads = named.groupBy("class").agg(F.min(F.struct("least", "row")).alias("head"), F.sum("rows").alias("class_size"))
+    named = spread_join(named.select("digest", "node", "class"), heads, ["class"], F.pmod(F.xxhash64("node"), F.lit(64))).select("digest", F.col("head.least").alias("class_id"), F.col("head.row").alias("head"), "class_size")
+    rows = sketched.select("row", "id", "digest").join(named, F.col("id").isNotNull() & (sketched["digest"] == named["digest"]), "left")
+    lone = F.when(F.col("id").isNotNull(), F.col("id"))
+    return rows.select(
+        F.col("id").alias("doc_id"),
+        F.coalesce("class_id", lone).alias("class_id"),
+        F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
+        F.coalesce(F.col("head") == F.col("row"), F.lit(True)).alias("kept"),
+        *([F.col("row").alias(ROW)] if ROW in docs.columns else []),
     )
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the documents whose class has a smaller id; null ids stay."""
-    gone = materialize(near_duplicate_classes(docs, id_col=id_col, **options).filter("NOT kept").select(F.col("doc_id").alias("__sparkutter_gone")).distinct())
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__sparkutter_gone"), "left_anti")
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` without the rows that their classes do not keep; null ids stay."""
+    rows = numbered(docs)
+    gone = near_duplicate_classes(rows, **options).filter("NOT kept").select(ROW)
+    return rows.join(gone, ROW, "left_anti").drop(ROW)
 
 
 def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
