@@ -3,7 +3,8 @@
 Texts are equal when identical after normalisation (by default: none). Three stages, each comparing the full
 content: rows are deduplicated inside their partition (the map side of an aggregate over digest, salt and
 text), groups of one digest and salt are merged, and the winners of the salts are combined for all. A group of
-copies that holds a third of all rows thus reaches the last stage as at most ``salts`` rows.
+copies that holds a third of all rows thus reaches the last stage as at most ``salts`` rows. The way back is
+salted, too: a group's result goes to each of its (digest, salt) pairs, and every row finds it there.
 
 Cases: a null text counts as an empty one, empty texts are equal to each other, a doc_id that occurs twice
 with the same text is two rows of one group, a null doc_id loses to any other (rows
@@ -16,10 +17,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import ROW, materialize, numbered, spread_join, table
 
 
-KEEP = "__sparkutter_keep"  # beside any columns of the documents
+def _texts(docs: DataFrame, id_col: str, text_col: str, normalise, digest) -> DataFrame:
+    """doc_id, t (what is compared), g (its digest), and ROW if ``docs`` has it."""
+    norm: Column = F.coalesce(F.col(text_col), F.lit(""))
+    if normalise is not None:
+        norm = normalise(norm)
+    digest = digest or (lambda c: F.xxhash64(c))
+    row = [F.col(ROW)] if ROW in docs.columns else []
+    return docs.select(F.col(id_col).alias("doc_id"), norm.alias("t"), *row).withColumn("g", digest(F.col("t")))
+
+
+def combined(rows: DataFrame, best: Column, salts: int) -> DataFrame:
+    """g, t, best (the largest) and n of each text of ``rows``."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts))).groupBy("g", "salt", "t").agg(F.max(best).alias("best"), F.count(F.lit(1)).alias("n"))
+    # The winners of the salts: the digest and the whole text once more.
+    return salted.groupBy("g", "t").agg(F.max("best").alias("best"), F.sum("n").alias("n"))
 
 
 def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", normalise=None, digest=None, salts: int = 16) -> DataFrame:
@@ -28,31 +43,22 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     ``normalise`` maps the text column to the one that is compared; ``digest`` maps it to a grouping digest
     (default xxhash64). Digests need not be free of collisions: content decides.
     """
-    digest = digest or (lambda c: F.xxhash64(c))
-    norm: Column = F.coalesce(F.col(text_col), F.lit(""))
-    if normalise is not None:
-        norm = normalise(norm)
-    rows = docs.select(F.col(id_col).alias("doc_id"), norm.alias("t")).withColumn("g", digest(F.col("t")))
-    salted = (
-        rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
-        .groupBy("g", "salt", "t")
-        .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
-    )
-    # The winners of the salts: the digest and the whole text once more.
-    merged = salted.groupBy("g", "t").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
-    winners = materialize(merged.select("g", "keep_id", "group_size", F.sha2("t", 256).alias("sha")))
+    rows = _texts(docs, id_col, text_col, normalise, digest)
+    winners = combined(rows, F.col("doc_id"), salts).select("g", F.col("best").alias("keep_id"), F.col("n").alias("group_size"), F.sha2("t", 256).alias("sha"))
+    winners = materialize(winners)
     # The texts of one digest: one, but for collisions.
     doubtful = winners.groupBy("g").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
+    keys = materialize(rows.select("doc_id", "g", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).alias("salt")))
+    back = lambda some: spread_join(some, winners, ["g"], F.col("salt"))
     if doubtful.isEmpty():
-        named = rows.select("doc_id", "g").join(winners, "g")
+        named = back(keys)
     else:
         # Collisions: within such a digest the full text tells its groups apart.
         doubtful = materialize(doubtful)
-        full = (
-            rows.join(doubtful, "g", "left_semi").groupBy("g", "t").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).withColumn("sha", F.sha2("t", 256))
-        )
-        clear = rows.join(doubtful, "g", "left_anti").select("doc_id", "g").join(winners, "g")
-        named = clear.unionByName(rows.join(full, ["g", "t"]).select("doc_id", "g", "keep_id", "group_size", "sha"))
+        full = combined(rows.join(doubtful, "g", "left_semi"), F.col("doc_id"), salts)
+        full = full.select("g", "t", F.col("best").alias("keep_id"), F.col("n").alias("group_size"), F.sha2("t", 256).alias("sha"))
+        named = back(keys.join(doubtful, "g", "left_anti")).select("doc_id", "keep_id", "group_size", "sha")
+        named = named.unionByName(rows.join(full, ["g", "t"]).select("doc_id", "keep_id", "group_size", "sha"))
     return named.select(
         "doc_id",
         "keep_id",
@@ -62,26 +68,12 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; one of several rows that share id and text.
-
-    Of the rows with null ids one stays for each text that no row with an id has.
-    """
-    named = docs.filter(F.col(id_col).isNotNull())
-    groups = exact_groups(named, id_col=id_col, text_col=text_col, **options)
-    kept = materialize(groups.filter("kept").groupBy(F.col("doc_id").alias(KEEP)).agg(F.count(F.lit(1)).alias("times")))
-    out = named.join(kept.select(KEEP), F.col(id_col) == F.col(KEEP), "left_semi")
-    if not kept.filter("times > 1").isEmpty():
-        # The same id more than once: only these few rows are compared again.
-        out = named.join(kept.filter("times = 1").select(KEEP), F.col(id_col) == F.col(KEEP), "left_semi")
-        out = out.unionByName(named.join(kept.filter("times > 1").select(KEEP), F.col(id_col) == F.col(KEEP), "left_semi").dropDuplicates([id_col, text_col]))
-    nameless = docs.filter(F.col(id_col).isNull())
-    if nameless.isEmpty():
-        return out
-    norm = options.get("normalise") or (lambda c: c)
-    content = lambda df: df.withColumn(KEEP, norm(F.coalesce(F.col(text_col), F.lit(""))))
-    nameless = content(nameless).dropDuplicates([KEEP]).join(content(named).select(KEEP), KEEP, "left_anti")
-    return out.unionByName(nameless.drop(KEEP))
+def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", normalise=None, digest=None, salts: int = 16) -> DataFrame:
+    """One row of ``docs`` for each text, with all its columns: one with the largest id (nulls only among themselves)."""
+    rows = numbered(docs)
+    best = F.struct("doc_id", ROW)
+    kept = combined(_texts(rows, id_col, text_col, normalise, digest), best, salts).select(F.col(f"best.{ROW}").alias(ROW))
+    return rows.join(kept, ROW, "left_semi").drop(ROW)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
