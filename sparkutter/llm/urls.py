@@ -2,8 +2,8 @@
 
 A rule names a host and the start of a path; it fits that host and its subdomains, and the longest rule that
 fits decides. URLs with a rule are the labelled examples. All URLs, counted by host and path, form a tree for
-each host, built level by level: every path down to ``DEPTH`` segments, and on from there to its end wherever its
-node has examples of both verdicts. A segment becomes a wildcard if it looks variable
+each host, built level by level, however deep: a node branches as long as it has examples of both verdicts, and is
+a leaf where its examples agree or there are none (no test could tell branches apart below it). A segment becomes a wildcard if it looks variable
 (numbers, long hexadecimal strings), or if its branch is statistically like its siblings, that is, a two-sided
 test does not tell its share of blocked examples from that of the other branches, or it has no examples while
 the siblings that have some agree. Branches under one wildcard are merged and go on as one.
@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, spread_join, table
 
 #: (host, path, verdict)
 RULES = (
@@ -35,7 +35,7 @@ RULES = (
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 )
-DEPTH = 4
+SALTS = 16
 VARIABLE = r"^([0-9]+|[0-9a-f]{8,}|.*[0-9]{3,}.*)$"
 SMOOTHING = 4.0
 THRESHOLD = 0.5
@@ -64,24 +64,30 @@ def purity(blocked: Column, examples: Column, parent: Column) -> Column:
     return (blocked + SMOOTHING * parent) / (examples + SMOOTHING)
 
 
-def templates(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """host, path, template and purity for each distinct (host, path) of ``counts`` (with examples and blocked)."""
-    root = counts.groupBy("host").agg(F.sum("examples").alias("e"), F.sum("blocked").alias("b"))
+def templates(counts: DataFrame) -> DataFrame:
+    """host, path, template and purity for each distinct (host, path) of ``counts`` (with examples and blocked), a written table."""
+    total = counts.agg(F.sum("examples").alias("e"), F.sum("blocked").alias("b")).first()
+    base = F.lit(total["b"] / total["e"] if total["e"] else 0.0)
+    hosts = counts.groupBy("host").agg(F.sum("examples").alias("e"), F.sum("blocked").alias("b"))
+    mixed = lambda e, b: (F.col(b) > 0) & (F.col(b) < F.col(e))
+    hosts = hosts.select("host", purity(F.col("b"), F.col("e"), base).alias("purity"), mixed("e", "b").alias("mixed"))
+    # A host, or a template, with many paths is read in parts.
+    salt = F.pmod(F.xxhash64("path"), F.lit(SALTS))
     parts = F.slice(F.split("path", "/"), 2, 2**31 - 1)
-    overall = counts.agg(F.sum("examples").alias("e"), F.sum("blocked").alias("b"), F.max(F.size(parts)).alias("deepest")).first()
-    base = F.lit(overall["b"] / overall["e"] if overall["e"] else 0.0)
-    hosts = root.select("host", purity(F.col("b"), F.col("e"), base).alias("purity"))
-    rows = counts.join(hosts, "host").withColumns({"template": F.lit(""), "parts": parts, "mixed": F.lit(True)})
-    for level in range(overall["deepest"] or 0):
-        rows = materialize(rows)
+    rows = spread_join(counts, hosts, ["host"], salt).withColumns({"template": F.lit(""), "parts": parts})
+    rows = materialize(rows.select("host", "path", "examples", "blocked", "template", "purity", "parts", "mixed"))
+    done, level = None, 0
+    while True:
+        # Below a leaf nothing tells branches apart: all that follows is one wildcard a segment.
+        further = F.col("mixed") & (F.size("parts") > level)
+        leaves = rows.filter(~further).select("host", "path", F.concat("template", F.repeat(F.lit("/*"), F.size("parts") - level)).alias("template"), "purity")
+        done, rows = leaves if done is None else done.unionByName(leaves), rows.filter(further)
+        if rows.isEmpty():
+            return done
         segment = F.get("parts", level)
-        if level >= depth:
-            segment = F.when(F.col("mixed"), segment)
-            if rows.filter(segment.isNotNull()).isEmpty():
-                break
-        rows = rows.withColumn("segment", F.when(segment.isNull(), None).when(segment.rlike(VARIABLE), F.lit("*")).otherwise(segment))
+        rows = rows.withColumn("segment", F.when(segment.rlike(VARIABLE), F.lit("*")).otherwise(segment))
         # A branch against its siblings.
-        branch = rows.filter("segment IS NOT NULL").groupBy("host", "template", "segment").agg(F.sum("examples").alias("e"), F.sum("blocked").alias("b"))
+        branch = rows.groupBy("host", "template", "segment").agg(F.sum("examples").alias("e"), F.sum("blocked").alias("b"))
         parent = branch.groupBy("host", "template").agg(F.sum("e").alias("pe"), F.sum("b").alias("pb"))
         branch = branch.join(parent, ["host", "template"])
         rest = F.col("pe") - F.col("e")
@@ -89,22 +95,23 @@ def templates(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
         error = F.sqrt(pooled * (1 - pooled) * (1 / F.greatest(F.col("e"), F.lit(1)) + 1 / F.greatest(rest, F.lit(1))))
         apart = F.abs(F.col("b") / F.greatest(F.col("e"), F.lit(1)) - (F.col("pb") - F.col("b")) / F.greatest(rest, F.lit(1)))
         alike = F.when((F.col("e") == 0) | (rest == 0), pooled * (1 - pooled) == 0).otherwise(apart <= Z * error)
-        branch = branch.select("host", "template", "segment", F.when(alike, F.lit("*")).otherwise(F.col("segment")).alias("kept"), "e", "b")
-        rows = rows.join(branch.select("host", "template", "segment", "kept"), ["host", "template", "segment"], "left")
-        nodes = branch.groupBy("host", "template", "kept").agg(F.sum("e").alias("e"), F.sum("b").alias("b"))
-        rows = rows.join(nodes, ["host", "template", "kept"], "left")
-        inside = F.col("kept").isNotNull()
-        rows = rows.select(
-            "host",
-            "path",
-            "examples",
-            "blocked",
-            F.when(inside, F.concat_ws("/", "template", "kept")).otherwise(F.col("template")).alias("template"),
-            F.when(inside, purity(F.col("b"), F.col("e"), F.col("purity"))).otherwise(F.col("purity")).alias("purity"),
-            "parts",
-            (inside & (F.col("b") > 0) & (F.col("b") < F.col("e"))).alias("mixed"),
+        branch = materialize(branch.select("host", "template", "segment", F.when(alike, F.lit("*")).otherwise(F.col("segment")).alias("kept"), "e", "b"))
+        nodes = branch.groupBy("host", "template", "kept").agg(F.sum("e").alias("ne"), F.sum("b").alias("nb"))
+        branch = branch.drop("e", "b").join(nodes, ["host", "template", "kept"])
+        rows = spread_join(rows, branch, ["host", "template", "segment"], salt)
+        rows = materialize(
+            rows.select(
+                "host",
+                "path",
+                "examples",
+                "blocked",
+                F.concat_ws("/", "template", "kept").alias("template"),
+                purity(F.col("nb"), F.col("ne"), F.col("purity")).alias("purity"),
+                "parts",
+                mixed("ne", "nb").alias("mixed"),
+            )
         )
-    return rows.select("host", "path", "template", "purity")
+        level += 1
 
 
 def judge(pages: DataFrame, *, rules=RULES, threshold: float = THRESHOLD, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
