@@ -14,13 +14,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..resources import words as W
+from .text import PUNCTUATION
 
 FP, FP_AMB, DM, EDIT = "filled_pause", "filled_pause_ambiguous", "discourse_marker", "editing_term"
 
 
+def plain_normalise(word: str) -> str:
+    """normalise() for one Python string."""
+    return word.strip().lower().lstrip(PUNCTUATION + "-").rstrip(PUNCTUATION)
+
+
 def plain_canonical(word: str) -> str:
     """canonical() for one Python string, for building lexicons."""
-    word = word.strip().lower().lstrip(".,!?;:\"'()[]{}-").rstrip(".,!?;:\"'()[]{}")
+    word = plain_normalise(word)
     kept = ""
     for c in word:
         if not kept.endswith(c * 2):

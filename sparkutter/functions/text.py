@@ -14,9 +14,14 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, WHITE), lambda w: w != "")
 
 
+def strip(text: Column) -> Column:
+    """Without (Unicode) white space around it."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def normalise(raw: Column, trimmed: bool = False) -> Column:
     """Lower case, without punctuation around it; hyphens go in front only, as a trailing one marks a cut-off word."""
-    word = raw if trimmed else F.regexp_replace(raw, r"(?U)^\s+|\s+$", "")
+    word = raw if trimmed else strip(raw)
     return F.rtrim(F.ltrim(F.lower(word), F.lit(PUNCTUATION + "-")), F.lit(PUNCTUATION))
 
 
@@ -67,6 +72,30 @@ def milliseconds(seconds: Column) -> Column:
     return F.rint(seconds * 1000).cast("long")
 
 
+def thousandths(x: Column) -> Column:
+    """A double that is not negative, as a whole number of thousandths: the nearest to its exact value, ties to even.
+
+    Spark's round() and format_string() round the shortest decimal that stands for a double, which is half-way more
+    often than the double itself. The product's rounding error is found by splitting the factor (Dekker).
+    """
+    p = x * 1000.0
+    k = F.floor(p)
+    high = x * 134217729.0 - (x * 134217729.0 - x)
+    error = (high * 1000.0 - p) + (x - high) * 1000.0
+    beyond = (p - k - 0.5) + error
+    return (k + F.when((beyond > 0) | (beyond == 0) & (k % 2 == 1), 1).otherwise(0)).cast("long")
+
+
+def round3(x: Column) -> Column:
+    return thousandths(x) / 1000.0
+
+
+def fixed3(x: Column) -> Column:
+    """With three decimals, as text."""
+    ms = thousandths(x)
+    return F.concat((ms / 1000).cast("long").cast("string"), F.lit("."), F.lpad((ms % 1000).cast("string"), 3, "0"))
+
+
 def md5_bucket(value: Column, modulus: int) -> Column:
     """The MD5 of a string, as a 128-bit number, modulo ``modulus``."""
     digest = F.md5(value)

@@ -94,9 +94,11 @@ def loops(words: DataFrame, longest: int = 4, rounds: int = 4, key: list[str] =
 
 def without_loops(words: DataFrame, found: DataFrame, key: list[str] = FILE) -> DataFrame:
     """``words`` outside the loops."""
+    order = Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     rows = words.withColumn("pos", F.row_number().over(Window.partitionBy(*key).orderBy("n")) - 1)
-    inside = found.select(*key, F.explode(F.sequence("begin", F.col("stop") - 1)).alias("pos"))
-    return rows.join(inside.withColumn("pos", F.col("pos").cast("int")), [*key, "pos"], "left_anti").drop("pos")
+    rows = rows.join(found.select(*key, F.col("begin").cast("int").alias("pos"), F.col("stop").alias("_stop")), [*key, "pos"], "left")
+    rows = rows.withColumn("_reach", F.max("_stop").over(order))
+    return rows.filter(F.coalesce(F.col("pos") >= F.col("_reach"), F.lit(True))).drop("pos", "_stop", "_reach")
 
 
 def silence_profile(spark: SparkSession, path: str, hop: float = 0.01, relative: float = 3.0) -> DataFrame:
@@ -148,9 +150,9 @@ def trimmed(words: DataFrame, profiles: DataFrame, least: float = 0.04, key: lis
     start, end = first * F.col("hop"), (last + 1) * F.col("hop")
     rows = rows.withColumns({"_s": F.when(sound, start), "_e": F.when(sound, end)})
     moved = F.coalesce((F.abs(F.col("_s") - F.col("start")) > 1e-9) | (F.abs(F.col("_e") - F.col("end")) > 1e-9), F.lit(False))
-    rows = rows.withColumn("changed", moved).withColumns({"start": F.coalesce(F.round("_s", 3), "start"), "end": F.coalesce(F.round("_e", 3), "end")})
+    rows = rows.withColumn("changed", moved).withColumns({"start": F.coalesce(X.round3(F.col("_s")), "start"), "end": F.coalesce(X.round3(F.col("_e")), "end")})
     following = F.lead("start").over(Window.partitionBy(*key).orderBy("n"))
-    rows = rows.withColumn("end", F.when(F.col("end") > following, F.round(F.greatest("start", following), 3)).otherwise(F.col("end")))
+    rows = rows.withColumn("end", F.when(F.col("end") > following, X.round3(F.greatest("start", following))).otherwise(F.col("end")))
     return rows.select(*words.columns, "changed")
 
 

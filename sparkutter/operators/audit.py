@@ -42,7 +42,11 @@ def grouped(rows: DataFrame, file: str | None, aggregates: list[Column]) -> Data
 
 
 def gap_audit(tokens: DataFrame, lex: Lexicon, key: list[str] = KEY, file: str | None = None, unit: int = 1) -> DataFrame:
-    """gaps, zero gaps and their share, gaps in each zone, median, and whether prosody can be trusted."""
+    """gaps, zero gaps and their share, gaps in each zone, median, and whether prosody can be trusted.
+
+    The exact median counts distinct gaps. Times have three decimals at most, so these are as many as a recording's
+    longest silence has milliseconds, however many gaps there are.
+    """
     rows = gaps(tokens, [*([file] if file else []), *[k for k in key if k != file]])
     kind = zone(F.col("gap"), lex, unit)
     zero = F.count_if(F.col("gap") <= (0 if unit == 1000 else ZERO_GAP))
@@ -67,9 +71,16 @@ def filler_audit(tokens: DataFrame, lex: Lexicon, file: str | None = None) -> Da
     return out.withColumns({"rate": rate, "pause_rate": pauses, "pauses_missing": pauses < SPOKEN_PAUSE_RATE / 2})
 
 
-def filler_forms(tokens: DataFrame, lex: Lexicon) -> DataFrame:
-    """Each filler as it was normalised, with its count."""
-    return tokens.filter(lex.is_filler(F.col("w"))).groupBy(X.normalise(F.col("raw")).alias("form")).agg(F.count(F.lit(1)).alias("n"))
+def filler_forms(tokens: DataFrame, lex: Lexicon, order: list[str] | None = None) -> DataFrame:
+    """Each filler as it was normalised, with its count; ``order`` names the columns of the corpus order, for first, where it appears first."""
+    first = [F.min(F.struct(*order)).alias("first")] if order else []
+    return tokens.filter(lex.is_filler(F.col("w"))).groupBy(X.normalise(F.col("raw")).alias("form")).agg(F.count(F.lit(1)).alias("n"), *first)
+
+
+def top_fillers(tokens: DataFrame, lex: Lexicon, order: list[str], limit: int | None = 12) -> DataFrame:
+    """The forms by count, ties by first appearance: a report, so the limit is the feature (None: all forms)."""
+    rows = filler_forms(tokens, lex, order).orderBy(F.desc("n"), "first").drop("first")
+    return rows if limit is None else rows.limit(limit)
 
 
 def repeat_audit(tokens: DataFrame, lex: Lexicon, key: list[str] = KEY, file: str | None = None, unit: int = 1) -> DataFrame:
@@ -90,7 +101,7 @@ def repeat_samples(tokens: DataFrame, lex: Lexicon, limit: int = 25, key: list[s
 def speech(tokens: DataFrame, key: list[str] = KEY, file: str | None = None) -> DataFrame:
     """utterances, tokens and seconds of speech (first start to last end of each utterance)."""
     by = [*([file] if file else []), *[k for k in key if k != file]]
-    each = tokens.groupBy(*by).agg((F.max_by("end", "i") - F.min_by("start", "i")).alias("t"), F.count(F.lit(1)).alias("n"))
+    each = tokens.groupBy(*by).agg((F.max_by("end", "i") - F.min_by("start", "i")).alias("t"), F.count("i").alias("n"))
     return grouped(each, file, [F.count(F.lit(1)).alias("utterances"), F.sum("n").alias("tokens"), F.sum("t").alias("speech")])
 
 

@@ -31,36 +31,39 @@ def phrase_at(lex: Lexicon, key: list[str] = KEY) -> tuple[Column, Column]:
     return length, category
 
 
-def mark_phrases(tokens: DataFrame, lex: Lexicon, key: list[str] = KEY) -> DataFrame:
-    """``tokens`` with phrase_n, phrase_cat and in_marker: inside a discourse phrase, taken from left to right.
+def taken(rows: DataFrame, hit: Column, n: Column, most: int, key: list[str] = KEY) -> DataFrame:
+    """``rows`` with taken: of the stretches of ``n`` tokens that begin where ``hit`` holds, those that a scan from left to right takes.
 
-    A taken phrase hides those that begin inside it. Whether one is taken depends only on its cluster, the
-    phrases that begin less than a phrase's length after each other, so a cluster is scanned as a short array.
+    A stretch that is taken hides those that begin inside it. Whether one is taken depends only on its cluster, the
+    stretches that begin less than ``most`` tokens after each other, so a cluster is scanned as a short array.
     """
-    most = lex.longest_phrase
-    if most < 2:
-        return tokens.withColumns({"phrase_n": F.lit(None).cast("int"), "phrase_cat": F.lit(None).cast("string"), "in_marker": F.lit(False)})
-    n, category = phrase_at(lex, key)
-    rows = tokens.withColumns({"phrase_n": n, "phrase_cat": category})
-    hit = F.col("phrase_cat") == L.DM
     rows = rows.withColumn("_hit", F.coalesce(hit, F.lit(False)))
+    if most < 2:
+        return rows.withColumnRenamed("_hit", "taken")
     order = by_position(key)
     near = F.lit(False)
     for k in range(1, most):
         near |= F.coalesce(F.lag("_hit", k).over(order), F.lit(False))
     rows = rows.withColumn("_cluster", F.sum(F.when(near, 0).otherwise(1)).over(running(key)))
-    whole = Window.partitionBy(*key, "_cluster").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.withColumn("_hits", F.collect_list(F.when(F.col("_hit"), F.struct("i", F.col("phrase_n").alias("n")))).over(whole))
-    start = F.struct(F.lit(-1).alias("free"), F.lit(False).alias("inside"))
-    here = F.col("i").cast("int")
+    whole = Window.partitionBy(*key, "_cluster").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_hits", F.collect_list(F.when(F.col("_hit"), F.struct(F.col("i").cast("int").alias("i"), n.cast("int").alias("n")))).over(whole))
+    # The last stretch taken, of those that begin here or before.
+    start = F.struct(F.lit(-1).alias("at"), F.lit(-1).alias("free"))
+    step = lambda acc, x: F.when(x["i"] >= acc["free"], F.struct(x["i"].alias("at"), (x["i"] + x["n"]).alias("free"))).otherwise(acc)
+    return rows.withColumn("taken", F.when(F.col("_hit"), F.aggregate("_hits", start, step, lambda acc: acc["at"]) == F.col("i")).otherwise(F.lit(False))).drop("_hit", "_cluster", "_hits")
 
-    def step(acc, x):
-        taken = x["i"] >= acc["free"]
-        end = (x["i"] + x["n"]).cast("int")
-        return F.struct(F.when(taken, end).otherwise(acc["free"]).alias("free"), (acc["inside"] | taken & (x["i"] <= here) & (here < end)).alias("inside"))
 
-    inside = F.when(F.size("_hits") == 0, F.lit(False)).otherwise(F.aggregate("_hits", start, step, lambda acc: acc["inside"]))
-    return rows.withColumn("in_marker", inside).drop("_hit", "_cluster", "_hits")
+def mark_phrases(tokens: DataFrame, lex: Lexicon, key: list[str] = KEY) -> DataFrame:
+    """``tokens`` with phrase_n, phrase_cat and in_marker: inside a discourse phrase, taken from left to right."""
+    most = lex.longest_phrase
+    if most < 2:
+        return tokens.withColumns({"phrase_n": F.lit(None).cast("int"), "phrase_cat": F.lit(None).cast("string"), "in_marker": F.lit(False)})
+    n, category = phrase_at(lex, key)
+    rows = tokens.withColumns({"phrase_n": n, "phrase_cat": category})
+    rows = taken(rows, F.col("phrase_cat") == L.DM, F.col("phrase_n"), most, key)
+    rows = rows.withColumn("_end", F.when(F.col("taken"), F.col("i") + F.col("phrase_n")))
+    inside = F.col("i") < F.last("_end", ignorenulls=True).over(running(key))
+    return rows.withColumn("in_marker", F.coalesce(inside, F.lit(False))).drop("taken", "_end")
 
 
 def naive_labels(tokens: DataFrame, lex: Lexicon, key: list[str] = KEY, name: str = "pred") -> DataFrame:
@@ -101,7 +104,8 @@ def repair_windows(rows: DataFrame, lex: Lexicon, blocked: Column, key: list[str
 
     A repair is a rough copy: among the m words on either side of the term, two at the same place are equal or
     begin with the same four letters. The largest m up to ``MOST_REPARANDUM`` counts; without any, a strong
-    term drops the word before it unless that is ``blocked``.
+    term drops the word before it unless that is ``blocked``. Terms are taken from left to right: one that begins
+    inside another with a repair counts no more.
     """
     order = by_position(key)
     w = F.col("w")
@@ -134,6 +138,9 @@ def repair_windows(rows: DataFrame, lex: Lexicon, blocked: Column, key: list[str
         best = F.when(F.col("_n") == n, F.coalesce(found, fallback)).otherwise(best)
     extra = [c for c in rows.columns if c.startswith("_")]
     rows = rows.withColumn("reparandum_n", best).withColumn("term_n", F.when(F.col("reparandum_n").isNotNull(), F.col("_n")))
+    if longest > 1:
+        rows = taken(rows, F.col("term_n").isNotNull(), F.col("term_n"), longest, key)
+        rows = rows.withColumns({c: F.when(F.col("taken"), F.col(c)) for c in ("term_n", "reparandum_n")}).drop("taken")
     return rows.drop(*extra)
 
 

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import json
 import random
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .features import Families
 from .tokens import KEY, LABELS
 
 NONE = len(LABELS)  # the state before the first token
@@ -120,9 +121,20 @@ def fit_models(rows: DataFrame, by: list[str], key: list[str] = KEY, epochs: int
     return rows.groupBy(*by).applyInPandas(one, f"{kinds}, weights string, history array<double>")
 
 
-def predict_groups(rows: DataFrame, models: DataFrame, by: list[str], key: list[str] = KEY) -> DataFrame:
-    """``rows`` (with features) and pred, each group of ``by`` by its own model."""
+def emissions(rows: DataFrame, model: Weights, key: list[str] = KEY) -> DataFrame:
+    """key, i, label, score: of each token and label, the sum of its features' weights, by a join with the weights."""
+    spark = rows.sparkSession
+    named = [(f, LABELS[j], float(model.emit[i, j])) for f, i in model.features.items() for j in range(NONE)]
+    weights = spark.createDataFrame(named, "feature string, label string, weight double")
+    known = rows.select(*key, "i", F.explode("features").alias("feature")).join(weights, "feature")
+    return known.groupBy(*key, "i", "label").agg(F.sum("weight").alias("score"))
+
+
+def predict_groups(rows: DataFrame, models: DataFrame, by: list[str], key: list[str] = KEY, parts: int = 8) -> DataFrame:
+    """``rows`` (with features) and pred, each group of ``by`` by its own model, in ``parts`` tasks, to which utterances are dealt."""
     out = [c for c in rows.columns if c != "features"]
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64(*key), F.lit(parts)))
+    models = models.withColumn("_part", F.explode(F.array(*[F.lit(x).cast("long") for x in range(parts)])))
 
     def one(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -131,8 +143,8 @@ def predict_groups(rows: DataFrame, models: DataFrame, by: list[str], key: list[
         parts = [label_part(p, model) for p in sentences_of(left, key)]
         return pd.concat(parts)[[*out, "pred"]]
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "features") + ", pred string"
-    return rows.groupBy(*by).cogroup(models.groupBy(*by)).applyInPandas(one, schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in out) + ", pred string"
+    return rows.groupBy(*by, "_part").cogroup(models.groupBy(*by, "_part")).applyInPandas(one, schema)
 
 
 def label_part(part: pd.DataFrame, model: Weights) -> pd.DataFrame:
@@ -155,6 +167,20 @@ def predict(rows: DataFrame, model: Weights, key: list[str] = KEY) -> DataFrame:
     return rows.drop("features").join(found, [*key, "i"])
 
 
+def save_model(path: str, model: Weights, families: Families = Families(), name: str = "perceptron") -> None:
+    """One JSON file: the name, which feature families the model was trained on, its history and weights."""
+    whole = {"name": name, "config": asdict(families), "train_history": model.history, "model": json.loads(model.to_json())}
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(whole, f, ensure_ascii=False)
+
+
+def load_model(path: str) -> tuple[Weights, Families, str]:
+    """The model, the families to decode with, and its name."""
+    with open(path, encoding="utf-8") as f:
+        whole = json.load(f)
+    return Weights.from_json(json.dumps(whole["model"])), Families(**whole.get("config", {})), whole.get("name", "perceptron")
+
+
 def weight_table(model: Weights) -> list[tuple[str, str, float]]:
     """(feature, label, weight) of every weight that is not 0."""
     names = sorted(model.features, key=model.features.get)

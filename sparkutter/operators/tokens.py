@@ -104,7 +104,7 @@ def label_counts(tokens: DataFrame, label: str = "label") -> DataFrame:
 def describe(tokens: DataFrame, label: str = "label", key: list[str] = KEY) -> DataFrame:
     """utterances, tokens, disfluent tokens, their share (4 places) and the speech time."""
     each = tokens.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col(label).isin(list(DISFLUENT))).alias("d"), (F.max_by("end", "i") - F.min_by("start", "i")).alias("t")
+        F.count("i").alias("n"), F.count_if(F.col(label).isin(list(DISFLUENT))).alias("d"), (F.max_by("end", "i") - F.min_by("start", "i")).alias("t")
     )
     return each.agg(
         F.count(F.lit(1)).alias("utterances"),

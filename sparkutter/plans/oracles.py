@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from ..functions.lexicon import Lexicon
-from ..operators.tokens import DISFLUENT, LABELS
-from .queries import DEMO, SHIPPED
+from ..operators.features import column_name
+from ..operators.tokens import DESCRIPTIONS, DISFLUENT, LABELS
+from .queries import DEMO, SHIPPED, fixed_weights
 
 PUNCT = ".,!?;:\"''()[]{}"
 
@@ -67,12 +68,18 @@ VOCAB = f"""vocab AS (
   FROM (SELECT raw, {norm("raw")} AS norm FROM (SELECT DISTINCT raw FROM raw))
 )"""
 TOK = f"{DOCS}, {VOCAB}, tok AS (SELECT doc_id, lang, i, raw, norm, w, syl FROM raw JOIN vocab USING (raw))"
-TIMED = (
+NEUTRAL = (
     TOK
     + """, dur AS (SELECT *, greatest(50, 60 + 85 * syl) AS d FROM tok), timed AS (
   SELECT *, e - d AS s FROM (SELECT *, (250 + i * 130 + sum(d) OVER (PARTITION BY doc_id ORDER BY i))::BIGINT AS e FROM dur)
 )"""
 )
+TIMED = (
+    TOK
+    + """, dur AS (SELECT *, ((greatest(50, 60 + 85 * syl) * (2 + i % 7)) // 4)::BIGINT AS d, CASE WHEN i = 0 THEN 0 ELSE (len(raw) * 37 + i * 13) % 300 - 20 END AS g FROM tok), timed AS (
+  SELECT *, e - d AS s FROM (SELECT *, (250 + sum(d + g) OVER (PARTITION BY doc_id ORDER BY i))::BIGINT AS e FROM dur)
+)"""
+)
 
 
 def gap_rule(gap: str) -> str:
@@ -120,7 +127,7 @@ def phrases(lex: Lexicon, source: str) -> str:
         for kind in ("discourse_marker", "editing_term"):
             items = [p for p, c in lex.phrases.items() if c == kind and p.count(" ") == size - 1]
             n, cat = f"CASE WHEN {one_of(words, items)} THEN {size} ELSE {n} END", f"CASE WHEN {one_of(words, items)} THEN '{kind}' ELSE {cat} END"
-    ahead = ", ".join(f"lead(w, {k}) OVER o AS w{k}" for k in range(1, 6))
+    ahead = ", ".join(f"lead(w, {k}) OVER o AS w{k}" for k in range(1, 8))
     back = ", ".join(f"lag(w, {k}) OVER o AS b{k}" for k in range(1, 5))
     return f"""near AS (SELECT *, {ahead}, {back} FROM {source} WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
 hit AS (SELECT *, {n} AS phrase_n, {cat} AS phrase_cat FROM near),
@@ -162,13 +169,19 @@ def repairs(lex: Lexicon, source: str, blocked: str) -> str:
             found = f"CASE WHEN b{m} IS NOT NULL AND w{n + m - 1} IS NOT NULL AND ({match}) THEN {m} ELSE {found} END"
         fallback = f"CASE WHEN b1 IS NOT NULL AND w{n} IS NOT NULL AND strong_ AND NOT coalesce(before_, false) THEN 1 END"
         best = f"CASE WHEN n_ = {n} THEN coalesce({found}, {fallback}) ELSE {best} END"
-    return f"""rp AS (
-  SELECT *, CASE WHEN reparandum_n IS NOT NULL THEN n_ END AS term_n FROM (
-    SELECT *, {best} AS reparandum_n FROM (
+    return f"""rq AS (
+  SELECT *, CASE WHEN reparandum_q IS NOT NULL THEN n_ END AS term_q FROM (
+    SELECT *, {best} AS reparandum_q FROM (
       SELECT *, CASE WHEN {phrase} THEN phrase_n WHEN {term} THEN 1 ELSE 0 END AS n_, {phrase} OR {strong} AS strong_, lag({blocked}) OVER (PARTITION BY doc_id ORDER BY i) AS before_ FROM {source}
     )
   )
-)"""
+), terms AS (SELECT doc_id, i, term_q AS n, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM rq WHERE term_q IS NOT NULL),
+accepted(doc_id, k, i, n, free, ok) AS (
+  SELECT doc_id, k, i, n, i + n, true FROM terms WHERE k = 1
+  UNION ALL
+  SELECT c.doc_id, c.k, c.i, c.n, CASE WHEN c.i >= t.free THEN c.i + c.n ELSE t.free END, c.i >= t.free FROM accepted t JOIN terms c ON c.doc_id = t.doc_id AND c.k = t.k + 1
+),
+rp AS (SELECT rq.*, CASE WHEN a.ok THEN term_q END AS term_n, CASE WHEN a.ok THEN reparandum_q END AS reparandum_n FROM rq LEFT JOIN accepted a ON rq.doc_id = a.doc_id AND rq.i = a.i)"""
 
 
 def ruled(lex: Lexicon) -> str:
@@ -275,13 +288,14 @@ FEATURE = (
     f"{TIMED}, {phrases(DEMO, 'timed')}, {events(DEMO)}, "
     + repairs(DEMO, "ph", f"(in_marker OR coalesce({category('w', DEMO)} IN ('filled_pause', 'filled_pause_ambiguous', 'discourse_marker'), false))")
     + f""", ft AS (
-  SELECT *, {" OR ".join(f"coalesce(lead(reparandum_n, {k}) OVER o >= {k}, false)" for k in range(1, 5))} OR coalesce(term_n > 1, false) AS rep,
+  SELECT *, {" OR ".join(f"coalesce(lead(reparandum_n, {k}) OVER o >= {k}, false)" for k in range(1, 5))} OR coalesce(term_n > 1, false) OR {" OR ".join(f"coalesce(lag(term_n, {k}) OVER o > {k + 1}, false)" for k in range(1, DEMO.longest_phrase))} AS rep,
     coalesce(term_n = 1, false) OR {" OR ".join(f"coalesce(lag(term_n, {k}) OVER o = {k + 1}, false)" for k in range(1, DEMO.longest_phrase))} AS term,
-    count(*) OVER (PARTITION BY doc_id) AS n, coalesce({category("w", DEMO)}, 'none') AS cat
+    count(*) OVER (PARTITION BY doc_id) AS n, coalesce({category("w", DEMO)}, 'none') AS cat, avg(e::DOUBLE / 1000 - s::DOUBLE / 1000) OVER (PARTITION BY doc_id) AS mean
   FROM rp WINDOW o AS (PARTITION BY doc_id ORDER BY i)
 ), fa AS (
   SELECT *, lag(term) OVER o AS after_, lag(cat) OVER o AS pcat, lead(cat) OVER o AS ncat, {", ".join(f"lead(term, {k}) OVER o AS a{k}" for k in range(1, 5))},
-    coalesce(greatest(0, s - lag(e) OVER o), 0) / 1000 AS gb, coalesce(greatest(0, lead(s) OVER o - e), 0) / 1000 AS ga
+    coalesce(lag(w) OVER o, '<bos>') AS p1, coalesce(lag(w, 2) OVER o, '<bos>') AS p2, coalesce(lead(w) OVER o, '<eos>') AS n1, coalesce(lead(w, 2) OVER o, '<eos>') AS n2, e::DOUBLE / 1000 - s::DOUBLE / 1000 AS secs,
+    coalesce(greatest(0.0, s / 1000 - lag(e / 1000) OVER o), 0) AS gb, coalesce(greatest(0.0, lead(s / 1000) OVER o - e / 1000), 0) AS ga
   FROM ft WINDOW o AS (PARTITION BY doc_id ORDER BY i)
 )"""
 )
@@ -295,9 +309,10 @@ def bucket(x: str, edges) -> str:
     return "CASE " + " ".join(f"WHEN {x} < {e} THEN 'b{k}'" for k, e in enumerate(edges)) + f" ELSE 'b{len(edges)}' END"
 
 
-def counted(base: str, table: str, parts: dict[str, str]) -> str:
-    listed = ", ".join(f"'{k}=' || ({v})" for k, v in parts.items())
-    return f"{with_('RECURSIVE ' * 0 + base).replace('WITH ', 'WITH RECURSIVE ', 1)} SELECT feature, count(*) AS n FROM (SELECT unnest([{listed}]) AS feature FROM {table}) WHERE feature IS NOT NULL GROUP BY feature"
+def summed(base: str, table: str, parts: dict[str, str]) -> str:
+    """Of each document and feature, the sum of the first 28 bits of its values' MD5."""
+    sums = ", ".join(f"sum(('0x' || substr(md5({v}), 1, 7))::BIGINT)::BIGINT AS \"{column_name(k)}\"" for k, v in parts.items())
+    return f"WITH RECURSIVE {base} SELECT doc_id, count(*) AS tokens, {sums} FROM {table} GROUP BY doc_id"
 
 
 def q(base: str, select: str) -> str:
@@ -322,6 +337,19 @@ _cat = category("w", DEMO)
 _fill = f"""count(*) AS tokens, count(*) FILTER (cat = 'filled_pause') AS filled_pause, count(*) FILTER (cat = 'filled_pause_ambiguous') AS filled_pause_ambiguous, count(*) FILTER (cat = 'discourse_marker') AS discourse_marker,
   count(*) FILTER (cat = 'editing_term' AND {one_of("w", DEMO.strong)}) AS editing_strong, count(*) FILTER (cat = 'editing_term' AND NOT {one_of("w", DEMO.strong)}) AS editing_weak"""
 
+_gaps = (0.02, 0.05, 0.08, 0.12, 0.18, 0.25, 0.35, 0.5)
+_ratio = bucket("(CASE WHEN mean > 0 THEN secs / mean ELSE 1 END)", ("0.5::DOUBLE", "0.8::DOUBLE", "1.2::DOUBLE", "1.8::DOUBLE"))
+_shape = r"""CASE WHEN regexp_matches(raw, '^\p{Lu}') OR regexp_matches(raw, '\p{Nd}') OR raw LIKE '%-%' THEN concat_ws('|', CASE WHEN regexp_matches(raw, '^\p{Lu}') THEN 'Cap' END, CASE WHEN regexp_matches(raw, '\p{Nd}') THEN 'Num' END, CASE WHEN suffix(raw, '-') THEN 'TrailHyphen' WHEN raw LIKE '%-%' THEN 'Hyphen' END) ELSE 'plain' END"""
+_redup_features = {
+    "eqprev": flag("w = pw"), "eqnext": flag("w = nw"), "hyphredup": flag(hyphen_doubled("w", DEMO)), "reduplicable": flag(can_double("w", DEMO)), "partial": flag(_partial), "repeat_first": "coalesce(v1, 'none')", "repeat_second": "coalesce(v2, 'none')", "verdict": "v1",
+}
+_conv = r"SELECT conv_id, turn, conv_id || '-' || turn AS file, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS n FROM (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS ws FROM conversations)"
+_prov = """SELECT 'f' || doc_id AS berkas, CASE WHEN doc_id % 2 = 0 THEN 'd/' || doc_id ELSE 's/' || doc_id END AS address, CASE WHEN doc_id % 4 <> 0 THEN n_chars / 8 END AS d, CASE WHEN doc_id % 6 = 0 THEN 0 ELSE n_chars * 2 END AS o,
+  CASE WHEN doc_id % 4 <> 0 AND doc_id % 6 <> 0 THEN (n_chars / 8) / nullif(n_chars * 2, 0) END AS share,
+  concat_ws('+', CASE WHEN doc_id % 5 = 0 OR trim(coalesce(source, '')) = '' THEN 'penutur' END, CASE WHEN doc_id % 7 = 0 OR trim(coalesce(lang, '')) = '' THEN 'lisensi' END, CASE WHEN doc_id % 3 = 0 THEN 'tanggal_ambil' END) AS open
+  FROM documents WHERE doc_id % 11 <> 0"""
+_meaning = "CASE " + " ".join(f"WHEN label = '{k}' THEN '{v}'" for k, v in DESCRIPTIONS.items()) + " END"
+
 SQL = {
     "tokenize": q(DOCS, "SELECT doc_id, count(*) AS n_tokens, sum(len(raw))::BIGINT AS n_letters FROM raw GROUP BY doc_id"),
     "canonical_vocab": q(TOK, "SELECT w, count(*) AS n FROM tok GROUP BY w"),
@@ -334,9 +362,9 @@ SQL = {
     "can_double": q(TOK, f"SELECT {can_double('w', DEMO)} AS can_double, count(*) AS words, sum(n)::BIGINT AS n FROM (SELECT w, count(*) AS n FROM tok GROUP BY w) GROUP BY 1"),
     "known_redup_hyphen": q(TOK, f"SELECT w, {known('w', SHIPPED)} AS known, count(*) AS n FROM tok WHERE w LIKE '%-%' GROUP BY 1, 2"),
     "hyphen_redup": q(TOK, f"""SELECT {hyphen_doubled('w', SHIPPED)} AS hyphen_doubled, {known('w', SHIPPED)} AS known, sum(n)::BIGINT AS n FROM (
-      SELECT {collapse('j')} AS w, n FROM (SELECT w || '-' || nw AS j, count(*) AS n FROM (SELECT *, lead(w) OVER (PARTITION BY doc_id ORDER BY i) AS nw FROM tok) WHERE w <> '' AND nw <> '' AND i % 3 = 0 GROUP BY 1)) GROUP BY 1, 2"""),
+      SELECT {collapse('j')} AS w, n FROM (SELECT w || '-' || nw AS j, count(*) AS n FROM (SELECT *, lead(w) OVER (PARTITION BY doc_id ORDER BY i) AS nw FROM tok) WHERE w <> '' AND nw <> '' GROUP BY 1)) GROUP BY 1, 2"""),
     "partial_words": q(f"{TIMED}, {_nw}", f"SELECT w, count(*) AS n FROM nx WHERE {_partial} GROUP BY w"),
-    "neutral_timing": q(TIMED, "SELECT doc_id, max(e) AS finish, sum(s)::BIGINT AS starts, sum(d)::BIGINT AS spoken FROM timed GROUP BY doc_id"),
+    "neutral_timing": q(NEUTRAL, "SELECT doc_id, max(e) AS finish, sum(s)::BIGINT AS starts, sum(d)::BIGINT AS spoken FROM timed GROUP BY doc_id"),
     "gaps": q(EVENTS, "SELECT user_id, count(*) AS gaps, sum(gap)::BIGINT AS silence, max(gap) AS longest FROM gap GROUP BY user_id"),
     "gap_zones": q(EVENTS, "SELECT CASE WHEN gap <= 5000 THEN 'reduplication' WHEN gap >= 40000 THEN 'disfluency' ELSE 'grey' END AS zone, count(*) AS n, sum(gap)::BIGINT AS silence FROM gap GROUP BY 1"),
     "gap_median": q(EVENTS, """SELECT *, round(zero / gaps, 6) AS zero_share, zero / gaps < 0.2 AS prosody_trusted FROM (
@@ -395,21 +423,51 @@ SQL = {
     "without_loops": q(LOOPS, "SELECT doc_id AS file, count(*) AS n, sum(i)::BIGINT AS places FROM raw WHERE NOT EXISTS (SELECT 1 FROM loops WHERE file = doc_id AND i >= begin AND i < stop) GROUP BY 1"),
     "filler_audit": q(TOK, f"""SELECT *, filled_pause / tokens < 0.0128 AS pauses_missing, round((filled_pause + discourse_marker + editing_strong) / tokens, 6) AS rate, round(filled_pause / tokens, 6) AS pause_rate
       FROM (SELECT lang, {_fill} FROM (SELECT *, {_cat} AS cat FROM tok) GROUP BY GROUPING SETS ((lang), ()))"""),
-    "filler_top12": q(TOK, f"SELECT norm AS form, count(*) AS n FROM tok WHERE {filler('w', DEMO)} GROUP BY norm ORDER BY n DESC, form LIMIT 12"),
+    "filler_top12": q(TOK, f"SELECT norm AS form, count(*) AS n FROM tok WHERE {filler('w', DEMO)} GROUP BY norm ORDER BY n DESC, min((doc_id, i)) LIMIT 12"),
     "repeat_audit": q(f"{TIMED}, {events(DEMO)}", """SELECT *, round(coalesce(by_prosody / nullif(events, 0), 0), 6) AS prosody_share FROM (SELECT lang, count(*) AS events, count(*) FILTER (verdict = 'reduplication') AS reduplication, count(*) FILTER (verdict = 'disfluency') AS disfluency, count(*) FILTER (verdict = 'ambiguous') AS ambiguous,
       count(*) FILTER (verdict <> bare_verdict) AS by_prosody FROM ev GROUP BY GROUPING SETS ((lang), ()))"""),
     "audit_rollup": q(TIMED, "SELECT lang, count(*) AS utterances, sum(n)::BIGINT AS tokens, sum(t)::BIGINT AS speech FROM (SELECT lang, doc_id, count(*) AS n, max(e) - min(s) AS t FROM timed GROUP BY ALL) GROUP BY GROUPING SETS ((lang), ())"),
-    "features_lexical": counted(FEATURE, "fa", {
-        "len": "least(len(w), 12)", "suf3": "right(w, 3)", "cat": "cat", "cat-1": "coalesce(pcat, 'none')", "cat+1": "coalesce(ncat, 'none')", "isfp": flag("cat IN ('filled_pause', 'filled_pause_ambiguous')"), "isdm": flag("cat = 'discourse_marker'"), "isedit": flag("cat = 'editing_term'"),
-        "isfunc": flag(one_of("w", DEMO.function)), "pos": "CASE WHEN i = 0 THEN 'bos' WHEN i = n - 1 THEN 'eos' ELSE 'mid' END", "relpos": "least(4, 5 * i // n)", "in_reparandum": flag("rep"), "is_editterm": flag("term"), "after_editterm": flag("after_"),
-        "editterm_ahead": "CASE WHEN a1 THEN 1 WHEN a2 THEN 2 WHEN a3 THEN 3 WHEN a4 THEN 4 ELSE 0 END",
+    "features_lexical": summed(FEATURE, "fa", {
+        "w": "w", "shape": _shape, "len": "least(len(w), 12)::VARCHAR", "suf3": "right(w, 3)", "pre3": "left(w, 3)", "w-1": "p1", "w-2": "p2", "w+1": "n1", "w+2": "n2", "w-1|w": "p1 || '|' || w", "w|w+1": "w || '|' || n1",
+        "cat": "cat", "cat-1": "coalesce(pcat, 'none')", "cat+1": "coalesce(ncat, 'none')", "isfp": flag("cat IN ('filled_pause', 'filled_pause_ambiguous')"), "isdm": flag("cat = 'discourse_marker'"), "isedit": flag("cat = 'editing_term'"),
+        "isfunc": flag(one_of("w", DEMO.function)), "pos": "CASE WHEN i = 0 THEN 'bos' WHEN i = n - 1 THEN 'eos' ELSE 'mid' END", "relpos": "least(4, 5 * i // n)::VARCHAR", "in_reparandum": flag("rep"), "is_editterm": flag("term"), "after_editterm": flag("after_"),
+        "editterm_ahead": "CASE WHEN a1 THEN '1' WHEN a2 THEN '2' WHEN a3 THEN '3' WHEN a4 THEN '4' ELSE '0' END",
     }),
-    "features_prosody": counted(f"{TIMED}, fa AS (SELECT *, coalesce(greatest(0.0, s / 1000 - lag(e / 1000) OVER o), 0) AS gb, coalesce(greatest(0.0, lead(s / 1000) OVER o - e / 1000), 0) AS ga FROM timed WINDOW o AS (PARTITION BY doc_id ORDER BY i))", "fa", {
-        "gapb": bucket("gb", (0.02, 0.05, 0.08, 0.12, 0.18, 0.25, 0.35, 0.5)), "gapa": bucket("ga", (0.02, 0.05, 0.08, 0.12, 0.18, 0.25, 0.35, 0.5)), "dur": bucket("(e::DOUBLE / 1000 - s::DOUBLE / 1000)", ("0.1::DOUBLE", "0.15::DOUBLE", "0.2::DOUBLE", "0.3::DOUBLE", "0.4::DOUBLE", "0.6::DOUBLE")), "gapb_long": flag("gb >= 0.18"), "gapb_tight": flag("gb <= 0.08"),
-    }),
-    "features_redup": counted(f"{TIMED}, {events(DEMO)}, {_nw}, fr AS (SELECT nx.*, a.verdict AS v1, b.verdict AS v2, lag(nx.w) OVER (PARTITION BY nx.doc_id ORDER BY nx.i) AS pw FROM nx LEFT JOIN (SELECT doc_id AS d_, i - 1 AS i_, verdict FROM ev) a ON nx.doc_id = a.d_ AND nx.i = a.i_ LEFT JOIN (SELECT doc_id AS d2_, i AS i2_, verdict FROM ev) b ON nx.doc_id = b.d2_ AND nx.i = b.i2_)", "fr", {
-        "eqprev": flag("w = pw"), "eqnext": flag("w = nw"), "hyphredup": flag(hyphen_doubled("w", DEMO)), "reduplicable": flag(can_double("w", DEMO)), "partial": flag(_partial), "repeat_first": "coalesce(v1, 'none')", "repeat_second": "coalesce(v2, 'none')", "verdict": "v1",
+    "features_prosody": summed(FEATURE, "fa", {
+        "gapb": bucket("gb", _gaps), "gapa": bucket("ga", _gaps), "dur": bucket("secs", ("0.1::DOUBLE", "0.15::DOUBLE", "0.2::DOUBLE", "0.3::DOUBLE", "0.4::DOUBLE", "0.6::DOUBLE")), "durratio": _ratio, "gapb_long": flag("gb >= 0.18::DOUBLE"), "gapb_tight": flag("gb <= 0.08::DOUBLE"),
     }),
+    "features_crossed": summed(FEATURE, "fa", {"w|gapb": "w || '|' || " + bucket("gb", _gaps), "durratio": _ratio}),
+    "features_redup": summed(f"{TIMED}, {events(DEMO)}, {_nw}, fr AS (SELECT nx.*, a.verdict AS v1, b.verdict AS v2, lag(nx.w) OVER (PARTITION BY nx.doc_id ORDER BY nx.i) AS pw FROM nx LEFT JOIN (SELECT doc_id AS d_, i - 1 AS i_, verdict FROM ev) a ON nx.doc_id = a.d_ AND nx.i = a.i_ LEFT JOIN (SELECT doc_id AS d2_, i AS i2_, verdict FROM ev) b ON nx.doc_id = b.d2_ AND nx.i = b.i2_)", "fr", _redup_features),
+    "jsonl_round_trip": q(RULED, """SELECT doc_id::VARCHAR AS uid, CASE WHEN doc_id % 2 = 0 THEN lang ELSE 'seed' END AS source, CASE WHEN doc_id % 3 = 0 THEN 'B' ELSE 'S1' END AS speaker, CASE WHEN doc_id % 5 = 0 THEN lang ELSE '-' END AS meta_lang, label, pred,
+      count(*) AS n, sum(i)::BIGINT AS places, sum(len(w))::BIGINT AS letters, sum(s)::BIGINT AS starts, sum(e)::BIGINT AS ends FROM ru GROUP BY ALL"""),
+    "whisper_shapes": f"SELECT file, count(*) AS n, md5(string_agg(w, ' ' ORDER BY n)) AS text_md5, max(n * 0.5 + 0.25)::DOUBLE AS finish FROM ({_conv}) GROUP BY file",
+    "usable_chunks": f"SELECT conv_id, count(*) AS n, sum(n)::BIGINT AS places FROM ({_conv}) WHERE n % 5 <> 1 AND n % 7 <> 2 GROUP BY conv_id",
+    "trimmed_words": f"""WITH c AS ({_conv}), m AS (SELECT file, turn, n, w, n * 0.5::DOUBLE + 0.0625 AS s0, n * 0.5::DOUBLE + 0.25 + len(w) * 0.0625::DOUBLE AS e0, count(*) OVER (PARTITION BY file) AS size FROM c),
+      f AS (SELECT *, CASE WHEN turn % 4 <> 3 THEN 1 END AS known, floor(s0 / 0.125)::BIGINT AS a, least(floor(e0 / 0.125)::BIGINT, 4 * size) AS b FROM m),
+      p AS (SELECT *, [k FOR k IN range(a, b + 1) IF NOT ((k * 7 + turn) % 5 < 2 OR k % 23 > 19)] AS loud FROM f),
+      t AS (SELECT *, known = 1 AND a <= 4 * size AND b > a AND len(loud) > 0 AND loud[-1] > loud[1] AND (loud[-1] + 1) * 0.125 - loud[1] * 0.125 >= 0.04 AS ok FROM p),
+      g AS (SELECT *, CASE WHEN ok THEN round((loud[1] * 0.125)::DOUBLE, 3) ELSE s0 END AS s1, CASE WHEN ok THEN round(((loud[-1] + 1) * 0.125)::DOUBLE, 3) ELSE e0 END AS e1,
+        coalesce(ok AND (abs(loud[1] * 0.125 - s0) > 1e-9 OR abs((loud[-1] + 1) * 0.125 - e0) > 1e-9), false) AS changed FROM t),
+      h AS (SELECT *, lead(s1) OVER (PARTITION BY file ORDER BY n) AS nx FROM g)
+      SELECT file, n, s1 AS start, CASE WHEN e1 > nx THEN round(greatest(s1, nx), 3) ELSE e1 END AS "end", changed FROM h""",
+    "provenance_report": f"SELECT berkas, address, round(share, 6) AS quoted_share, open, open = '' AS ready FROM ({_prov})",
+    "provenance_totals": f"SELECT sum(d)::DOUBLE AS seconds, count(*) FILTER (d IS NULL) AS unknown, round(sum(CASE WHEN d IS NOT NULL THEN d END) / sum(CASE WHEN d IS NOT NULL THEN o END), 6) AS quoted_share FROM ({_prov})",
+    "open_ethics": f"SELECT open, count(*) AS n FROM (SELECT unnest(string_split(open, '+')) AS open FROM ({_prov})) WHERE open <> '' GROUP BY open",
+    "only_named": f"SELECT berkas, d AS durasi_detik FROM ({_prov}) WHERE berkas IN ('f1', 'f2', 'f8')",
+    "download_status": """SELECT CASE WHEN doc_id % 7 = 0 OR coalesce(source, '') = '' THEN 'no-link' WHEN there IS NOT NULL AND (size IS NULL OR size = there) THEN 'present' WHEN size IS NULL THEN 'to-fetch-unverified' ELSE 'to-fetch' END AS status, count(*) AS n
+      FROM (SELECT *, CASE WHEN doc_id % 3 <> 0 THEN n_chars END AS size, CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 5 = 0 THEN 1 ELSE n_chars END AS there FROM documents) GROUP BY 1""",
+    "file_notes": q(TIMED, f""", sp AS (SELECT lang, sum(n)::BIGINT AS tokens, sum(t) / 1000 AS speech FROM (SELECT lang, doc_id, count(*) AS n, arg_max(e, i) - arg_min(s, i) AS t FROM timed GROUP BY ALL) GROUP BY lang),
+      fp AS (SELECT lang, count(*) FILTER (cat = 'filled_pause') / count(*) < 0.0128 AS missing FROM (SELECT *, {_cat} AS cat FROM tok) GROUP BY lang), md AS (SELECT lang, sum(n_chars) * 0.1::DOUBLE AS seconds FROM documents WHERE lang <> 'de' GROUP BY lang),
+      al AS (SELECT sp.lang, tokens, coalesce(tokens / nullif(speech, 0), 0) AS rate, CASE WHEN seconds > 0 THEN speech / seconds END AS coverage, missing FROM sp JOIN fp USING (lang) LEFT JOIN md USING (lang))
+      SELECT lang, tokens, round(rate, 6) AS rate, round(coverage, 6) AS coverage, concat_ws('+', CASE WHEN rate < 1.5 THEN 'slow' END, CASE WHEN coverage < 0.7 THEN 'low coverage' END, CASE WHEN missing THEN 'pauses missing' END) AS notes FROM al"""),
+    "filler_forms": q(TOK, f"SELECT norm AS form, count(*) AS n FROM tok WHERE {filler('w', DEMO)} GROUP BY norm"),
+    "repeat_confidence": q(f"{TIMED}, {events(DEMO)}", "SELECT verdict, round(least(1.0::DOUBLE, abs(score / 1000) / 3), 2) AS confidence, count(*) AS n FROM ev GROUP BY 1, 2"),
+    "erroneous_utterances": q(RULED, ", er AS (SELECT doc_id, max((label <> pred)::INT) AS wrong FROM ru GROUP BY doc_id) SELECT doc_id, wrong FROM er WHERE wrong = (SELECT max(wrong) FROM er) ORDER BY doc_id LIMIT 3"),
+    "compare_labels": q(RULED, "SELECT label AS a, pred AS b, count(*) AS n FROM ru GROUP BY 1, 2"),
+    "edl_rows": q(EDL, f""", lb AS (SELECT doc_id, n, label, min(k) AS k FROM (SELECT doc_id, n, unnest(string_split(labels, '+')) AS label, generate_subscripts(string_split(labels, '+'), 1) AS k FROM merged) GROUP BY ALL),
+      nm AS (SELECT doc_id, n, string_agg(label, '+' ORDER BY k) AS label, string_agg({_meaning}, '; ' ORDER BY k) AS reasons FROM lb GROUP BY doc_id, n)
+      SELECT doc_id AS source, n::BIGINT AS n, round(s, 3) AS start, round(e, 3) AS "end", round(e - s, 3) AS duration, {timecode("round_even(s, 0)::BIGINT")} AS start_tc, {timecode("round_even(e, 0)::BIGINT")} AS end_tc, label, md5(text) AS text_md5, reasons FROM merged JOIN nm USING (doc_id, n)"""),
+    "edl_bounds": q(EDL, 'SELECT doc_id AS source, min(s) AS begin, max(e) AS finish FROM (SELECT doc_id, s, e FROM merged UNION ALL SELECT doc_id, s, e FROM kept) GROUP BY doc_id'),
     "error_context": q(RULED, """, cx AS (SELECT *, coalesce(greatest(0, s - lag(e) OVER o), 0) AS gb, concat_ws(' ', lag(raw, 3) OVER o, lag(raw, 2) OVER o, lag(raw) OVER o, '[' || raw || ']', lead(raw) OVER o, lead(raw, 2) OVER o, lead(raw, 3) OVER o) AS context FROM ru WINDOW o AS (PARTITION BY doc_id ORDER BY i))
       SELECT doc_id, label AS gold, pred AS predicted, count(*) AS n, sum(gb)::BIGINT AS gap, sum(len(context))::BIGINT AS letters FROM cx WHERE label <> pred GROUP BY 1, 2, 3"""),
     "first_errors": q(RULED, """, cx AS (SELECT *, coalesce(greatest(0, s - lag(e) OVER o), 0) AS gb, concat_ws(' ', lag(raw, 3) OVER o, lag(raw, 2) OVER o, lag(raw) OVER o, '[' || raw || ']', lead(raw) OVER o, lead(raw, 2) OVER o, lead(raw, 3) OVER o) AS context FROM ru WINDOW o AS (PARTITION BY doc_id ORDER BY i))
@@ -433,3 +491,29 @@ def _summary() -> str:
 
 
 SQL["score_summary"] = _summary()
+
+
+def _decoded() -> tuple[str, str]:
+    """SQL for decode and emission_scores: features of reduplication over ``benchmark``, weighted and decoded step by step."""
+    model = fixed_weights()
+    bench = f"{NEUTRAL.replace('FROM documents', 'FROM (SELECT item_id AS doc_id, NULL AS lang, text FROM benchmark)')}, {events(DEMO)}, {_nw}"
+    bench += ", fr AS (SELECT nx.*, a.verdict AS v1, b.verdict AS v2, lag(nx.w) OVER (PARTITION BY nx.doc_id ORDER BY nx.i) AS pw FROM nx LEFT JOIN (SELECT doc_id AS d_, i - 1 AS i_, verdict FROM ev) a ON nx.doc_id = a.d_ AND nx.i = a.i_ LEFT JOIN (SELECT doc_id AS d2_, i AS i2_, verdict FROM ev) b ON nx.doc_id = b.d2_ AND nx.i = b.i2_)"
+    names = [n for n in _redup_features if n != "verdict"]
+    weigh = lambda j: " + ".join("CASE " + " ".join(f"WHEN f_{n} = '{f.split('=')[1]}' THEN {int(model.emit[i, j])}" for f, i in model.features.items() if f.split("=")[0] == n) + " ELSE 0 END" for n in names)
+    listed = ", ".join(weigh(j) for j in range(len(LABELS)))
+    bench += f", ff AS (SELECT doc_id, i, {', '.join(f'{_redup_features[n]} AS f_{n}' for n in names)} FROM fr), em AS (SELECT doc_id, i, [{listed}] AS em FROM ff)"
+    scores = q(bench, f"SELECT doc_id AS item_id, label, sum(x)::BIGINT AS score FROM (SELECT doc_id, unnest(em) AS x, unnest({list(LABELS)}) AS label FROM em) GROUP BY 1, 2")
+    move = "[" + ", ".join("[" + ", ".join(str(int(model.move[k, j])) for k in range(len(LABELS))) + "]" for j in range(len(LABELS))) + "]"
+    start = "[" + ", ".join(str(int(x)) for x in model.move[len(LABELS)]) + "]"
+    steps = f""", mv AS (SELECT {move} AS mv), walk(doc_id, i, score, path) AS (
+      SELECT doc_id, i, list_transform(range(1, 7), lambda j: em[j] + {start}[j]), list_transform(range(1, 7), lambda j: {list(LABELS)}[j]) FROM em WHERE i = 0
+      UNION ALL
+      SELECT doc_id, i, list_transform(range(1, 7), lambda j: ways[j][came[j]] + em[j]), list_transform(range(1, 7), lambda j: path[came[j]] || ' ' || {list(LABELS)}[j]) FROM (
+        SELECT doc_id, i, em, path, ways, list_transform(ways, lambda w: list_position(w, list_max(w))) AS came FROM (
+          SELECT em.doc_id, em.i, em.em, walk.path, list_transform(mv, lambda m: list_transform(range(1, 7), lambda k: walk.score[k] + m[k])) AS ways FROM walk JOIN em ON em.doc_id = walk.doc_id AND em.i = walk.i + 1, mv))
+    )"""
+    labels = q(bench + steps, "SELECT doc_id AS item_id, path[list_position(score, list_max(score))] AS labels FROM (SELECT *, max(i) OVER (PARTITION BY doc_id) AS last FROM walk) WHERE i = last")
+    return labels, scores
+
+
+SQL["decode"], SQL["emission_scores"] = _decoded()

@@ -1,12 +1,14 @@
 """Queries over the driver tables, one for each operator, as Spark plans.
 
-Documents become utterances with neutral times in whole milliseconds, so that results are exact numbers. The
+Documents become utterances with times in whole milliseconds, so that results are exact numbers; gaps and lengths
+follow from the words and their places, and vary over all thresholds, from overlaps to long silences. The
 shipped lexicon is Indonesian and finds little in these texts; ``DEMO`` is made of words that they have, so
 that every branch of the detectors gives rows.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,7 +25,7 @@ DEMO = Lexicon.build(
     ambiguous=("st", "ou"),
     markers=("is", "for", "by", "et", "des", "den", "this"),
     marker_phrases=("of the", "the of", "de la", "to thanedble the", "it is"),
-    editing=("that", "und", "que", "in the"),
+    editing=("that", "und", "que", "in the", "that the", "of that the", "in the and"),
     strong=("und", "st"),
     doubled=("anea-anea", "onbleea-onbleea", "orre-orre"),
     function=("the", "of", "de", "la", "der", "die", "and", "to"),
@@ -53,6 +55,15 @@ def together(spark: SparkSession, sf: str, *keep: str) -> DataFrame:
 
 
 def timed(spark: SparkSession, sf: str, *keep: str) -> DataFrame:
+    rows = together(spark, sf, *keep)
+    length = F.floor(F.greatest(F.lit(50), 60 + 85 * X.syllables(F.col("raw"), True)) * (2 + F.col("i") % 7) / 4)
+    gap = F.when(F.col("i") == 0, 0).otherwise((F.length("raw") * 37 + F.col("i") * 13) % 300 - 20)
+    rows = rows.withColumns({"_d": length.cast("long"), "_g": gap.cast("long")})
+    rows = rows.withColumn("end", 250 + F.sum(F.col("_d") + F.col("_g")).over(K.running(KEY)))
+    return rows.withColumn("start", F.col("end") - F.col("_d")).drop("_d", "_g")
+
+
+def neutral(spark: SparkSession, sf: str, *keep: str) -> DataFrame:
     return K.neutral_times(together(spark, sf, *keep), KEY)
 
 
@@ -134,7 +145,7 @@ def partial_words(spark, sf):
 
 
 def neutral_timing(spark, sf):
-    return timed(spark, sf).groupBy("doc_id").agg(F.max("end").alias("finish"), F.sum("start").alias("starts"), F.sum(F.col("end") - F.col("start")).alias("spoken"))
+    return neutral(spark, sf).groupBy("doc_id").agg(F.max("end").alias("finish"), F.sum("start").alias("starts"), F.sum(F.col("end") - F.col("start")).alias("spoken"))
 
 
 def gaps(spark, sf):
@@ -232,8 +243,9 @@ def label_prf(spark, sf):
 def binary_prf(spark, sf):
     """``labels.toxic`` against low quality."""
     rows = spark.read.parquet(f"{sf}/labels.parquet")
-    bad, toxic = F.col("quality") == 0, F.col("toxic") == 1
-    out = rows.agg(F.count_if(bad & toxic).alias("tp"), F.count_if(toxic & ~bad).alias("fp"), F.count_if(bad & ~toxic).alias("fn"))
+    said = lambda c: F.when(c, "REP").otherwise("O")
+    rows = rows.select("doc_id", F.lit(0).alias("i"), F.lit("").alias("w"), said(F.col("quality") == 0).alias("label"), said(F.col("toxic") == 1).alias("pred"))
+    out = evaluate.token_counters(rows, DEMO, key=KEY).select(*[F.col(f"binary_{c}").alias(c) for c in ("tp", "fp", "fn")])
     p, r, f = X.f_measure(F.col("tp"), F.col("fp"), F.col("fn"))
     return out.select("tp", "fp", "fn", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(f, 6).alias("f1"))
 
@@ -368,7 +380,7 @@ def filler_audit(spark, sf):
 
 def filler_top12(spark, sf):
     """A top-k report."""
-    return audit.filler_forms(words(spark, sf), DEMO).orderBy(F.desc("n"), "form").limit(12)
+    return audit.top_fillers(words(spark, sf), DEMO, ["doc_id", "i"])
 
 
 def repeat_audit(spark, sf):
@@ -380,28 +392,198 @@ def audit_rollup(spark, sf):
     return audit.speech(timed(spark, sf, "lang"), KEY, "lang")
 
 
-def _featured(spark, sf, families):
-    rows = detect.mark_phrases(timed(spark, sf), DEMO, KEY).drop("phrase_n", "phrase_cat", "in_marker")
-    rows = rows.withColumns({"start": F.col("start") / 1000, "end": F.col("end") / 1000})
-    return features.featurize(rows, DEMO, families, KEY)
+def checksum(value):
+    return F.sum(F.conv(F.substring(F.md5(value), 1, 7), 16, 10).cast("long"))
 
 
-def _feature_counts(rows: DataFrame, *names: str) -> DataFrame:
-    kinds = F.filter("features", lambda x: F.substring_index(x, "=", 1).isin(*names))
-    return rows.select(F.explode(kinds).alias("feature")).groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
+def _feature_sums(spark, sf, families):
+    """Of each document and feature, a checksum over the feature's values."""
+    rows = timed(spark, sf)
+    rows = rows.withColumns({"start": F.col("start") / 1000, "end": F.col("end") / 1000})
+    rows, named = features.feature_columns(rows, DEMO, families, KEY)
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("tokens"), *[checksum(value).alias(features.column_name(name)) for name, value in named])
 
 
 def features_lexical(spark, sf):
-    names = ("len", "cat", "cat-1", "cat+1", "isfp", "isdm", "isedit", "isfunc", "pos", "relpos", "in_reparandum", "is_editterm", "after_editterm", "editterm_ahead", "suf3")
-    return _feature_counts(_featured(spark, sf, features.Families(True, False, False)), *names)
+    return _feature_sums(spark, sf, features.Families(True, False, False))
 
 
 def features_prosody(spark, sf):
-    return _feature_counts(_featured(spark, sf, features.Families(False, True, False)), "gapb", "gapa", "dur", "gapb_long", "gapb_tight")
+    return _feature_sums(spark, sf, features.Families(False, True, False))
 
 
 def features_redup(spark, sf):
-    return _feature_counts(_featured(spark, sf, features.Families(False, False, True)), "eqprev", "eqnext", "hyphredup", "reduplicable", "partial", "repeat_first", "repeat_second", "verdict")
+    return _feature_sums(spark, sf, features.Families(False, False, True))
+
+
+def features_crossed(spark, sf):
+    """The feature that words and gaps have together."""
+    rows = _feature_sums(spark, sf, features.Families(True, True, False))
+    return rows.select("doc_id", "tokens", "w_or_gapb", "durratio")
+
+
+def jsonl_round_trip(spark, sf):
+    """Utterances as JSON lines, some without source, speaker, labels or meta, and read again."""
+    rows = ruled(spark, sf, "lang").withColumns({"uid": F.col("doc_id").cast("string"), "utt_seq": F.col("doc_id"), "source": F.when(F.col("doc_id") % 2 == 0, F.col("lang")), "speaker": F.when(F.col("doc_id") % 3 == 0, F.lit("B"))})
+    rows = rows.withColumns({"meta": F.when(F.col("doc_id") % 5 == 0, F.create_map(F.lit("lang"), F.col("lang"))), "label": F.when(F.col("label") != "O", F.col("label")), "start": F.col("start") / 1000, "end": F.col("end") / 1000})
+    lines = corpora.utterance_rows(rows).select("utt_seq", F.to_json(F.struct("uid", "source", "speaker", "text", "tokens", "meta")).alias("value"))
+    back = corpora.utterances_of_json(lines)
+    ms = lambda c: F.sum(F.round(F.col(c) * 1000).cast("long"))
+    return back.groupBy("uid", "source", "speaker", F.coalesce(F.col("meta")["lang"], F.lit("-")).alias("meta_lang"), "label", "pred").agg(
+        F.count("i").alias("n"), F.sum("i").alias("places"), F.sum(F.length("w")).alias("letters"), ms("start").alias("starts"), ms("end").alias("ends")
+    )
+
+
+def whisper_shapes(spark, sf):
+    """Conversations as ASR JSON in its three shapes, read back."""
+    rows = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", X.tokens(F.col("text")).alias("ws"))
+    word = lambda w, n: F.struct(F.when(n % 3 != 0, w).alias("word"), F.when(n % 3 == 0, w).alias("text"), (n * 0.5).alias("start"), (n * 0.5 + 0.25).alias("end"))
+    rows = rows.withColumn("x", F.transform("ws", word))
+    half = F.floor(F.size("x") / 2).cast("int")
+    parts = F.array(F.struct(F.slice("x", 1, half).alias("words")), F.struct(F.lit(None).cast(rows.schema["x"].dataType).alias("words")), F.struct(F.slice("x", half + 1, F.size("x")).alias("words")))
+    both = F.to_json(F.struct(parts.alias("segments"), F.slice("x", 1, 1).alias("words")))
+    json = F.when(F.col("conv_id") % 3 == 0, both).when(F.col("conv_id") % 3 == 1, F.to_json(F.struct(F.col("x").alias("words")))).otherwise(F.to_json("x"))
+    back = corpora.words_of_json(rows.select(F.concat_ws("-", "conv_id", "turn").alias("file"), json.alias("json")))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "text"))), lambda t: t["text"]), " ")
+    return back.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.md5(text).alias("text_md5"), F.max("end").alias("finish"))
+
+
+def usable_chunks(spark, sf):
+    """Chunks without one of their times drop out."""
+    rows = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", F.posexplode(X.tokens(F.col("text"))).alias("n", "text"))
+    a, b = F.when(F.col("n") % 5 != 1, F.col("n") * 0.5), F.when(F.col("n") % 7 != 2, F.col("n") * 0.5 + 0.25)
+    rows = asr.usable_chunks(rows.withColumn("timestamp", F.struct(a.alias("a"), b.alias("b"))))
+    return rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("places"))
+
+
+def trimmed_words(spark, sf):
+    """Words of conversations against made-up silence."""
+    rows = spark.read.parquet(f"{sf}/conversations.parquet").select(F.concat_ws("-", "conv_id", "turn").alias("file"), "turn", X.tokens(F.col("text")).alias("ws"))
+    flags = F.transform(F.sequence(F.lit(0), F.size("ws") * 4), lambda k: ((k * 7 + F.col("turn")) % 5 < 2) | (k % 23 > 19))
+    profiles = rows.filter("turn % 4 <> 3").select("file", flags.alias("silent"), F.lit(0.125).alias("hop"))
+    words = rows.select("file", F.posexplode("ws").alias("n", "text")).select("file", "n", "text", (F.col("n") * 0.5 + 0.0625).alias("start"), (F.col("n") * 0.5 + 0.25 + F.length("text") * 0.0625).alias("end"))
+    out = asr.trimmed(words, profiles)
+    return out.select("file", F.col("n").cast("long").alias("n"), "start", "end", "changed")
+
+
+def _sources(spark, sf):
+    """Documents as a provenance table, of strings."""
+    d = documents(spark, sf)
+    unknown = lambda c, k: F.when(F.col("doc_id") % k == 0, F.lit("Belum dicatat ")).otherwise(c)
+    return corpora.provenance(
+        d.select(
+            F.when(F.col("doc_id") % 11 == 0, F.lit(" ")).otherwise(F.concat(F.lit("f"), F.col("doc_id").cast("string"))).alias("berkas"),
+            F.lit("t").alias("judul"),
+            unknown(F.col("source"), 5).alias("penutur"),
+            F.concat(F.lit("s/"), F.col("doc_id").cast("string")).alias("tautan_sumber"),
+            F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("d/"), F.col("doc_id").cast("string"))).alias("tautan_unduh"),
+            unknown(F.col("lang"), 7).alias("lisensi"),
+            F.lit("").alias("tanggal_terbit"),
+            F.when(F.col("doc_id") % 3 != 0, F.lit("2020-01-01")).alias("tanggal_ambil"),
+            unknown((F.col("n_chars") / 8).cast("string"), 4).alias("durasi_detik"),
+            F.when(F.col("doc_id") % 6 == 0, F.lit("0")).otherwise((F.col("n_chars") * 2).cast("string")).alias("durasi_asli_detik"),
+            F.lit("").alias("jendela"),
+            F.lit("ya").alias("izin"),
+            F.lit(None).cast("string").alias("catatan"),
+        )
+    )
+
+
+def provenance_report(spark, sf):
+    rows = corpora.provenance_report(_sources(spark, sf))
+    return rows.select("berkas", "address", F.round("quoted_share", 6).alias("quoted_share"), F.array_join("open", "+").alias("open"), "ready")
+
+
+def provenance_totals(spark, sf):
+    rows = corpora.provenance_totals(_sources(spark, sf))
+    return rows.select("seconds", "unknown", F.round("quoted_share", 6).alias("quoted_share"))
+
+
+def open_ethics(spark, sf):
+    rows = corpora.open_ethics(_sources(spark, sf)).select(F.explode("open").alias("open"))
+    return rows.groupBy("open").agg(F.count(F.lit(1)).alias("n"))
+
+
+def only_named(spark, sf):
+    return corpora.only_named(_sources(spark, sf), ["f1", "f2", "f8"]).select("berkas", "durasi_detik")
+
+
+def download_status(spark, sf):
+    rows = documents(spark, sf)
+    size, there = F.when(F.col("doc_id") % 3 != 0, F.col("n_chars")), F.when(F.col("doc_id") % 4 != 0, F.when(F.col("doc_id") % 5 == 0, F.lit(1)).otherwise(F.col("n_chars")))
+    address = F.when(F.col("doc_id") % 7 != 0, F.col("source"))
+    return rows.groupBy(corpora.download_status(size, there, address).alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def file_notes(spark, sf):
+    """Languages as recordings, one of them without media."""
+    rows = timed(spark, sf, "lang")
+    audits = audit.speech(rows, KEY, "lang").join(audit.filler_audit(rows, DEMO, "lang").select("lang", "pauses_missing"), "lang")
+    media = documents(spark, sf).filter("lang <> 'de'").groupBy("lang").agg((F.sum("n_chars") * 0.1).alias("seconds"))
+    out = audit.file_notes(audits.withColumn("speech", F.col("speech") / 1000), media, "lang")
+    return out.select("lang", "tokens", F.round("rate", 6).alias("rate"), F.round("coverage", 6).alias("coverage"), F.array_join("notes", "+").alias("notes"))
+
+
+def filler_forms(spark, sf):
+    """All forms; sorted where they are shown."""
+    return audit.filler_forms(words(spark, sf), DEMO).select("form", "n")
+
+
+def repeat_confidence(spark, sf):
+    rows = repeats.events(timed(spark, sf), DEMO, KEY, UNIT)
+    return rows.groupBy("verdict", F.round("confidence", 2).alias("confidence")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def erroneous_utterances(spark, sf):
+    """A report of the first three."""
+    return evaluate.erroneous(ruled(spark, sf), key=KEY).select("doc_id", "wrong")
+
+
+def compare_labels(spark, sf):
+    """Gold and predicted labels as two tables, joined by place."""
+    rows = ruled(spark, sf)
+    both = evaluate.compare(rows, rows.drop("label").withColumnRenamed("pred", "label"), KEY)
+    return both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+
+
+def edl_rows(spark, sf):
+    """Cuts as they are written."""
+    _, cuts = _cuts(spark, sf)
+    out = edl.cut_rows(edl.merge_cuts(cuts, unit=UNIT), unit=UNIT)
+    return out.select("source", "n", "start", "end", "duration", "start_tc", "end_tc", "label", F.md5("text").alias("text_md5"), F.array_join("reasons", "; ").alias("reasons"))
+
+
+def edl_bounds(spark, sf):
+    """The timeline, from the cuts and what stays."""
+    rows, cuts = _cuts(spark, sf)
+    cuts = edl.merge_cuts(cuts, unit=UNIT)
+    return edl.bounds_of(cuts, edl.keeps(cuts, edl.timeline(rows), unit=UNIT))
+
+
+def fixed_weights() -> perceptron.Weights:
+    """Whole numbers for the features of reduplication, so that sums are exact."""
+    names = [f"{n}={v}" for n in ("eqprev", "eqnext", "hyphredup", "reduplicable", "partial") for v in ("True", "False")] + [f"{n}={v}" for n in ("repeat_first", "repeat_second") for v in ("none", "reduplication", "disfluency", "ambiguous")]
+    n = len(K.LABELS)
+    emit = [[(i * 5 + j * 3 + i * j) % 11 - 5 for j in range(n)] for i in range(len(names))]
+    move = [[(i * 4 + j * 7 + i * j) % 9 - 4 for j in range(n)] for i in range(n + 1)]
+    return perceptron.Weights({x: i for i, x in enumerate(names)}, np.array(emit, float), np.array(move, float))
+
+
+def decode(spark, sf):
+    """The best label sequence of each item of ``benchmark`` under fixed weights."""
+    rows = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("doc_id"), "text")
+    rows = K.neutral_times(K.explode_words(rows, "text", KEY), KEY).withColumns({"start": F.col("start") / 1000, "end": F.col("end") / 1000})
+    rows = features.featurize(rows, DEMO, features.Families(False, False, True), KEY)
+    out = perceptron.predict(rows, fixed_weights(), KEY)
+    return out.groupBy(F.col("doc_id").alias("item_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "pred"))), lambda t: t["pred"]), " ").alias("labels"))
+
+
+def emission_scores(spark, sf):
+    """Of each item of ``benchmark`` and label, the sum of its tokens' emission weights."""
+    rows = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("doc_id"), "text")
+    rows = K.neutral_times(K.explode_words(rows, "text", KEY), KEY).withColumns({"start": F.col("start") / 1000, "end": F.col("end") / 1000})
+    rows = features.featurize(rows, DEMO, features.Families(False, False, True), KEY)
+    return perceptron.emissions(rows, fixed_weights(), KEY).groupBy(F.col("doc_id").alias("item_id"), "label").agg(F.sum("score").cast("long").alias("score"))
 
 
 def error_context(spark, sf):
@@ -460,5 +642,7 @@ QUERIES = {
         describe, clean_text, confusion, confusion_table, label_prf, binary_prf, span_prf, redup_preservation, score_summary, kfold, split, training_folds, edl_cuts, edl_merge, edl_keeps, edl_stats, edl_commands,
         timecode, proof_spans, extend_to_media, transcripts, sessionize, segments, asr_utterances, loop_candidates, loop_detect, without_loops, filler_audit, filler_top12, repeat_audit,
         audit_rollup, features_lexical, features_prosody, features_redup, error_context, first_errors, nested_tokens, annotated_round_trip, perceptron_train, perceptron_decode,
+        features_crossed, jsonl_round_trip, whisper_shapes, usable_chunks, trimmed_words, provenance_report, provenance_totals, open_ethics, only_named, download_status, file_notes,
+        filler_forms, repeat_confidence, erroneous_utterances, compare_labels, edl_rows, edl_bounds, decode, emission_scores,
     )
 }

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+import shlex
 from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import Lexicon
-from ..operators import evaluate, repeats
+from ..operators import audit, edl, evaluate, repeats
 from ..operators.tokens import DESCRIPTIONS, KEY, LABELS
 
 FAMILIES = {
@@ -86,29 +87,57 @@ def explained(tokens: DataFrame, lex: Lexicon, key: list[str] = KEY, unit: int =
     return "\n".join(f"{r['base']} {r['base']}: {r['verdict']} (score {r['score']}, confidence {r['confidence']:.2f}) because of {', '.join(r['reasons'])}" for r in rows)
 
 
-def write_experiment(predictions: DataFrame, lex: Lexicon, folder: str) -> dict[str, str]:
-    """results.json and report.md of an experiment's predictions; returns the paths."""
+def audit_report(tokens: DataFrame, lex: Lexicon, key: list[str], file: str = "file", samples: int = 25) -> str:
+    """The audits, the filler forms (the first twelve, then all) and the first repeats."""
+    order = [*[k for k in key if k != file], "i"]
+    order = [file, *order] if file in tokens.columns else order
+    forms = [f"{r['form']}({r['n']})" for r in audit.top_fillers(tokens, lex, order, None).collect()]
+    events = audit.repeat_samples(tokens, lex, samples, [k for k in order if k != "i"]).collect()
+    shown = markdown([[r["base"], f"{r['gap']:.3f}", f"{r['score']:+.2f}"] for r in events], ["repeat", "gap", "score"])
+    return "\n\n".join([audit_text(audit.audit(tokens, lex, key, file), file), "Fillers: " + ", ".join(forms[:12]), "All forms: " + ", ".join(forms), shown])
+
+
+def write_experiment(predictions: DataFrame, lex: Lexicon, folder: str, shown: str | None = None) -> dict[str, str]:
+    """results.json and report.md of an experiment's predictions, and a demo EDL of the first utterances with errors; returns the paths.
+
+    ``shown`` is the system whose errors are listed; by default the full model, or the best where there is none.
+    """
     predictions = predictions.cache()
     summary = evaluate.summary(predictions, lex, ["system"]).cache()
-    best = summary.orderBy(F.desc("micro_f1")).first()["system"]
-    shown = predictions.filter(F.col("system") == best)
-    counts = evaluate.confusion(shown)
-    errors = [r.asDict() for r in evaluate.first_errors(shown, 25).collect()]
+    names = [r["system"] for r in summary.orderBy(F.desc("micro_f1")).collect()]
+    best = shown or ("perceptron full" if "perceptron full" in names else names[0])
+    rows = predictions.filter(F.col("system") == best)
+    counts = evaluate.confusion(rows)
+    errors = [r.asDict() for r in evaluate.first_errors(rows, 25).collect()]
+    wrongly_cut = [r.asDict() for r in evaluate.first_errors(rows, 15, focus="O").collect()]
+    demo = rows.join(evaluate.erroneous(rows).select("uid"), "uid", "left_semi").withColumn("source", F.lit("contoh_podcast.wav"))
     Path(folder).mkdir(parents=True, exist_ok=True)
     paths = {"json": f"{folder}/results.json", "markdown": f"{folder}/report.md"}
-    Path(paths["json"]).write_text(json.dumps({"systems": [r.asDict() for r in summary.orderBy("system").collect()], "errors": errors}, ensure_ascii=False, indent=1), encoding="utf-8")
-    parts = ["# Systems", comparison(summary), f"# {best}", label_report(counts), confusion_text(counts), "# Errors", markdown([[e["uid"], e["gold"], e["predicted"], e["context"]] for e in errors], ["utterance", "gold", "predicted", "context"])]
+    paths |= {f"edl_{k}": v for k, v in edl.write_edl(demo, f"{folder}/edl_demo", label="pred").items()}
+    Path(paths["json"]).write_text(json.dumps({"systems": [r.asDict() for r in summary.orderBy("system").collect()], "errors": errors, "wrongly_cut": wrongly_cut}, ensure_ascii=False, indent=1), encoding="utf-8")
+    listed = lambda found: markdown([[e["uid"], e["gold"], e["predicted"], e["context"]] for e in found], ["utterance", "gold", "predicted", "context"])
+    parts = ["# Systems", comparison(summary), f"# {best}", label_report(counts), confusion_text(counts), "# Errors", listed(errors), "# Clean words that were cut", listed(wrongly_cut)]
     parts += ["# Evidence", weight_table(lex), "# Labels", markdown(list(map(list, DESCRIPTIONS.items())), ["label", "meaning"])]
     Path(paths["markdown"]).write_text("\n\n".join(parts) + "\n", encoding="utf-8")
     return paths
 
 
+def render_commands(tokens: DataFrame, out: str, config: edl.EdlConfig, label: str, proof: bool = False, pad: float = 2.0, most: int | None = None, seconds: float | None = None, crf: int = 23, preset: str = "veryfast") -> list[str]:
+    """The command lines that render every recording without its cuts, or its proof clips; ffmpeg itself is not run."""
+    bounds = edl.timeline(tokens)
+    cuts = edl.merge_cuts(edl.raw_cuts(tokens, config, label), config)
+    spans = edl.proof_clips(cuts, bounds, pad, most) if proof else edl.keeps(cuts, bounds)
+    if seconds is not None and not proof:
+        spans = edl.extend(spans, F.lit(seconds))
+    graphs = edl.ffmpeg_filter(spans).orderBy("source").collect()
+    return [shlex.join(edl.ffmpeg_arguments(r["source"], f"{out}/{Path(r['source']).stem}.mp4", r["filter"], crf, preset)) for r in graphs]
+
+
 def read_edl(spark, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(cuts, keeps, bounds) of written EDL JSON lines; keeps that end before they start drop out."""
     rows = spark.read.json(path)
     cuts = rows.select("source", F.explode("cuts").alias("x")).select("source", "x.*") if "cuts" in rows.columns else spark.createDataFrame([], "source string, n long, start double, end double")
     kept = rows.select("source", F.explode("keeps").alias("x")).select("source", "x.*").filter("end > start")
-    edges = kept.select("source", "start", "end").unionByName(cuts.select("source", "start", "end"))
-    return cuts, kept, edges.groupBy("source").agg(F.min("start").alias("begin"), F.max("end").alias("finish"))
+    return cuts, kept, edl.bounds_of(cuts, kept)
 
 
