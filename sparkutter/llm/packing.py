@@ -2,11 +2,13 @@
 
 A document becomes its token ids followed by the end id; only a document longer than a sequence is cut, into
 whole sequences and a rest. Pieces are dealt by hash into groups of about ``group_rows``; each group is packed
-by itself, so memory is bounded and a lost executor repeats one group. What the groups cost is at most one
-part-filled sequence each.
+by itself, so memory is bounded and a lost executor repeats one group. The pieces of sequences that are not full
+(``FULL``) are packed again, those of all groups together, in groups of the same size; and so on until one group
+is left. A pass that saves no sequence is not taken.
 
-A sequence has three capacities: tokens, documents and attention cost (the sum of squared piece lengths). An
-open sequence takes, of all pieces that fit under every capacity, the one that ``rule`` ranks first:
+A sequence has three capacities: tokens, documents (``DOCUMENTS``) and attention cost, the sum of squared piece
+lengths (``ATTENTION`` of the square of the token capacity); a piece that alone costs more has a sequence for
+itself. An open sequence takes, of all pieces that fit under every capacity, the one that ``rule`` ranks first:
 ``norm`` leaves the smallest weighted norm of the residual vector, ``dot`` has the largest weighted dot
 product with it. Pieces of one length are interchangeable, so a group is a histogram of lengths and a choice
 looks at no more than ``capacity`` classes.
@@ -17,6 +19,7 @@ table gives an empty result, further columns are ignored whatever their names.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from array import array
@@ -31,7 +34,11 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 
 TOKENIZER = "word_bpe_49k.json"
+DOCUMENTS = 256
+ATTENTION = 31 / 32
+FULL = 0.98
 KNOWN_WORDS = 350_000  # entries of a worker's word cache, which is kept twice over
+PIECE_COLUMNS = ("doc_id", "piece", "start", "length", "ids_crc32")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
@@ -57,6 +64,11 @@ def of_worker(make, *key):
     return kept[name]
 
 
+def strings(column: pa.Array) -> list[str]:
+    """As to_pylist(), faster."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 class WordEncoder:
     """Token ids of whole texts, word by word.
 
@@ -66,32 +78,81 @@ class WordEncoder:
 
     #: White space that separates words here; any other stays inside a word, and the tokenizer treats it there.
     SPACES = "\n\t\r"
+    TOGETHER = 1000  # words that the tokenizer gets as one text
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # A special token that is cut out of a text before anything else; between words, it keeps them apart.
+        special = [(i, t.content) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
+        self.wall, self.mark = special[-1] if special else (None, "")
+        self.special = [t for _, t in special]
+        # Whether upper case does not matter, and a word and the mark after it are always apart.
+        whole = json.loads(self.tokenizer.to_str())
+        normal, cut = whole["normalizer"] or {}, whole["pre_tokenizer"] or {}
+        steps = [x["type"] for x in normal.get("normalizers", [normal])]
+        patterns = [x["pattern"].get("Regex", "") for x in cut.get("pretokenizers", [cut]) if x.get("type") == "Split"]
+        self.folds = "Lowercase" in steps and set(steps) <= {"NFC", "Replace", "Lowercase"} and bool(patterns) and patterns[0].endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
+    def of_words(self, names: pa.Array) -> list[bytes]:
+        """The ids of each of these distinct words. Words that differ in case or in a last mark are worked out once."""
+        if not self.folds:
+            return self.lookup(strings(names))
+        # Latin letters that are one letter in lower case and in normal form, too (U+0130 is not).
+        letters = pc.match_substring_regex(names, r"^[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{17F}]+[.,!?;:]?$")
+        stems = pc.if_else(letters, pc.ascii_lower(names), names)
+        marked = np.flatnonzero(pc.and_(letters, pc.match_substring_regex(names, "[.,!?;:]$")).to_numpy(zero_copy_only=False))
+        marks = strings(pc.utf8_slice_codeunits(stems.take(pa.array(marked)), -1))
+        stems = pc.if_else(letters, pc.utf8_rtrim(stems, ".,!?;:"), stems).dictionary_encode()
+        each = self.lookup(strings(stems.dictionary))
+        out = list(map(each.__getitem__, stems.indices.to_numpy().tolist()))
+        of_mark = dict(zip(".,!?;:", self.lookup(list(".,!?;:")), strict=True))
+        for k, m in zip(marked.tolist(), marks, strict=True):
+            out[k] += of_mark[m]
+        return out
+
+    def tokenized(self, words: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each of these words."""
+        lone = [k for k, w in enumerate(words) if self.wall is None or any(t in w for t in self.special)]
+        if lone:
+            # Words that hold such a token themselves, or no such token at all: one by one.
+            found = {k: array("I", self.tokenizer.encode(words[k], add_special_tokens=False).ids).tobytes() for k in lone}
+            rest = [k for k in range(len(words)) if k not in found]
+            if rest:
+                found |= zip(rest, self.tokenized([words[k] for k in rest]), strict=True)
+            return [found[k] for k in range(len(words))]
+        texts = [self.mark.join(words[k : k + self.TOGETHER]) for k in range(0, len(words), self.TOGETHER)]
+        out: list[bytes] = []
+        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            ids = np.array(e.ids, np.uint32)
+            walls = np.flatnonzero(ids == self.wall) * 4
+            data = ids.tobytes()
+            out += [data[a:b] for a, b in zip([0, *(walls + 4).tolist()], [*walls.tolist(), len(data)], strict=True)]
+        return out
+
     def lookup(self, words: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each of these distinct words."""
+        """tokenized() of each of these distinct words, most of them from memory."""
         if len(self.known) > KNOWN_WORDS:
             self.known, self.before = {}, self.known
         known, before = self.known, self.before
+        found = list(map(known.get, words))
         new = []
-        for w in words:
-            if w not in known:
-                if w in before:
-                    known[w] = before[w]
-                else:
-                    new.append(w)
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = array("I", e.ids).tobytes()
-        return [known[w] for w in words]
+        for k in [k for k, x in enumerate(found) if x is None]:
+            w = words[k]
+            x = before.get(w)
+            if x is None:
+                new.append(k)
+            else:
+                found[k] = known[w] = x
+        for at in range(0, len(new), 50_000):
+            part = new[at : at + 50_000]
+            for k, x in zip(part, self.tokenized([words[k] for k in part]), strict=True):
+                found[k] = known[words[k]] = x
+        return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (null: none) in one array, and where each text's begin and the last one's end."""
@@ -101,12 +162,13 @@ class WordEncoder:
         split = pc.split_pattern(texts, " ")
         words = split.flatten().dictionary_encode()
         at = words.indices.to_numpy()
-        ids = self.lookup(words.dictionary.to_pylist())
-        sizes = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
+        ids = self.of_words(words.dictionary)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         begins = np.cumsum(sizes) - sizes
         each = sizes[at]
         ends = np.concatenate([[0], np.cumsum(each)])
-        flat = np.frombuffer(b"".join(ids), np.uint32)[np.repeat(begins[at] - ends[:-1], each) + np.arange(ends[-1])]
+        kind = np.int32 if max(ends[-1], sizes.sum()) < 2**31 else np.int64
+        flat = np.frombuffer(b"".join(ids), np.uint32)[np.repeat((begins[at] - ends[:-1]).astype(kind), each) + np.arange(ends[-1], dtype=kind)]
         offsets = split.offsets.to_numpy()
         return flat, ends[offsets - offsets[0]]
 
@@ -200,18 +262,40 @@ def pack_lengths(lengths: np.ndarray, *, capacity: int, documents: int, attentio
     return sequence, offset
 
 
-def pack(pieces: DataFrame, *, capacity: int = 2048, documents: int = 2048, attention: float | None = None, weights=(1.0, 0.05, 0.05), rule: str = "norm", group_rows: int = 20_000) -> DataFrame:
+def pack(pieces: DataFrame, *, capacity: int = 2048, documents: int = DOCUMENTS, attention: float | None = None, weights=(1.0, 0.05, 0.05), rule: str = "norm", group_rows: int = 20_000) -> DataFrame:
     """``pieces`` with sequence_id and offset. It counts the pieces, so give it a written table."""
-    cost = float(attention or capacity * capacity)
-    groups = max(1, -(-pieces.count() // group_rows))
+    cost = float(attention or ATTENTION * capacity * capacity)
+
+    def packed(rows: DataFrame, groups: int, level: int) -> DataFrame:
+        def one(key, pdf):
+            pdf = pdf.sort_values(["doc_id", "piece"], kind="stable").reset_index(drop=True)
+            lengths = pdf["length"].to_numpy(np.int64)
+            sequence, offset = pack_lengths(lengths, capacity=capacity, documents=documents, attention=cost, weights=weights, rule=rule)
+            used = np.bincount(sequence, lengths, minlength=1)[sequence].astype(np.int64)
+            return pdf.drop(columns="part").assign(sequence_id=(level << 58) + (int(key[0]) << 24) + sequence, offset=offset, used=used)
 
-    def one(key, pdf):
-        pdf = pdf.sort_values(["doc_id", "piece"], kind="stable").reset_index(drop=True)
-        sequence, offset = pack_lengths(pdf["length"].to_numpy(np.int64), capacity=capacity, documents=documents, attention=cost, weights=weights, rule=rule)
-        return pdf.drop(columns="part").assign(sequence_id=(int(key[0]) << 40) + sequence, offset=offset)
+        part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(level)), F.lit(groups)).alias("part")
+        return rows.select(*PIECE_COLUMNS, part).groupBy("part").applyInPandas(one, PACKED + ", used long")
 
-    part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).alias("part")
-    return pieces.select("*", part).groupBy("part").applyInPandas(one, PACKED)
+    out: DataFrame | None = None
+    rows, level, before = pieces, 0, None
+    groups = max(1, -(-pieces.count() // group_rows))
+    while True:
+        done = materialize(packed(rows, groups, level))
+        if before is not None:
+            # Packed again: only if that saves sequences.
+            now = done.agg(F.count_distinct("sequence_id")).first()[0]
+            if now >= before[0]:
+                done = before[1]
+                groups = 1
+        loose = done.filter(F.col("used") <= FULL * capacity)
+        facts = loose.agg(F.count(F.lit(1)), F.count_distinct("sequence_id")).first() if groups > 1 else (0, 0)
+        if groups == 1 or not facts[0]:
+            return (done if out is None else out.unionByName(done)).drop("used")
+        full = done.filter(F.col("used") > FULL * capacity)
+        out = full if out is None else out.unionByName(full)
+        rows, before, level = loose, (facts[1], loose), level + 1
+        groups = max(1, -(-facts[0] // group_rows))
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
