@@ -7,8 +7,9 @@ holds a splitter and more bytes than the tolerance, or one with more rows than a
 ranges are settled. When every splitter meets the tolerance, the rows are exchanged once, by range; a row's
 slot is the number of rows before its range within the shard plus its rank inside the range.
 
-What the driver holds is bounded: ``256 * (rows / leaf_rows + 64 + shards)`` counters a round, ``leaf_rows``
-being at most 2 million.
+A range is as large as a task should sort (``LEAF_ROWS``), or, in very large tables, a ``MOST_LEAVES``th of all rows.
+So fewer than ``MOST_LEAVES + shards`` ranges are split in a round, whatever the table's size: 256 times as many
+counters reach the driver and as many ranges, about a million, are broadcast at most.
 
 Cases: a null text has no bytes and counts as empty, a null id is a value of its own, rows that repeat both id
 and text are interchangeable and lie side by side, an empty table gives an empty result, other columns are
@@ -28,6 +29,7 @@ from .common import materialize, table
 
 DEPTH = 16  # bytes of a key
 LEAF_ROWS = 2_000_000
+MOST_LEAVES = 4096
 
 
 def key_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -47,7 +49,7 @@ def histogram(keys: DataFrame, shards: int, tolerance: float, leaf_rows: int | N
     counts = lambda df, depth: [(r["p"], r["n"], r["b"]) for r in df.groupBy(F.substring("key", 1, 2 * depth).alias("p")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b")).collect()]
     leaves = sorted(counts(keys, 1))
     rows, total = sum(x[1] for x in leaves), sum(x[2] for x in leaves)
-    most = leaf_rows or max(1, min(LEAF_ROWS, -(-rows // 64)))
+    most = leaf_rows or max(1, min(LEAF_ROWS, -(-rows // 64)), rows // MOST_LEAVES)
     targets = [total * i / shards for i in range(1, shards)]
     for depth in range(2, DEPTH + 1):
         coarse, below = [], 0
