@@ -18,6 +18,7 @@ from ..functions.lexicon import Lexicon
 from ..operators import asr, audit, detect, edl, evaluate, features, perceptron, repeats
 from ..operators import tokens as K
 from ..sources import corpora
+from ..sources.tables import read
 
 SHIPPED = Lexicon.indonesian()
 DEMO = Lexicon.build(
@@ -42,7 +43,7 @@ EVENT_GAP = 30_000
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/documents.parquet")
+    return read(spark, sf, "documents")
 
 
 def words(spark: SparkSession, sf: str, *keep: str) -> DataFrame:
@@ -80,7 +81,7 @@ def sourced(spark: SparkSession, sf: str) -> DataFrame:
 
 def event_spans(spark: SparkSession, sf: str) -> DataFrame:
     """Events as tokens of their user: start in seconds, end ``value`` whole seconds later."""
-    rows = spark.read.parquet(f"{sf}/events.parquet")
+    rows = read(spark, sf, "events")
     start = F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000
     start = F.floor(start).cast("long")
     place = Window.partitionBy("user_id").orderBy("start", "event_id")
@@ -242,7 +243,7 @@ def label_prf(spark, sf):
 
 def binary_prf(spark, sf):
     """``labels.toxic`` against low quality."""
-    rows = spark.read.parquet(f"{sf}/labels.parquet")
+    rows = read(spark, sf, "labels")
     said = lambda c: F.when(c, "REP").otherwise("O")
     rows = rows.select("doc_id", F.lit(0).alias("i"), F.lit("").alias("w"), said(F.col("quality") == 0).alias("label"), said(F.col("toxic") == 1).alias("pred"))
     out = evaluate.token_counters(rows, DEMO, key=KEY).select(*[F.col(f"binary_{c}").alias(c) for c in ("tp", "fp", "fn")])
@@ -348,7 +349,7 @@ def segments(spark, sf):
 
 def asr_utterances(spark, sf):
     """Conversations as ASR words, every seventh with a hyphen in front, with a long silence after every eleventh."""
-    rows = spark.read.parquet(f"{sf}/conversations.parquet").select(F.concat_ws("-", "conv_id", "turn").alias("file"), F.posexplode(X.tokens(F.col("text"))).alias("n", "text"))
+    rows = read(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("file"), F.posexplode(X.tokens(F.col("text"))).alias("n", "text"))
     rows = rows.withColumn("text", F.when(F.col("n") % 7 == 3, F.concat(F.lit("-"), "text")).otherwise(F.col("text")))
     start = F.col("n") * 0.5 + F.floor(F.col("n") / 11) * 2.0
     out = asr.utterances(rows.select("file", "n", "text", start.alias("start"), (start + 0.25).alias("end")))
@@ -436,7 +437,7 @@ def jsonl_round_trip(spark, sf):
 
 def whisper_shapes(spark, sf):
     """Conversations as ASR JSON in its three shapes, read back."""
-    rows = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", X.tokens(F.col("text")).alias("ws"))
+    rows = read(spark, sf, "conversations").select("conv_id", "turn", X.tokens(F.col("text")).alias("ws"))
     word = lambda w, n: F.struct(F.when(n % 3 != 0, w).alias("word"), F.when(n % 3 == 0, w).alias("text"), (n * 0.5).alias("start"), (n * 0.5 + 0.25).alias("end"))
     rows = rows.withColumn("x", F.transform("ws", word))
     half = F.floor(F.size("x") / 2).cast("int")
@@ -450,7 +451,7 @@ def whisper_shapes(spark, sf):
 
 def usable_chunks(spark, sf):
     """Chunks without one of their times drop out."""
-    rows = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", F.posexplode(X.tokens(F.col("text"))).alias("n", "text"))
+    rows = read(spark, sf, "conversations").select("conv_id", F.posexplode(X.tokens(F.col("text"))).alias("n", "text"))
     a, b = F.when(F.col("n") % 5 != 1, F.col("n") * 0.5), F.when(F.col("n") % 7 != 2, F.col("n") * 0.5 + 0.25)
     rows = asr.usable_chunks(rows.withColumn("timestamp", F.struct(a.alias("a"), b.alias("b"))))
     return rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("places"))
@@ -458,7 +459,7 @@ def usable_chunks(spark, sf):
 
 def trimmed_words(spark, sf):
     """Words of conversations against made-up silence."""
-    rows = spark.read.parquet(f"{sf}/conversations.parquet").select(F.concat_ws("-", "conv_id", "turn").alias("file"), "turn", X.tokens(F.col("text")).alias("ws"))
+    rows = read(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("file"), "turn", X.tokens(F.col("text")).alias("ws"))
     flags = F.transform(F.sequence(F.lit(0), F.size("ws") * 4), lambda k: ((k * 7 + F.col("turn")) % 5 < 2) | (k % 23 > 19))
     profiles = rows.filter("turn % 4 <> 3").select("file", flags.alias("silent"), F.lit(0.125).alias("hop"))
     words = rows.select("file", F.posexplode("ws").alias("n", "text")).select("file", "n", "text", (F.col("n") * 0.5 + 0.0625).alias("start"), (F.col("n") * 0.5 + 0.25 + F.length("text") * 0.0625).alias("end"))
@@ -571,7 +572,7 @@ def fixed_weights() -> perceptron.Weights:
 
 def decode(spark, sf):
     """The best label sequence of each item of ``benchmark`` under fixed weights."""
-    rows = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("doc_id"), "text")
+    rows = read(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
     rows = K.neutral_times(K.explode_words(rows, "text", KEY), KEY).withColumns({"start": F.col("start") / 1000, "end": F.col("end") / 1000})
     rows = features.featurize(rows, DEMO, features.Families(False, False, True), KEY)
     out = perceptron.predict(rows, fixed_weights(), KEY)
@@ -580,7 +581,7 @@ def decode(spark, sf):
 
 def emission_scores(spark, sf):
     """Of each item of ``benchmark`` and label, the sum of its tokens' emission weights."""
-    rows = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("doc_id"), "text")
+    rows = read(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
     rows = K.neutral_times(K.explode_words(rows, "text", KEY), KEY).withColumns({"start": F.col("start") / 1000, "end": F.col("end") / 1000})
     rows = features.featurize(rows, DEMO, features.Families(False, False, True), KEY)
     return perceptron.emissions(rows, fixed_weights(), KEY).groupBy(F.col("doc_id").alias("item_id"), "label").agg(F.sum("score").cast("long").alias("score"))
@@ -611,7 +612,7 @@ def annotated_round_trip(spark, sf):
 
 
 def _benchmark_featured(spark, sf) -> DataFrame:
-    rows = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").cast("string").alias("uid"), F.col("item_id").alias("utt_seq"), "text")
+    rows = read(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("uid"), F.col("item_id").alias("utt_seq"), "text")
     rows = K.neutral_times(K.explode_words(rows, "text", ["uid", "utt_seq"]))
     rows = detect.rule_labels(rows, DEMO, unit=UNIT, name="label")
     rows = rows.withColumns({"start": F.col("start") / 1000, "end": F.col("end") / 1000})
