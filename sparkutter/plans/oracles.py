@@ -82,7 +82,9 @@ TIMED = (
 )
 
 
-def gap_rule(gap: str) -> str:
+def gap_rule(gap: str, seconds: bool = False) -> str:
+    if seconds:
+        return f"CASE WHEN {gap} <= 0.08::DOUBLE THEN 1.5::DOUBLE WHEN {gap} >= 0.18::DOUBLE THEN -1.5::DOUBLE ELSE 1.5::DOUBLE + (-3.0::DOUBLE) * (({gap} - 0.08::DOUBLE) / (0.18::DOUBLE - 0.08::DOUBLE)) END"
     return f"CASE WHEN {gap} <= 80 THEN 1500 WHEN {gap} >= 180 THEN -1500 ELSE 1500 - 30 * ({gap} - 80) END"
 
 
@@ -98,22 +100,27 @@ def rules(w: str, lex: Lexicon) -> dict[str, str]:
     }
 
 
-def events(lex: Lexicon, source: str = "timed") -> str:
-    """ev: one row for each adjacent pair, with the score in thousandths."""
+def events(lex: Lexicon, source: str = "timed", seconds: bool = False) -> str:
+    """ev: one row for each adjacent pair, with the score in thousandths; with ``seconds`` all in doubles, as the features have it."""
     holds = rules("w", lex)
-    words = " + ".join(f"CASE WHEN {holds[k]} THEN {v} ELSE 0 END" for k, v in zip(holds, (3000, -3000, -3000, 500, -2500), strict=True))
+    words = " + ".join(f"CASE WHEN {holds[k]} THEN {v} ELSE 0 END" for k, v in zip(holds, ("3.0::DOUBLE", "-3.0::DOUBLE", "-3.0::DOUBLE", "0.5::DOUBLE", "-2.5::DOUBLE") if seconds else (3000, -3000, -3000, 500, -2500), strict=True))
     length = "CASE WHEN d1 > 0 AND d2 > 0 AND d1 / d2 < 0.6 THEN -800 WHEN d1 > 0 AND d2 > 0 AND d1 / d2 >= 0.8 AND d1 / d2 <= 1.25 THEN 400 ELSE 0 END"
     run = "CASE WHEN run_length >= 3 THEN -2000 ELSE 0 END"
-    verdict = lambda x: f"CASE WHEN {x} > 750 THEN 'reduplication' WHEN {x} < -750 THEN 'disfluency' ELSE 'ambiguous' END"
+    now = "e, d"
+    if seconds:
+        length = length.replace("-800", "-0.8::DOUBLE").replace("400", "0.4::DOUBLE").replace("0.6 ", "0.6::DOUBLE ").replace("0.8 AND", "0.8::DOUBLE AND").replace("1.25 ", "1.25::DOUBLE ")
+        run, now = run.replace("-2000", "-2.0::DOUBLE"), "e / 1000, e / 1000 - s / 1000"
+    margin = "0.75" if seconds else "750"
+    verdict = lambda x: f"CASE WHEN {x} > {margin} THEN 'reduplication' WHEN {x} < -{margin} THEN 'disfluency' ELSE 'ambiguous' END"
     return f"""isl AS (
   SELECT *, sum(CASE WHEN w <> '' AND w = pw THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run
-  FROM (SELECT *, lag(w) OVER o AS pw, lag(e) OVER o AS pe, lag(d) OVER o AS d1, d AS d2 FROM {source} WINDOW o AS (PARTITION BY doc_id ORDER BY i))
+  FROM (SELECT *, lag(w) OVER o AS pw, lag({now.split(", ")[0]}) OVER o AS pe, lag({now.split(", ")[1]}) OVER o AS d1, {now.split(", ")[1]} AS d2 FROM {source} WINDOW o AS (PARTITION BY doc_id ORDER BY i))
 ), base AS (
   SELECT w, {words} AS word_score, {", ".join(f"{holds[k]} AS {k}" for k in holds)} FROM (SELECT DISTINCT w FROM {source})
 ), ev AS (
   SELECT *, {verdict("score")} AS verdict, {verdict("bare")} AS bare_verdict FROM (
-    SELECT x.*, word_score + {gap_rule("gap")} + {length} + {run} AS score, word_score + {run} AS bare, {", ".join(holds)}
-    FROM (SELECT *, greatest(0, s - pe) AS gap, count(*) OVER (PARTITION BY doc_id, run) AS run_length FROM isl) x JOIN base USING (w)
+    SELECT x.*, word_score + {gap_rule("gap", seconds)} + {length} + {run} AS score, word_score + {run} AS bare, {", ".join(holds)}
+    FROM (SELECT *, {"greatest(0.0::DOUBLE, s / 1000 - pe)" if seconds else "greatest(0, s - pe)"} AS gap, count(*) OVER (PARTITION BY doc_id, run) AS run_length FROM isl) x JOIN base USING (w)
     WHERE x.w <> '' AND x.w = x.pw
   )
 )"""
@@ -437,7 +444,7 @@ SQL = {
         "gapb": bucket("gb", _gaps), "gapa": bucket("ga", _gaps), "dur": bucket("secs", ("0.1::DOUBLE", "0.15::DOUBLE", "0.2::DOUBLE", "0.3::DOUBLE", "0.4::DOUBLE", "0.6::DOUBLE")), "durratio": _ratio, "gapb_long": flag("gb >= 0.18::DOUBLE"), "gapb_tight": flag("gb <= 0.08::DOUBLE"),
     }),
     "features_crossed": summed(FEATURE, "fa", {"w|gapb": "w || '|' || " + bucket("gb", _gaps), "durratio": _ratio}),
-    "features_redup": summed(f"{TIMED}, {events(DEMO)}, {_nw}, fr AS (SELECT nx.*, a.verdict AS v1, b.verdict AS v2, lag(nx.w) OVER (PARTITION BY nx.doc_id ORDER BY nx.i) AS pw FROM nx LEFT JOIN (SELECT doc_id AS d_, i - 1 AS i_, verdict FROM ev) a ON nx.doc_id = a.d_ AND nx.i = a.i_ LEFT JOIN (SELECT doc_id AS d2_, i AS i2_, verdict FROM ev) b ON nx.doc_id = b.d2_ AND nx.i = b.i2_)", "fr", _redup_features),
+    "features_redup": summed(f"{TIMED}, {events(DEMO, seconds=True)}, {_nw}, fr AS (SELECT nx.*, a.verdict AS v1, b.verdict AS v2, lag(nx.w) OVER (PARTITION BY nx.doc_id ORDER BY nx.i) AS pw FROM nx LEFT JOIN (SELECT doc_id AS d_, i - 1 AS i_, verdict FROM ev) a ON nx.doc_id = a.d_ AND nx.i = a.i_ LEFT JOIN (SELECT doc_id AS d2_, i AS i2_, verdict FROM ev) b ON nx.doc_id = b.d2_ AND nx.i = b.i2_)", "fr", _redup_features),
     "jsonl_round_trip": q(RULED, """SELECT doc_id::VARCHAR AS uid, CASE WHEN doc_id % 2 = 0 THEN lang ELSE 'seed' END AS source, CASE WHEN doc_id % 3 = 0 THEN 'B' ELSE 'S1' END AS speaker, CASE WHEN doc_id % 5 = 0 THEN lang ELSE '-' END AS meta_lang, label, pred,
       count(*) AS n, sum(i)::BIGINT AS places, sum(len(w))::BIGINT AS letters, sum(s)::BIGINT AS starts, sum(e)::BIGINT AS ends FROM ru GROUP BY ALL"""),
     "whisper_shapes": f"SELECT file, count(*) AS n, md5(string_agg(w, ' ' ORDER BY n)) AS text_md5, max(n * 0.5 + 0.25)::DOUBLE AS finish FROM ({_conv}) GROUP BY file",
@@ -446,10 +453,10 @@ SQL = {
       f AS (SELECT *, CASE WHEN turn % 4 <> 3 THEN 1 END AS known, floor(s0 / 0.125)::BIGINT AS a, least(floor(e0 / 0.125)::BIGINT, 4 * size) AS b FROM m),
       p AS (SELECT *, [k FOR k IN range(a, b + 1) IF NOT ((k * 7 + turn) % 5 < 2 OR k % 23 > 19)] AS loud FROM f),
       t AS (SELECT *, known = 1 AND a <= 4 * size AND b > a AND len(loud) > 0 AND loud[-1] > loud[1] AND (loud[-1] + 1) * 0.125 - loud[1] * 0.125 >= 0.04 AS ok FROM p),
-      g AS (SELECT *, CASE WHEN ok THEN round((loud[1] * 0.125)::DOUBLE, 3) ELSE s0 END AS s1, CASE WHEN ok THEN round(((loud[-1] + 1) * 0.125)::DOUBLE, 3) ELSE e0 END AS e1,
+      g AS (SELECT *, CASE WHEN ok THEN round_even((loud[1] * 0.125)::DOUBLE, 3) ELSE s0 END AS s1, CASE WHEN ok THEN round_even(((loud[-1] + 1) * 0.125)::DOUBLE, 3) ELSE e0 END AS e1,
         coalesce(ok AND (abs(loud[1] * 0.125 - s0) > 1e-9 OR abs((loud[-1] + 1) * 0.125 - e0) > 1e-9), false) AS changed FROM t),
       h AS (SELECT *, lead(s1) OVER (PARTITION BY file ORDER BY n) AS nx FROM g)
-      SELECT file, n, s1 AS start, CASE WHEN e1 > nx THEN round(greatest(s1, nx), 3) ELSE e1 END AS "end", changed FROM h""",
+      SELECT file, n, s1 AS start, CASE WHEN e1 > nx THEN round_even(greatest(s1, nx), 3) ELSE e1 END AS "end", changed FROM h""",
     "provenance_report": f"SELECT berkas, address, round(share, 6) AS quoted_share, open, open = '' AS ready FROM ({_prov})",
     "provenance_totals": f"SELECT sum(d)::DOUBLE AS seconds, count(*) FILTER (d IS NULL) AS unknown, round(sum(CASE WHEN d IS NOT NULL THEN d END) / sum(CASE WHEN d IS NOT NULL THEN o END), 6) AS quoted_share FROM ({_prov})",
     "open_ethics": f"SELECT open, count(*) AS n FROM (SELECT unnest(string_split(open, '+')) AS open FROM ({_prov})) WHERE open <> '' GROUP BY open",
@@ -496,7 +503,7 @@ SQL["score_summary"] = _summary()
 def _decoded() -> tuple[str, str]:
     """SQL for decode and emission_scores: features of reduplication over ``benchmark``, weighted and decoded step by step."""
     model = fixed_weights()
-    bench = f"{NEUTRAL.replace('FROM documents', 'FROM (SELECT item_id AS doc_id, NULL AS lang, text FROM benchmark)')}, {events(DEMO)}, {_nw}"
+    bench = f"{NEUTRAL.replace('FROM documents', 'FROM (SELECT item_id AS doc_id, NULL AS lang, text FROM benchmark)')}, {events(DEMO, seconds=True)}, {_nw}"
     bench += ", fr AS (SELECT nx.*, a.verdict AS v1, b.verdict AS v2, lag(nx.w) OVER (PARTITION BY nx.doc_id ORDER BY nx.i) AS pw FROM nx LEFT JOIN (SELECT doc_id AS d_, i - 1 AS i_, verdict FROM ev) a ON nx.doc_id = a.d_ AND nx.i = a.i_ LEFT JOIN (SELECT doc_id AS d2_, i AS i2_, verdict FROM ev) b ON nx.doc_id = b.d2_ AND nx.i = b.i2_)"
     names = [n for n in _redup_features if n != "verdict"]
     weigh = lambda j: " + ".join("CASE " + " ".join(f"WHEN f_{n} = '{f.split('=')[1]}' THEN {int(model.emit[i, j])}" for f, i in model.features.items() if f.split("=")[0] == n) + " ELSE 0 END" for n in names)
