@@ -5,16 +5,20 @@ from __future__ import annotations
 import atexit
 import sys
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import read
+
 #: Words are runs of anything but ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
 
-
 _folders: set[str] = set()
+_open = threading.local()  # scopes: of each settled() under way, what has been written in it
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -29,6 +33,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get()
 
 
+def delete(jvm, conf, path: str) -> None:
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(conf).delete(where, True)
+
+
 def own_folder(spark: SparkSession) -> str:
     """A folder for this application's intermediate tables, which goes when the application ends."""
     jsc = spark.sparkContext._jsc.sc()
@@ -39,8 +48,7 @@ def own_folder(spark: SparkSession) -> str:
 
         def remove() -> None:
             try:
-                where = jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(conf).delete(where, True)
+                delete(jvm, conf, path)
             except Exception as e:  # the JVM may be gone before us
                 print(f"sparkutter: {path} is left: {type(e).__name__}", file=sys.stderr)
 
@@ -70,16 +78,32 @@ def materialize(df: DataFrame) -> DataFrame:
     bound_batches(spark)
     path = f"{own_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if getattr(_open, "scopes", None):
+        _open.scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """``make()``, materialized; what it materialized on its way is deleted."""
+    _open.scopes = [*getattr(_open, "scopes", []), []]
+    try:
+        df = make()
+    finally:
+        *_open.scopes, inner = _open.scopes
+    out = materialize(df)
+    spark = df.sparkSession
+    for path in inner:
+        delete(spark.sparkContext._jvm, spark.sparkContext._jsc.sc().hadoopConfiguration(), path)
+    return out
+
+
 #: Beside any columns of the documents.
 ROW, SALT = "__sparkutter_row", "__sparkutter_salt"
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """``docs``, written, with a number of its own for each row: ids may repeat or be null."""
-    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()))
+def content_key(id_col: str, text_col: str) -> Column:
+    """A key that rows share if, and (but for collisions of MD5) only if, both their ids and their texts are the same."""
+    return F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.lit(":"), F.coalesce(F.md5(F.col(text_col)), F.lit("-")))
 
 
 def spread_join(rows: DataFrame, facts: DataFrame, keys: list[str], salt: Column) -> DataFrame:
@@ -100,7 +124,7 @@ def words_of(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bound_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read(spark, sf_dir, name)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

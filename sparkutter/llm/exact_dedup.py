@@ -17,22 +17,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, materialize, numbered, spread_join, table
+from .common import materialize, spread_join, table
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str, normalise, digest) -> DataFrame:
-    """doc_id, t (what is compared), g (its digest), and ROW if ``docs`` has it."""
-    norm: Column = F.coalesce(F.col(text_col), F.lit(""))
-    if normalise is not None:
-        norm = normalise(norm)
-    digest = digest or (lambda c: F.xxhash64(c))
-    row = [F.col(ROW)] if ROW in docs.columns else []
-    return docs.select(F.col(id_col).alias("doc_id"), norm.alias("t"), *row).withColumn("g", digest(F.col("t")))
+def _compared(text_col: str, normalise) -> Column:
+    text: Column = F.coalesce(F.col(text_col), F.lit(""))
+    return text if normalise is None else normalise(text)
 
 
-def combined(rows: DataFrame, best: Column, salts: int) -> DataFrame:
-    """g, t, best (the largest) and n of each text of ``rows``."""
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts))).groupBy("g", "salt", "t").agg(F.max(best).alias("best"), F.count(F.lit(1)).alias("n"))
+def combined(rows: DataFrame, salts: int) -> DataFrame:
+    """g, t, best (the largest) and n of each text of ``rows`` (g, t, doc_id)."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts))).groupBy("g", "salt", "t").agg(F.max("doc_id").alias("best"), F.count(F.lit(1)).alias("n"))
     # The winners of the salts: the digest and the whole text once more.
     return salted.groupBy("g", "t").agg(F.max("best").alias("best"), F.sum("n").alias("n"))
 
@@ -43,8 +38,9 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     ``normalise`` maps the text column to the one that is compared; ``digest`` maps it to a grouping digest
     (default xxhash64). Digests need not be free of collisions: content decides.
     """
-    rows = _texts(docs, id_col, text_col, normalise, digest)
-    winners = combined(rows, F.col("doc_id"), salts).select("g", F.col("best").alias("keep_id"), F.col("n").alias("group_size"), F.sha2("t", 256).alias("sha"))
+    digest = digest or (lambda c: F.xxhash64(c))
+    rows = docs.select(F.col(id_col).alias("doc_id"), _compared(text_col, normalise).alias("t")).withColumn("g", digest(F.col("t")))
+    winners = combined(rows, salts).select("g", F.col("best").alias("keep_id"), F.col("n").alias("group_size"), F.sha2("t", 256).alias("sha"))
     winners = materialize(winners)
     # The texts of one digest: one, but for collisions.
     doubtful = winners.groupBy("g").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
@@ -55,7 +51,7 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     else:
         # Collisions: within such a digest the full text tells its groups apart.
         doubtful = materialize(doubtful)
-        full = combined(rows.join(doubtful, "g", "left_semi"), F.col("doc_id"), salts)
+        full = combined(rows.join(doubtful, "g", "left_semi"), salts)
         full = full.select("g", "t", F.col("best").alias("keep_id"), F.col("n").alias("group_size"), F.sha2("t", 256).alias("sha"))
         named = back(keys.join(doubtful, "g", "left_anti")).select("doc_id", "keep_id", "group_size", "sha")
         named = named.unionByName(rows.join(full, ["g", "t"]).select("doc_id", "keep_id", "group_size", "sha"))
@@ -69,11 +65,20 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", normalise=None, digest=None, salts: int = 16) -> DataFrame:
-    """One row of ``docs`` for each text, with all its columns: one with the largest id (nulls only among themselves)."""
-    rows = numbered(docs)
-    best = F.struct("doc_id", ROW)
-    kept = combined(_texts(rows, id_col, text_col, normalise, digest), best, salts).select(F.col(f"best.{ROW}").alias(ROW))
-    return rows.join(kept, ROW, "left_semi").drop(ROW)
+    """One row of ``docs`` for each text, with all its columns: one with the largest id (nulls only among themselves).
+
+    The columns of a text's best row go with it through the same stages, so nothing is joined back.
+    """
+    digest = digest or (lambda c: F.xxhash64(c))
+    # A text that is compared as it is need not be carried twice.
+    carried = [c for c in docs.columns if c != text_col or normalise is not None]
+    rest = F.struct(F.col(text_col).isNull().alias("none"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(carried)])
+    order = F.struct(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"))
+    rows = docs.select(_compared(text_col, normalise).alias("t"), order.alias("order"), rest.alias("rest")).withColumns({"g": digest(F.col("t")), "salt": F.pmod(F.col("order.row"), F.lit(salts))})
+    best = [F.max_by("rest", "order").alias("rest"), F.max("order").alias("order")]
+    rows = rows.groupBy("g", "salt", "t").agg(*best).groupBy("g", "t").agg(*best)
+    text = F.when(~F.col("rest.none"), F.col("t"))
+    return rows.select(*[(F.col(f"rest.c{carried.index(c)}") if c in carried else text).alias(c) for c in docs.columns])
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, SPACE, materialize, numbered, spread_join, table
+from .common import ROW, SPACE, content_key, materialize, settled, spread_join, table
 
 RUN = 5
 TAKE = 2
@@ -160,23 +160,23 @@ def arrays(column: pa.Array):
             yield values.slice(a, b - a).drop_null().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
 
 
-def sketch_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """row, id, digest of the word sequence (null: no words), sketch keys, n and words (32-bit hashes, as one binary)."""
+def sketch_table(docs: DataFrame, id_col: str, text_col: str, keyed: bool) -> DataFrame:
+    """row (a number), key (of its content), id, digest of the word sequence (null: no words), sketch keys, n and words (32-bit hashes, as one binary)."""
     import hashlib
 
     def run(batches):
         for batch in batches:
             columns: list[list] = [[], [], [], []]
-            for w in arrays(batch.column(2)):
+            for w in arrays(batch.column(3)):
                 facts = (hashlib.blake2b(w.tobytes(), digest_size=16).digest(), sketches(w).view(np.int64)) if len(w) else (None, None)
                 for c, x in zip(columns, (*facts, len(w), (w >> np.uint64(32)).astype(np.uint32).tobytes()), strict=True):
                     c.append(x)
             kinds = (pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["row", "id", "digest", "keys", "n", "words"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["row", "key", "id", "digest", "keys", "n", "words"])
 
-    row = F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()
-    rows = docs.select(row.alias("row"), F.col(id_col).cast("long").alias("id"), hashed_words(text_col).alias("w"))
-    return rows.mapInArrow(run, "row long, id long, digest binary, keys array<long>, n long, words binary")
+    key = content_key(id_col, text_col) if keyed else F.lit(None).cast("string")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), key.alias("key"), F.col(id_col).cast("long").alias("id"), hashed_words(text_col).alias("w"))
+    return rows.mapInArrow(run, "row long, key string, id long, digest binary, keys array<long>, n long, words binary")
 
 
 def sequence_table(rows: DataFrame) -> DataFrame:
@@ -437,14 +437,14 @@ def linked_classes(buckets: DataFrame, sequences: DataFrame, similarity: float,
     return further.select("id", F.coalesce("to", "class_id").alias("class_id")).unionByName(alone)
 
 
-def near_duplicate_classes(docs: DataFrame, *, similarity: float = SIMILARITY, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id (smallest id of its class), class_size, kept of each row; and ROW, if ``docs`` has it.
+def near_duplicate_classes(docs: DataFrame, *, similarity: float = SIMILARITY, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
+    """doc_id, class_id (smallest id of its class), class_size, kept of each row; and content_key(), if ``keyed``.
 
     One row of each class is kept, one with its smallest id.
     """
     if not 0.5 < similarity <= 1:
         raise ValueError("the similarity must be above 0.5")
-    sketched = materialize(sketch_table(docs, id_col, text_col))
+    sketched = materialize(sketch_table(docs, id_col, text_col, keyed))
     worded = sketched.filter("id IS NOT NULL AND digest IS NOT NULL")
     nodes = worded.groupBy("digest").agg(F.min(F.struct("id", "row")).alias("first"), F.count(F.lit(1)).alias("rows"))
     # A node's number: of 64 bits, and one for each digest, whatever ids the rows have.
@@ -453,28 +453,36 @@ def near_duplicate_classes(docs: DataFrame, *, similarity: float = SIMILARITY, b
     buckets = materialize(several(facts.select(F.posexplode("keys").alias("repeat", "key"), "id", "n")))
     wanted = nodes.join(buckets.select(F.col("id").alias("node")).distinct(), "node", "left_semi").select("row", "node")
     # A merge join at any size that matters; the same at small ones.
-    sequences = materialize(sequence_table(worded.drop("id").join(wanted.hint("merge"), "row").withColumnRenamed("node", "id")))
+    sequences = materialize(sequence_table(worded.drop("id", "key").join(wanted.hint("merge"), "row").withColumnRenamed("node", "id")))
     classes = linked_classes(buckets, sequences, similarity, block)
     named = nodes.join(classes.select(F.col("id").alias("node"), "class_id"), "node", "left").withColumn("class", F.coalesce("class_id", "node"))
     named = materialize(named.select("digest", "node", "class", "least", "row", "rows"))
     heads = named.groupBy("class").agg(F.min(F.struct("least", "row")).alias("head"), F.sum("rows").alias("class_size"))
     named = spread_join(named.select("digest", "node", "class"), heads, ["class"], F.pmod(F.xxhash64("node"), F.lit(64))).select("digest", F.col("head.least").alias("class_id"), F.col("head.row").alias("head"), "class_size")
-    rows = sketched.select("row", "id", "digest").join(named, F.col("id").isNotNull() & (sketched["digest"] == named["digest"]), "left")
+    rows = sketched.select("row", "key", "id", "digest").join(named, F.col("id").isNotNull() & (sketched["digest"] == named["digest"]), "left")
     lone = F.when(F.col("id").isNotNull(), F.col("id"))
     return rows.select(
         F.col("id").alias("doc_id"),
         F.coalesce("class_id", lone).alias("class_id"),
         F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
         F.coalesce(F.col("head") == F.col("row"), F.lit(True)).alias("kept"),
-        *([F.col("row").alias(ROW)] if ROW in docs.columns else []),
+        *([F.col("key").alias(ROW)] if keyed else []),
     )
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows that their classes do not keep; null ids stay."""
-    rows = numbered(docs)
-    gone = near_duplicate_classes(rows, **options).filter("NOT kept").select(ROW)
-    return rows.join(gone, ROW, "left_anti").drop(ROW)
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without the rows that their classes do not keep; null ids stay.
+
+    Of rows with the same id and text that a class keeps, one stays.
+    """
+    rows = settled(lambda: near_duplicate_classes(docs, id_col=id_col, text_col=text_col, keyed=True, **options).filter("class_size > 1").select(ROW, "kept"))
+    rows = materialize(rows.groupBy(ROW).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("times")))
+    out = docs.withColumn(ROW, content_key(id_col, text_col)).join(rows.filter("NOT kept").select(ROW), ROW, "left_anti")
+    again = rows.filter("kept AND times > 1").select(ROW)
+    if not again.isEmpty():
+        alone = out.join(again, ROW, "left_anti")
+        out = alone.unionByName(out.join(again, ROW, "left_semi").dropDuplicates([ROW]))
+    return out.select(*docs.columns)
 
 
 def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,8 @@ whatever the input, are added up in Spark and solved on the driver. Calibration:
 rows is scored, scores are rounded to 1/``BINS`` and counted in Spark, and pool-adjacent-violators runs over at
 most that many points.
 
-Learning uses the rows whose crc32(doc_id as text) mod 3 is 0 (ridge) or 2 (calibration); remainder 1 is held
-out. The input of a score is the text alone.
+Learning uses the rows whose crc32(doc_id as text) mod 3 is 0 (ridge) or 2 (calibration), ``FIT_ROWS`` of them at
+most, chosen by hash; remainder 1 is held out. The input of a score is the text alone.
 
 Cases: null and empty texts have all statistics 0 and get the score that the model gives these; a null doc_id
 is scored and never learned from; labels that repeat or contradict each other count each; with no labels of one
@@ -33,6 +33,8 @@ from .packing import slices
 BINS = 4096
 FEATURES = 256
 N_STATS = 20
+FIT_ROWS = 300_000  # labelled rows that a model learns from: a bounded sample, small enough to broadcast
+KNOWN = "__sparkutter_known"
 
 
 @cache
@@ -135,11 +137,16 @@ def remainder(id_col) -> F.Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(3))
 
 
-def fit(stats: DataFrame, labels: DataFrame, *, label: str = "quality", features: int = FEATURES, width: float = 2.5, ridge: float = 1e-3, seed: int = 17) -> Model:
+def learned_from(labels: DataFrame, *, label: str = "quality", rows: int = FIT_ROWS) -> DataFrame:
+    """doc_id, ``label`` of the labels that a model learns from: all with remainder 0 or 2, but ``rows`` at most, chosen by hash."""
+    sound = labels.select(F.col("doc_id").cast("long").alias("doc_id"), label).filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (remainder("doc_id") != 1))
+    return sound.orderBy(F.xxhash64("doc_id"), "doc_id", label).limit(rows)
+
+
+def fit(stats: DataFrame, labels: DataFrame, *, label: str = "quality", rows: int = FIT_ROWS, features: int = FEATURES, width: float = 2.5, ridge: float = 1e-3, seed: int = 17) -> Model:
     """Learn from rows of ``stats`` (a written table) with a 0/1 ``label`` and remainder 0 or 2."""
-    y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y")).filter("y IN (0, 1)")
-    rows = stats.join(y, "doc_id").withColumn("r", remainder("doc_id")).filter("r <> 1").select("x", "y", "r")
-    rows = materialize(rows)
+    y = learned_from(labels, label=label, rows=rows).select("doc_id", F.col(label).cast("double").alias("y"))
+    rows = materialize(stats.join(F.broadcast(y), "doc_id").withColumn("r", remainder("doc_id")).select("x", "y", "r"))
     moments = rows.filter("r = 0").select(F.posexplode("x").alias("k", "v")).groupBy("k").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).collect()
     mean, scale = np.zeros(N_STATS), np.ones(N_STATS)
     for m in moments:
@@ -194,9 +201,14 @@ def scored(stats: DataFrame, model: Model) -> DataFrame:
     return stats.select("doc_id", "x").mapInArrow(run, "doc_id long, score double")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose score reaches ``threshold``, with all their columns, without moving a text."""
-    model = fit(materialize(statistics_table(docs, text_col=text_col)), labels, **options)
+def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", rows: int = FIT_ROWS, **options) -> DataFrame:
+    """The rows of ``docs`` whose score reaches ``threshold``, with all their columns, without moving a text.
+
+    The model needs the statistics of the labelled rows only; those of all rows are taken as they are judged.
+    """
+    labels = learned_from(labels, rows=rows)
+    known = docs.join(F.broadcast(labels.select(F.col("doc_id").alias(KNOWN)).distinct()), docs[id_col].cast("long") == F.col(KNOWN), "left_semi")
+    model = fit(materialize(statistics_table(known, id_col=id_col, text_col=text_col)), labels, rows=rows, **options)
     names, schema = docs.columns, docs.schema
 
     def run(batches):

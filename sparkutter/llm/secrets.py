@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ROW, materialize, numbered, table
+from .common import ROW, content_key, materialize, table
 
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Maximal runs: the same matches as of the open-ended patterns with a length filter after.
@@ -123,7 +123,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
         )
 
     rows = materialize(rows.select("row", "doc_id", F.concat(*[items(i) for i in range(4)]).alias("items")))
-    found = rows.filter(F.size("items") > 0).select("row", F.inline("items")).repartition("row")
+    # Rows of one key, if they share it, have the same matches.
+    found = rows.filter(F.size("items") > 0).groupBy("row").agg(F.first("items").alias("items")).select("row", F.inline("items"))
     one_kind = Window.partitionBy("row", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = found.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(one_kind)).filter("sound")
     found = found.select("row", "kind", (F.col("end") - F.col("size")).alias("start"), "end", (F.col("kind") < 3).alias("base"), "s")
@@ -191,7 +192,7 @@ def redact(docs: DataFrame, *, mask: str = "[SECRET]", id_col: str = "doc_id", t
 
     Rows without spans stay as they are. Texts with spans are masked in chunks, so the work is linear in their length.
     """
-    rows = numbered(docs)
+    rows = docs.withColumn(ROW, content_key(id_col, text_col))
     _, spans = span_table(rows, id_col=id_col, text_col=text_col, **options)
     spans = materialize(spans)
     # Spans that overlap are one.
@@ -202,7 +203,7 @@ def redact(docs: DataFrame, *, mask: str = "[SECRET]", id_col: str = "doc_id", t
     across = F.sequence(F.floor(F.col("start") / chunk), F.floor((F.col("end") - 1) / chunk))
     merged = merged.select("row", F.explode(F.transform(across, lambda x: x.cast("int"))).alias("at"), "start", "end")
     inside = merged.groupBy("row", "at").agg(F.array_sort(F.collect_list(F.struct((F.col("start") - F.col("at") * chunk).alias("a"), (F.col("end") - F.col("at") * chunk).alias("b")))).alias("cuts"))
-    chunks = rows.select(F.col(ROW).alias("row"), F.col(text_col).alias("t")).join(spans.select("row").distinct(), "row", "left_semi")
+    chunks = rows.select(F.col(ROW).alias("row"), F.col(text_col).alias("t")).join(spans.select("row").distinct(), "row", "left_semi").dropDuplicates(["row"])
     chunks = chunks.select("row", F.posexplode(F.regexp_extract_all("t", F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0))).alias("at", "t")).join(inside, ["row", "at"], "left")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
