@@ -13,8 +13,8 @@ Characters without a piece become bytes. Units seen before are looked up.
 Decoding concatenates the pieces, joins bytes to characters (invalid ones become U+FFFD), turns U+2581 into
 spaces and drops the first.
 
-Cases: null and empty texts have no ids, and no ids decode to ''; very long units are relaxed with a heap, in
-the same order; repeated rows are encoded each; an empty table gives an empty result; further columns are
+Cases: null and empty texts have no ids, and no ids decode to ''; very long units are indexed in parts, cut where
+no piece crosses, and relaxed with a heap, in the same order; repeated rows are encoded each; an empty table gives an empty result; further columns are
 ignored whatever their names. Only BPE models with byte fallback and without normalisation rules are taken.
 """
 
@@ -222,6 +222,28 @@ class PieceEncoder:
         cut = np.searchsorted(unit, np.arange(len(units) + 1)) * 4
         return [data[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
+    def separate(self, unit: str):
+        """Parts of a unit that is too long for one index, cut where no edge, and so no token, crosses.
+
+        A stretch without such a place grows until it has one.
+        """
+        width, start, size = self.pieces.width, 0, INDEX_CHARS
+        while len(unit) - start > size:
+            codes = np.frombuffer(unit[start : start + size].encode("utf-32-le", "surrogatepass"), np.uint32)
+            grid, crossed = edges(codes, self.pieces), np.zeros(size + width + 1, np.int64)
+            for n in range(2, width + 1):
+                at = np.flatnonzero(grid[:, n - 1] != self.pieces.none)
+                np.add.at(crossed, at + 1, 1)
+                np.add.at(crossed, at + n, -1)
+            # Near its end, edges may reach beyond the stretch.
+            free = np.flatnonzero(np.cumsum(crossed)[1 : size - width] == 0) + 1
+            if not len(free):
+                size *= 2
+                continue
+            yield unit[start : start + int(free[-1])]
+            start, size = start + int(free[-1]), INDEX_CHARS
+        yield unit[start:]
+
     def lookup(self, units: list[str]) -> list[bytes]:
         if len(self.known) > KNOWN_UNITS:
             self.known, self.before = {}, self.known
@@ -232,6 +254,9 @@ class PieceEncoder:
                     self.known[u] = self.before[u]
                 else:
                     new.append(u)
+        for u in [u for u in new if len(u) > INDEX_CHARS]:
+            self.known[u] = b"".join(self.encode_units([x])[0] for x in self.separate(u))
+        new = [u for u in new if len(u) <= INDEX_CHARS]
         for a, b in runs(map(len, new), INDEX_CHARS):
             self.known.update(zip(new[a:b], self.encode_units(new[a:b]), strict=True))
         return [self.known[u] for u in units]
