@@ -12,8 +12,9 @@ enters the graph: of any other, all windows repeat.
 2. Edges. Windows with such a minimiser are sent to the group of that minimiser, again with one document's
    entries for what repeats inside a batch. There every occurrence finds the smallest document with that edge,
    and neighbouring occurrences whose sources are neighbours as well compact into one path.
-3. Compaction. The paths of a document, from all groups, are joined end to end along source coordinates
-   (document, position), so that a long passage is one row again.
+3. Compaction. The nodes of the graph are the places in the sources where paths begin and end. Nonbranching ones,
+   which every path that comes to them leaves in the same way, are compacted by joins of path ends with path
+   beginnings and pointer jumping; so all documents that share a stretch have it cut at the same places.
 4. Verification. Each path's source words are cut out of the source document and digested (128 bits), once for
    every distinct stretch; the digest is joined to the paths and must be that of the document's own words. So
    the 64-bit hashes of edges only propose.
@@ -34,13 +35,13 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import SPACE, materialize, shuffle_partitions, table
+from .common import materialize, shuffle_partitions, spread_join, table
 from .near_dedup import arrays, run_hashes
-from .packing import runs
+from .packing import runs, strings
 
 WINDOW = 13
 SEED = 5
@@ -56,13 +57,20 @@ class WordHasher:
 
         self.digest, self.known, self.most = xxh64_intdigest, {}, most
 
-    def __call__(self, words: list[str]) -> np.ndarray:
-        known = self.known
+    def __call__(self, texts: list[bytes]):
+        """The hashes of each text's words, which single spaces separate."""
+        known, digest = self.known, self.digest
         if len(known) > self.most:
             known.clear()
-        for w in [w for w in set(words) if w not in known]:
-            known[w] = self.digest(w.encode(), seed=42)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        split = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        words = split.flatten().dictionary_encode()
+        names = strings(words.dictionary)
+        for w in names:
+            if w not in known:
+                known[w] = digest(w.encode(), seed=42)
+        hashes = np.fromiter(map(known.__getitem__, names), np.uint64, len(names))[words.indices.to_numpy()]
+        at = split.offsets.to_numpy() - split.offsets[0].as_py()
+        return (hashes[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
 
 
 def sha(words: list[str]) -> str:
@@ -116,14 +124,18 @@ def starts(*columns: np.ndarray) -> np.ndarray:
 
 def plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, t (the words, joined by single spaces) and tag, a hash of t."""
-    text = F.trim(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE, " "))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    for c in "\t\n\x0b\x0c\r":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    # Only texts that need it go through the pattern.
+    text = F.trim(F.when(F.instr(text, "  ") > 0, F.regexp_replace(text, " +", " ")).otherwise(text))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t"))
     return rows.withColumn("tag", F.xxhash64("t"))
 
 
 def survey(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, tag of the word sequence, n_words, sha256 of all words."""
-    n = F.when(F.col("t") == "", 0).otherwise(F.length("t") - F.length(F.translate("t", " ", "")) + 1)
+    n = F.when(F.col("t") == "", 0).otherwise(F.octet_length("t") - F.octet_length(F.replace("t", F.lit(" "), F.lit(""))) + 1)
     return plain(docs, id_col, text_col).select("doc_id", "tag", n.cast("long").alias("n_words"), F.sha2("t", 256).alias("sha"))
 
 
@@ -223,15 +235,16 @@ def paths(texts: DataFrame, groups: int, window: int, seed: int) -> DataFrame:
         for batch in batches:
             table = [batch.column(c).to_pylist() for c in ("tag", "rep", "z", "seeds")]
             columns = [[] for _ in range(5)]  # edge, rep, tag, pos, seed
-            for tag, rep, z, seeds in zip(*table, strict=True):
-                # A text at a time: compressed sizes say little about the memory that words take.
-                h = hasher(opened.decompress(z).decode().split(" "))
-                m = minimisers(h, window, seed)
-                pos = np.flatnonzero(np.isin(m, np.concatenate([unpack(s, [np.uint64])[0] for s in seeds])))
-                if len(pos):
-                    edges = run_hashes(h, window)[pos]
-                    for c, x in zip(columns, (edges, np.full(len(pos), rep), np.full(len(pos), tag), pos, m[pos]), strict=True):
-                        c.append(x)
+            # Compressed sizes say little about the memory that words take.
+            for a, b in runs(map(zstandard.frame_content_size, table[2]), 4_000_000):
+                hashed = hasher([opened.decompress(z) for z in table[2][a:b]])
+                for tag, rep, h, seeds in zip(table[0][a:b], table[1][a:b], hashed, table[3][a:b], strict=True):
+                    m = minimisers(h, window, seed)
+                    pos = np.flatnonzero(np.isin(m, np.concatenate([unpack(s, [np.uint64])[0] for s in seeds])))
+                    if len(pos):
+                        edges = run_hashes(h, window)[pos]
+                        for c, x in zip(columns, (edges, np.full(len(pos), rep), np.full(len(pos), tag), pos, m[pos]), strict=True):
+                            c.append(x)
             if columns[0]:
                 yield packed_batch(entries(*(np.concatenate(c) for c in columns)))
 
@@ -281,13 +294,31 @@ def paths(texts: DataFrame, groups: int, window: int, seed: int) -> DataFrame:
 
 
 def compact(pieces: DataFrame) -> DataFrame:
-    """Join paths end to end: one begins where the one before ends, in the document and in the source."""
-    order = Window.partitionBy("tag").orderBy("first")
-    follows = (F.lag(F.col("first") + F.col("windows")).over(order) == F.col("first")) & (F.lag("source").over(order) == F.col("source"))
-    follows &= F.lag(F.col("first") - F.col("source_first")).over(order) == F.col("first") - F.col("source_first")
-    rows = pieces.withColumn("new", F.when(follows, 0).otherwise(1))
-    rows = rows.withColumn("path", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy("tag", "path").agg(F.min("first").alias("first"), F.sum("windows").alias("windows"), F.first("source").alias("source"), F.min("source_first").alias("source_first")).drop("path")
+    """Nonbranching paths of ``pieces`` (written), joined to one row each.
+
+    A node is a place in a source (source, position), where pieces end and begin. A piece goes on in the next one if
+    that begins where it ends, in the document and in the source. A node is nonbranching if every piece that comes
+    to it goes on, and no other begins there; all that pass through it are joined to the piece before it, and
+    pointer jumping finds the first piece of each path.
+    """
+    tail = pieces.select("tag", F.col("first").alias("before"), (F.col("first") + F.col("windows")).alias("first"), "source", (F.col("source_first") + F.col("windows")).alias("source_first"))
+    on = ["tag", "first", "source", "source_first"]
+    passing = materialize(tail.join(pieces.select(*on), on))
+    count = lambda rows, name: rows.select("source", "source_first", *[F.lit(int(n == name)).alias(n) for n in ("coming", "going", "passing")])
+    nodes = count(tail, "coming").unionByName(count(pieces, "going")).unionByName(count(passing, "passing"))
+    nodes = nodes.groupBy("source", "source_first").agg(*[F.sum(n).alias(n) for n in ("coming", "going", "passing")])
+    plain = nodes.filter("coming = passing AND going = passing").select("source", "source_first")
+    # A passage that very many documents share makes a hot node.
+    links = spread_join(passing, plain, ["source", "source_first"], F.pmod(F.xxhash64("tag"), F.lit(64))).select("tag", "first", "before")
+    heads = materialize(links.withColumnRenamed("before", "head"))
+    while True:
+        further = heads.select("tag", F.col("first").alias("head"), F.col("head").alias("to"))
+        now = materialize(heads.join(further, ["tag", "head"], "left").select("tag", "first", F.coalesce("to", "head").alias("head"), F.col("to").isNotNull().alias("moved")))
+        heads = now.drop("moved")
+        if now.filter("moved").isEmpty():
+            break
+    rows = pieces.join(heads, ["tag", "first"], "left").withColumn("head", F.coalesce("head", "first"))
+    return rows.groupBy("tag", "head").agg(F.min("first").alias("first"), F.sum("windows").alias("windows"), F.first("source").alias("source"), F.min("source_first").alias("source_first")).drop("head")
 
 
 def digest(words: list[str]) -> bytes:
@@ -369,7 +400,7 @@ def repeated_words(docs: DataFrame, *, window: int = WINDOW, seed: int = SEED, g
     seeds = shared_seeds(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, groups, window, seed)
     wanted = materialize(seeds.groupBy("tag").agg(F.collect_list("data").alias("seeds")).join(reps.select("tag", "rep", "times"), "tag"))
     texts = materialize(compressed(docs, wanted, id_col, text_col))
-    found = materialize(compact(paths(texts, groups, window, seed)))
+    found = materialize(compact(materialize(paths(texts, groups, window, seed))))
     wholes = source_digests(found, texts, window)
     checked = found.join(wholes, ["source", "source_first", "windows"]).select("tag", "first", "windows", "whole")
     done = cut(texts, checked, window)
