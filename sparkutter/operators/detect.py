@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import lexicon as L
 from ..functions.lexicon import Lexicon, one_of
-from .repeats import event_columns
+from .repeats import with_verdict
 from .tokens import KEY, by_position, gap_after, running
 
 # Fixed values.
@@ -20,15 +20,19 @@ def ahead(n: int, key: list[str]) -> Column:
     return F.lead("w", n).over(by_position(key))
 
 
-def phrase_at(lex: Lexicon, key: list[str] = KEY) -> tuple[Column, Column]:
-    """Length and category of the longest phrase that begins at a token; null without one."""
-    length, category = F.lit(None).cast("int"), F.lit(None).cast("string")
-    for n in range(2, lex.longest_phrase + 1):
-        words = F.concat(F.col("w"), *[x for k in range(1, n) for x in (F.lit(" "), ahead(k, key))])
-        for kind in (L.DM, L.EDIT):
-            hit = one_of(words, [p for p, c in lex.phrases.items() if c == kind and p.count(" ") == n - 1])
-            length, category = F.when(hit, n).otherwise(length), F.when(hit, kind).otherwise(category)
-    return length, category
+def with_phrases(rows: DataFrame, lex: Lexicon, key: list[str] = KEY) -> DataFrame:
+    """``rows`` with phrase_n and phrase_cat: length and category of the longest phrase that begins at a token; null without one."""
+    sizes = range(2, lex.longest_phrase + 1)
+    rows = rows.withColumns({f"_w{k}": ahead(k, key) for k in range(1, lex.longest_phrase)})
+    listed = lambda n, kind: [p for p, c in lex.phrases.items() if c == kind and p.count(" ") == n - 1]
+    for n in sizes:
+        rows = rows.withColumn("_words", F.concat(F.col("w"), *[x for k in range(1, n) for x in (F.lit(" "), F.col(f"_w{k}"))]))
+        rows = rows.withColumn(f"_p{n}", F.when(one_of(F.col("_words"), listed(n, L.DM)), L.DM).when(one_of(F.col("_words"), listed(n, L.EDIT)), L.EDIT))
+    length = F.lit(None).cast("int")
+    for n in sizes:
+        length = F.when(F.col(f"_p{n}").isNotNull(), n).otherwise(length)
+    rows = rows.withColumns({"phrase_n": length, "phrase_cat": F.coalesce(*[F.col(f"_p{n}") for n in reversed(sizes)])})
+    return rows.drop("_words", *[f"_p{n}" for n in sizes], *[f"_w{k}" for k in range(1, lex.longest_phrase)])
 
 
 def taken(rows: DataFrame, hit: Column, n: Column, most: int, key: list[str] = KEY) -> DataFrame:
@@ -58,8 +62,7 @@ def mark_phrases(tokens: DataFrame, lex: Lexicon, key: list[str] = KEY) -> DataF
     most = lex.longest_phrase
     if most < 2:
         return tokens.withColumns({"phrase_n": F.lit(None).cast("int"), "phrase_cat": F.lit(None).cast("string"), "in_marker": F.lit(False)})
-    n, category = phrase_at(lex, key)
-    rows = tokens.withColumns({"phrase_n": n, "phrase_cat": category})
+    rows = with_phrases(tokens, lex, key)
     rows = taken(rows, F.col("phrase_cat") == L.DM, F.col("phrase_n"), most, key)
     rows = rows.withColumn("_end", F.when(F.col("taken"), F.col("i") + F.col("phrase_n")))
     inside = F.col("i") < F.last("_end", ignorenulls=True).over(running(key))
@@ -115,27 +118,31 @@ def repair_windows(rows: DataFrame, lex: Lexicon, blocked: Column, key: list[str
     phrase = F.coalesce(F.col("phrase_cat") == L.EDIT, F.lit(False))
     rows = rows.withColumns({"_n": F.when(phrase, F.col("phrase_n")).when(term, 1).otherwise(0), "_strong": phrase | strong_word, "_blocked": blocked})
     reach = MOST_REPARANDUM
-    rows = rows.withColumns({f"_b{k}": F.lag("w", k).over(order) for k in range(1, reach + 1)} | {"_before": F.lag("_blocked").over(order)})
     longest = max(1, *(p.count(" ") + 1 for p, c in lex.phrases.items() if c == L.EDIT), 1) if lex.phrases else 1
-    after = {k: ahead(k, key) for k in range(1, reach + longest)}
-    rows = rows.withColumns({f"_a{k}": x for k, x in after.items()})
-
-    def alike(a: Column, b: Column) -> Column:
-        return (a == b) | (F.length(a) >= 4) & (F.length(b) >= 4) & (F.substring(a, 1, 4) == F.substring(b, 1, 4))
-
-    best = F.lit(None).cast("int")
-    for n in range(1, longest + 1):
-        found = F.lit(None).cast("int")
-        for m in range(1, reach + 1):
-            # Words i-m .. i-1 against i+n .. i+n+m-1; all of them must exist.
-            exists = F.col(f"_b{m}").isNotNull() & F.col(f"_a{n + m - 1}").isNotNull()
-            match = F.lit(False)
-            for k in range(m):
-                match |= alike(F.col(f"_b{m - k}"), F.col(f"_a{n + k}"))
-            found = F.when(exists & match, m).otherwise(found)
-        room = F.col("_b1").isNotNull() & F.col(f"_a{n}").isNotNull()
-        fallback = F.when(room & F.col("_strong") & ~F.coalesce(F.col("_before"), F.lit(False)), 1)
-        best = F.when(F.col("_n") == n, F.coalesce(found, fallback)).otherwise(best)
+    # Words are alike if their first four letters (or all, if there are fewer) are the same.
+    rows = rows.withColumn("_k", F.substring("w", 1, 4))
+    before = {f"_b{k}": F.lag("_k", k).over(order) for k in range(1, reach + 1)}
+    after = {f"_a{k}": F.lead("_k", k).over(order) for k in range(1, reach + longest)}
+    rows = rows.withColumns(before | after | {"_before": F.lag("_blocked").over(order)})
+
+    def behind(k: int) -> Column:
+        """The k-th word after the term, however long that is."""
+        out = F.lit(None).cast("string")
+        for n in range(1, longest + 1):
+            out = F.when(F.col("_n") == n, F.col(f"_a{n + k - 1}")).otherwise(out)
+        return out
+
+    rows = rows.withColumns({f"_r{k}": behind(k) for k in range(1, reach + 1)})
+    found = F.lit(None).cast("int")
+    for m in range(1, reach + 1):
+        # Words i-m .. i-1 against as many after the term; all of them must exist.
+        match = F.lit(False)
+        for k in range(m):
+            match |= F.col(f"_b{m - k}") == F.col(f"_r{k + 1}")
+        found = F.when(F.col(f"_b{m}").isNotNull() & F.col(f"_r{m}").isNotNull() & match, m).otherwise(found)
+    room = F.col("_b1").isNotNull() & F.col("_r1").isNotNull()
+    fallback = F.when(room & F.col("_strong") & ~F.coalesce(F.col("_before"), F.lit(False)), 1)
+    best = F.when(F.col("_n") > 0, F.coalesce(found, fallback))
     extra = [c for c in rows.columns if c.startswith("_")]
     rows = rows.withColumn("reparandum_n", best).withColumn("term_n", F.when(F.col("reparandum_n").isNotNull(), F.col("_n")))
     if longest > 1:
@@ -160,7 +167,7 @@ def rule_labels(tokens: DataFrame, lex: Lexicon, key: list[str] = KEY, unit: int
     """Phrases, single fillers by context, cut-off words, repetitions by evidence, repairs; the later rule wins where it may."""
     names = tokens.columns
     rows = single_fillers(mark_phrases(tokens, lex, key), lex, key)
-    rows = rows.withColumns(event_columns(lex, key, unit))
+    rows = with_verdict(rows, lex, key, unit)
     limit = round(CUT_OFF_GAP * 1000) if unit == 1000 else CUT_OFF_GAP
     cut_off = lex.is_cut_off(F.col("raw"), F.col("w"), ahead(1, key), gap_after(key), limit)
     rows = rows.withColumn("label_now", F.when((F.col("label_now") == "O") & cut_off, "PW").otherwise(F.col("label_now")))

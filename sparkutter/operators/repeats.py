@@ -82,8 +82,8 @@ def confidence(score: Column) -> Column:
     return F.least(F.lit(1.0), F.abs(score) / 3)
 
 
-def event_columns(lex: Lexicon, key: list[str] = KEY, unit: int = 1) -> dict[str, Column]:
-    """For the first copy of each adjacent pair: its verdict; null elsewhere.
+def with_verdict(rows: DataFrame, lex: Lexicon, key: list[str] = KEY, unit: int = 1) -> DataFrame:
+    """``rows`` with verdict: of each adjacent pair, at its first copy; null elsewhere.
 
     A run of three or more shows in the neighbours, so that no run length is needed here.
     """
@@ -95,8 +95,12 @@ def event_columns(lex: Lexicon, key: list[str] = KEY, unit: int = 1) -> dict[str
     run = F.when(longer, LONG_RUN).otherwise(2)
     gap = F.greatest(F.lead("start").over(order) - F.col("end"), F.lit(0).cast("long"))
     second = F.lead("end").over(order) - F.lead("start").over(order)
-    score = total(evidence(w, gap, F.col("end") - F.col("start"), second, run, lex, unit))
-    return {"verdict": F.when(pair, verdict(score, unit))}
+    # In steps, so that windows and the score are worked out once.
+    rows = rows.withColumns({"_pair": pair, "_run": run, "_gap": gap, "_second": second, "_first": F.col("end") - F.col("start")})
+    score = total(evidence(w, F.col("_gap"), F.col("_first"), F.col("_second"), F.col("_run"), lex, unit))
+    rows = rows.withColumn("_score", F.when(F.col("_pair"), score))
+    rows = rows.withColumn("verdict", F.when(F.col("_score").isNotNull(), verdict(F.col("_score"), unit)))
+    return rows.drop("_pair", "_run", "_gap", "_second", "_first", "_score")
 
 
 def events(tokens: DataFrame, lex: Lexicon, key: list[str] = KEY, unit: int = 1) -> DataFrame:
