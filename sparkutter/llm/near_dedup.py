@@ -477,7 +477,8 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = settled(lambda: near_duplicate_classes(docs, id_col=id_col, text_col=text_col, keyed=True, **options).filter("class_size > 1").select(ROW, "kept"))
     rows = materialize(rows.groupBy(ROW).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("times")))
-    out = docs.withColumn(ROW, content_key(id_col, text_col)).join(rows.filter("NOT kept").select(ROW), ROW, "left_anti")
+    # A merge join at any size that matters; the same at small ones.
+    out = docs.withColumn(ROW, content_key(id_col, text_col)).join(rows.filter("NOT kept").select(ROW).hint("merge"), ROW, "left_anti")
     again = rows.filter("kept AND times > 1").select(ROW)
     if not again.isEmpty():
         alone = out.join(again, ROW, "left_anti")
