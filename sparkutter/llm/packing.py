@@ -37,7 +37,7 @@ TOKENIZER = "word_bpe_49k.json"
 DOCUMENTS = 64
 ATTENTION = 31 / 32
 FULL = 0.98
-KNOWN_WORDS = 350_000  # entries of a worker's word cache, which is kept twice over
+KNOWN_WORDS = 250_000  # entries of a worker's word cache, which is kept twice over
 PIECE_COLUMNS = ("doc_id", "piece", "start", "length", "ids_crc32")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
