@@ -41,12 +41,12 @@ def explode_words(texts: DataFrame, text_col: str = "text", keep: list[str] = KE
 
     ``together`` names the key of the windows that follow: whole texts are exchanged by it here, which moves a
     fraction of what their words would, and the words need no exchange any more. The number of partitions is that of
-    shuffles, but three for each core at least, and stays so: by the size of the texts, too few tasks would be left for
+    shuffles, but one for each core at least, and stays so: by the size of the texts, too few tasks would be left for
     the work on their words.
     """
     if together:
         spark = texts.sparkSession
-        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
         texts = texts.select(*keep, text_col).repartition(parts, *together)
     words = texts.select(*keep, F.posexplode(T.tokens(F.col(text_col))).alias("i", "raw"))
     return words.withColumn("w", T.canonical(F.col("raw"), trimmed=True))
