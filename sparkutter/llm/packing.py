@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 
 TOKENIZER = "word_bpe_49k.json"
-DOCUMENTS = 64
+DOCUMENTS = 256
 ATTENTION = 31 / 32
 FULL = 0.98
 KNOWN_WORDS = 250_000  # entries of a worker's word cache, which is kept twice over
