@@ -83,6 +83,19 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a narrow table for each of its files, at least.
+FILE_ROWS = 100_000
+
+
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of about ``rows`` narrow rows, in one part for each core, or for each ``FILE_ROWS`` if those are more.
+
+    Without an exchange, and every row stays. A small table else gets a file for each of many shuffle partitions,
+    and a local file costs its executor two shell commands. Not for parts that Python is still to work out.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
+
+
 def settled(make: Callable[[], DataFrame]) -> DataFrame:
     """``make()``, materialized; what it materialized on its way is deleted."""
     _open.scopes = [*getattr(_open, "scopes", []), []]

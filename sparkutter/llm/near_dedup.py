@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, SPACE, content_key, materialize, settled, spread_join, table
+from .common import ROW, SPACE, content_key, gathered, materialize, settled, spread_join, table
 
 RUN = 5
 TAKE = 2
@@ -209,23 +209,24 @@ def verify(pairs: DataFrame, sequences: DataFrame, similarity: float) -> DataFra
 
 
 def components(links: DataFrame) -> DataFrame:
-    """id and class_id (the smallest id that links lead to) of every id in ``links`` (a, b).
+    """id and class_id (the smallest id that links lead to) of every id in ``links`` (a, b), which should be written rows.
 
     Each round takes the smallest class among the neighbours and then that class's own class.
     """
-    edges = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    now = materialize(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("class_id")))
+    size = 2 * links.count()
+    edges = materialize(gathered(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), size))
+    now = materialize(gathered(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("class_id")), size))
     while True:
         near = edges.join(now.select(F.col("id").alias("b"), "class_id"), "b").groupBy(F.col("a").alias("id")).agg(F.min("class_id").alias("near"))
         near = now.join(near, "id").select("id", F.col("class_id").alias("old"), F.least("class_id", "near").alias("new"))
         jump = now.select(F.col("id").alias("new"), F.col("class_id").alias("far"))
-        now = materialize(near.join(jump, "new").select("id", "old", F.least("new", "far").alias("class_id")))
+        now = materialize(gathered(near.join(jump, "new").select("id", "old", F.least("new", "far").alias("class_id")), size))
         if now.filter("old <> class_id").isEmpty():
             return now.select("id", "class_id")
 
 
-def blocks(buckets: DataFrame, classes: DataFrame, block: int, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
-    """Rows of buckets (key, repeat, id, n) that hold more than one class, in the blocks where they are compared.
+def blocks(buckets: DataFrame, classes: DataFrame, block: int, block_words: int = BLOCK_WORDS, size: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows of buckets (key, repeat, id, n; ``size`` rows, if known) that hold more than one class, in the blocks where they are compared.
 
     And those of buckets with too many rows, or words, outside the largest class.
     """
@@ -239,7 +240,8 @@ def blocks(buckets: DataFrame, classes: DataFrame, block: int, block_words: int
         parts(F.col("top.rows"), F.col("top.words")).alias("of"),
         (parts(F.col("rows") - F.col("top.rows"), F.col("words") - F.col("top.words")) > 1).alias("large"),
     )
-    rows = materialize(rows.join(sizes, "key"))
+    rows = rows.join(sizes, "key")
+    rows = materialize(rows if size is None else gathered(rows, size))
     fits = rows.filter("NOT large")
     largest_class = F.col("class_id") == F.col("top")
     own = F.array(F.pmod(F.xxhash64("id"), F.col("of")).cast("int"))
@@ -337,10 +339,10 @@ def from_pivots(words, classes, pivots: int = 8, members: int = 8) -> tuple[np.n
     return np.stack(low), np.stack(high)
 
 
-def block_links(rows: DataFrame, sequences: DataFrame, similarity: float) -> DataFrame:
+def block_links(rows: DataFrame, sequences: DataFrame, similarity: float, size: int) -> DataFrame:
     """Links a, b between different classes within a block, up to those that join no classes any more.
 
-    First without words: which members have a plausible partner at all. Only these are given their words.
+    ``size``: about how many rows there are. First without words: which members have a plausible partner at all. Only these are given their words.
     """
     facts = ("repeat", "block", "classes", "guest", "n", "histogram", "keys")
     args = lambda x: [x["class_id" if f == "classes" else f] for f in facts]
@@ -367,7 +369,7 @@ def block_links(rows: DataFrame, sequences: DataFrame, similarity: float) -> Dat
 
     columns = ["key", F.col("block").cast("long").alias("block"), F.col("repeat").cast("int").alias("repeat"), "id", "class_id", "guest", F.col("n").cast("long").alias("n"), "histogram", "keys"]
     narrow = rows.join(sequences.drop("words"), "id").select(*columns)
-    marked = materialize(by_block(narrow, mark, "key long, block long, id long").distinct())
+    marked = materialize(gathered(by_block(narrow, mark, "key long, block long, id long").distinct(), size))
     rows = rows.withColumn("block", F.col("block").cast("long")).join(marked, ["key", "block", "id"], "left_semi")
     wide = rows.join(sequences, "id").select(*columns, "words")
     return by_block(wide, align, "a long, b long").filter("a < b").distinct()
@@ -419,16 +421,17 @@ def linked_classes(buckets: DataFrame, sequences: DataFrame, similarity: float,
     pairs = buckets.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     classes = components(materialize(verify(pairs, sequences, similarity).filter("ok").select("a", "b")))
     # Most links show there; for the others, only members of other classes are left to compare.
-    fits, large = blocks(buckets.drop("leader"), classes, block)
-    large = materialize(large.select("id").distinct())
+    size = buckets.count()
+    fits, large = blocks(buckets.drop("leader"), classes, block, size=size)
+    large = materialize(gathered(large.select("id").distinct(), size))
     if not large.isEmpty():
         dealt = several(redealt(large, sequences, similarity)).drop("leader").withColumn("repeat", F.lit(-1))
         more, large = blocks(dealt, classes, block)
         fits = fits.unionByName(more).unionByName(crossed(large, block))
     # They join classes, which are few.
     named = lambda c: classes.select(F.col("id").alias(c), F.col("class_id").alias(f"of_{c}"))
-    links = block_links(fits, sequences, similarity).join(named("a"), "a", "left").join(named("b"), "b", "left")
-    links = materialize(links.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).filter("a <> b").distinct())
+    links = block_links(fits, sequences, similarity, size).join(named("a"), "a", "left").join(named("b"), "b", "left")
+    links = materialize(gathered(links.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).filter("a <> b").distinct(), size))
     if links.isEmpty():
         return classes
     merged = components(links)
@@ -445,18 +448,20 @@ def near_duplicate_classes(docs: DataFrame, *, similarity: float = SIMILARITY, b
     if not 0.5 < similarity <= 1:
         raise ValueError("the similarity must be above 0.5")
     sketched = materialize(sketch_table(docs, id_col, text_col, keyed))
+    size = sketched.count()
     worded = sketched.filter("id IS NOT NULL AND digest IS NOT NULL")
     nodes = worded.groupBy("digest").agg(F.min(F.struct("id", "row")).alias("first"), F.count(F.lit(1)).alias("rows"))
     # A node's number: of 64 bits, and one for each digest, whatever ids the rows have.
-    nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("node"), "digest", F.col("first.id").alias("least"), F.col("first.row").alias("row"), "rows"))
+    nodes = nodes.select(F.monotonically_increasing_id().alias("node"), "digest", F.col("first.id").alias("least"), F.col("first.row").alias("row"), "rows")
+    nodes = materialize(gathered(nodes, size))
     facts = worded.join(nodes.select("row", F.col("node").alias("id_")), "row").select(F.col("id_").alias("id"), "keys", "n")
-    buckets = materialize(several(facts.select(F.posexplode("keys").alias("repeat", "key"), "id", "n")))
+    buckets = materialize(gathered(several(facts.select(F.posexplode("keys").alias("repeat", "key"), "id", "n")), REPEATS * size))
     wanted = nodes.join(buckets.select(F.col("id").alias("node")).distinct(), "node", "left_semi").select("row", "node")
     # A merge join at any size that matters; the same at small ones.
     sequences = materialize(sequence_table(worded.drop("id", "key").join(wanted.hint("merge"), "row").withColumnRenamed("node", "id")))
     classes = linked_classes(buckets, sequences, similarity, block)
     named = nodes.join(classes.select(F.col("id").alias("node"), "class_id"), "node", "left").withColumn("class", F.coalesce("class_id", "node"))
-    named = materialize(named.select("digest", "node", "class", "least", "row", "rows"))
+    named = materialize(gathered(named.select("digest", "node", "class", "least", "row", "rows"), size))
     heads = named.groupBy("class").agg(F.min(F.struct("least", "row")).alias("head"), F.sum("rows").alias("class_size"))
     named = spread_join(named.select("digest", "node", "class"), heads, ["class"], F.pmod(F.xxhash64("node"), F.lit(64))).select("digest", F.col("head.least").alias("class_id"), F.col("head.row").alias("head"), "class_size")
     rows = sketched.select("row", "key", "id", "digest").join(named, F.col("id").isNotNull() & (sketched["digest"] == named["digest"]), "left")
