@@ -87,13 +87,13 @@ def materialize(df: DataFrame) -> DataFrame:
 FILE_ROWS = 100_000
 
 
-def gathered(df: DataFrame, rows: int) -> DataFrame:
-    """``df``, of about ``rows`` narrow rows, in one part for each core, or for each ``FILE_ROWS`` if those are more.
+def gathered(df: DataFrame, rows: int, most: int = FILE_ROWS) -> DataFrame:
+    """``df``, of about ``rows`` narrow rows, in one part for each core, or for each ``most`` of them if those are more.
 
     Without an exchange, and every row stays. A small table else gets a file for each of many shuffle partitions,
     and a local file costs its executor two shell commands. Not for parts that Python is still to work out.
     """
-    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // most)))
 
 
 def settled(make: Callable[[], DataFrame]) -> DataFrame:

@@ -39,13 +39,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions, spread_join, table
+from .common import gathered, materialize, shuffle_partitions, spread_join, table
 from .near_dedup import arrays, run_hashes
 from .packing import runs, strings
 
 WINDOW = 13
 SEED = 5
 GROUP_WORDS = 3_000_000
+#: Words in each file of texts, at most, unless there are fewer files than cores.
+FILE_WORDS = 1_000_000
 _LOW = np.uint64(0xFFFFFFFFFFFF)
 
 
@@ -301,24 +303,27 @@ def compact(pieces: DataFrame) -> DataFrame:
     to it goes on, and no other begins there; all that pass through it are joined to the piece before it, and
     pointer jumping finds the first piece of each path.
     """
+    size = pieces.count()
     tail = pieces.select("tag", F.col("first").alias("before"), (F.col("first") + F.col("windows")).alias("first"), "source", (F.col("source_first") + F.col("windows")).alias("source_first"))
     on = ["tag", "first", "source", "source_first"]
-    passing = materialize(tail.join(pieces.select(*on), on))
+    passing = materialize(gathered(tail.join(pieces.select(*on), on), size))
     count = lambda rows, name: rows.select("source", "source_first", *[F.lit(int(n == name)).alias(n) for n in ("coming", "going", "passing")])
     nodes = count(tail, "coming").unionByName(count(pieces, "going")).unionByName(count(passing, "passing"))
     nodes = nodes.groupBy("source", "source_first").agg(*[F.sum(n).alias(n) for n in ("coming", "going", "passing")])
     plain = nodes.filter("coming = passing AND going = passing").select("source", "source_first")
     # A passage that very many documents share makes a hot node.
     links = spread_join(passing, plain, ["source", "source_first"], F.pmod(F.xxhash64("tag"), F.lit(64))).select("tag", "first", "before")
-    heads = materialize(links.withColumnRenamed("before", "head"))
+    heads = materialize(gathered(links.withColumnRenamed("before", "head"), size))
     while True:
         further = heads.select("tag", F.col("first").alias("head"), F.col("head").alias("to"))
-        now = materialize(heads.join(further, ["tag", "head"], "left").select("tag", "first", F.coalesce("to", "head").alias("head"), F.col("to").isNotNull().alias("moved")))
+        now = heads.join(further, ["tag", "head"], "left").select("tag", "first", F.coalesce("to", "head").alias("head"), F.col("to").isNotNull().alias("moved"))
+        now = materialize(gathered(now, size))
         heads = now.drop("moved")
         if now.filter("moved").isEmpty():
             break
     rows = pieces.join(heads, ["tag", "first"], "left").withColumn("head", F.coalesce("head", "first"))
-    return rows.groupBy("tag", "head").agg(F.min("first").alias("first"), F.sum("windows").alias("windows"), F.first("source").alias("source"), F.min("source_first").alias("source_first")).drop("head")
+    rows = rows.groupBy("tag", "head").agg(F.min("first").alias("first"), F.sum("windows").alias("windows"), F.first("source").alias("source"), F.min("source_first").alias("source_first")).drop("head")
+    return gathered(rows, size)
 
 
 def digest(words: list[str]) -> bytes:
@@ -393,13 +398,14 @@ def repeated_words(docs: DataFrame, *, window: int = WINDOW, seed: int = SEED, g
     """doc_id, n_words, n_removed, kept_sha256, spans (word ranges removed, end exclusive) of each row."""
     spark = docs.sparkSession
     rows = materialize(survey(docs, id_col, text_col))
-    total = rows.agg(F.sum("n_words")).first()[0] or 0
+    total, size = rows.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.count(F.lit(1))).first()
     groups = max(shuffle_partitions(spark), -(-total // group_words))
     reps = rows.filter(F.col("doc_id").isNotNull() & (F.col("n_words") >= window)).groupBy("sha").agg(F.min(F.struct("doc_id", "tag")).alias("first"), F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("ids"))
-    reps = materialize(reps.select("sha", "rep", "first.tag", (F.col("n") - F.col("ids") + 1).alias("times")))
+    reps = materialize(gathered(reps.select("sha", "rep", "first.tag", (F.col("n") - F.col("ids") + 1).alias("times")), size))
     seeds = shared_seeds(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, groups, window, seed)
-    wanted = materialize(seeds.groupBy("tag").agg(F.collect_list("data").alias("seeds")).join(reps.select("tag", "rep", "times"), "tag"))
-    texts = materialize(compressed(docs, wanted, id_col, text_col))
+    wanted = seeds.groupBy("tag").agg(F.collect_list("data").alias("seeds")).join(reps.select("tag", "rep", "times"), "tag")
+    wanted = materialize(gathered(wanted, total, FILE_WORDS))
+    texts = materialize(gathered(compressed(docs, wanted, id_col, text_col), total, FILE_WORDS))
     found = materialize(compact(materialize(paths(texts, groups, window, seed))))
     wholes = source_digests(found, texts, window)
     checked = found.join(wholes, ["source", "source_first", "windows"]).select("tag", "first", "windows", "whole")
@@ -408,7 +414,7 @@ def repeated_words(docs: DataFrame, *, window: int = WINDOW, seed: int = SEED, g
     rows = rows.drop("tag").join(reps.drop("times"), "sha", "left").join(done, ["tag", "rep"], "left")
     copy = F.coalesce(F.col("doc_id") > F.col("rep"), F.lit(False))
     first = F.coalesce(F.col("doc_id") == F.col("rep"), F.lit(False)) & F.col("n_removed").isNotNull()
-    return rows.select(
+    return gathered(rows, size).select(
         "doc_id",
         "n_words",
         F.when(copy, F.col("n_words")).when(first, F.col("n_removed")).otherwise(F.lit(0)).cast("long").alias("n_removed"),
